@@ -1,7 +1,7 @@
 """Token ids of whole texts with the public tokenizer files of the tokenizers library.
 
 Words repeat much more than texts do, so a text is split as the tokenizer itself splits it before its merges, and
-each different word is encoded once by the tokenizer and remembered by the worker. Texts with characters for which
+each different word goes through the tokenizer's model once and is remembered by the worker. Texts with characters for which
 two regular-expression engines could disagree are encoded whole. Both ways give the tokenizer's own ids.
 """
 
@@ -20,7 +20,7 @@ from evidentia.llm.words import runs
 #: Vocabularies up to this size are kept as two-byte ids.
 NARROW = 1 << 16
 #: Words that a worker remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 300_000
 #: Texts outside these characters are encoded whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-įı-ɏ]*")
 #: How the two kinds of tokenizer files split a text into words.
@@ -51,6 +51,14 @@ def ids_dtype(name: str) -> np.dtype:
     return id_dtype(tokenizer(name).get_vocab_size(with_added_tokens=True))
 
 
+@cache
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is visible, else the next one from 256."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def _plain_form(pattern: str) -> str:
     """The same pattern for the standard library's engine, with letters and numbers spelled out for plain texts."""
     import regex
@@ -85,6 +93,7 @@ _known: dict[str, dict[str, bytes]] = {}
 def encoded(texts: Sequence[str], name: str) -> Iterator[bytes]:
     """The ids of each text, without special tokens, as little-endian integers of ids_dtype(name)."""
     coder, kind, how = tokenizer(name), ids_dtype(name), _splitter(name)
+    merge, letters = coder.model.tokenize, _byte_letters()
     known, code = _known.setdefault(name, {}), "H" if kind.itemsize == 2 else "I"
     for start, end in runs(texts):
         part, split = texts[start:end], {}
@@ -95,8 +104,8 @@ def encoded(texts: Sequence[str], name: str) -> Iterator[bytes]:
                 if _PLAIN.fullmatch(text):
                     split[i] = how[0].findall(text.lower() if how[1] else text)
             new = list(set().union(*split.values()).difference(known))
-            for word, done in zip(new, coder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = array(code, done.ids).tobytes()
+            for word in new:
+                known[word] = array(code, [t.id for t in merge(word.encode().decode("latin-1").translate(letters))]).tobytes()
         for i, text in enumerate(part):
             if i in split:
                 yield b"".join(map(known.__getitem__, split[i]))
