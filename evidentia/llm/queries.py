@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import neardup, packing, sst
+from evidentia.llm import decontam, neardup, packing, quality, sst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op4_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it contains, with the share of the item's shingles."""
+    return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its quality score and decision."""
+    found = quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document as read back from the shards."""
     read = sst.round_trip(_table(spark, sf_dir, "documents"))
@@ -33,8 +44,8 @@ def op7_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_probminhash_dedup, op4_ffd_packing, op7_sst_shards)}
+    return {f.__name__: f for f in (op2_probminhash_dedup, op4_ffd_packing, op5_minhash_containment, op6_factorisation_machine, op7_sst_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_minhash_containment": decontam.ORACLE_SQL}
