@@ -84,14 +84,15 @@ SAMPLED_PER_BLOCK = 32
 
 
 def with_neighbours(
-    df: DataFrame, key: str, map_block: Callable, schema: str, blocks: int | None = None, wrap: bool = False
+    df: DataFrame, key: str, map_block: Callable, schema: str, blocks: int | None = None, wrap: bool = False, ties: list | None = None
 ) -> DataFrame:
     """Runs `map_block` over the rows in ascending order of `key`, dealt into contiguous blocks.
 
     Every block also gets a copy of the row that follows its last one and of the row before its first one (with
     `wrap`, the order is a ring), so that only two rows per block travel twice. `map_block` takes an iterator of
-    frames sorted by (__ev_block, key, __ev_role), with __ev_role -1 for the row before, 0 for own rows and 1 for
-    the row after, and streams: it never holds a block. Split points come from a bounded sample of the keys; any
+    frames in which each block's rows stand together: the row before (__ev_role -1), own rows (0) in the order of
+    `key` and `ties`, the row after (1); it streams and never holds a block. Rows that share the key of a block's
+    first or last row all travel with it, so the row after is the first, and the row before the last, of its role. Split points come from a bounded sample of the keys; any
     split points give the same result.
     """
     spark = df.sparkSession
@@ -126,5 +127,5 @@ def with_neighbours(
         return pd.Series(out)
 
     dealt = df.withColumn("__ev_place", F.explode(places(key))).select("*", "__ev_place.*").drop("__ev_place")
-    dealt = dealt.repartition(blocks, "__ev_block").sortWithinPartitions("__ev_block", F.when(F.col("__ev_role") < 0, 0).when(F.col("__ev_role") == 0, 1).otherwise(2), key)
+    dealt = dealt.repartition(blocks, "__ev_block").sortWithinPartitions("__ev_block", F.when(F.col("__ev_role") < 0, 0).when(F.col("__ev_role") == 0, 1).otherwise(2), key, *(ties or []))
     return dealt.mapInPandas(map_block, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontam, neardup, packing, quality, sst
+from evidentia.llm import decontam, fingerprint, neardup, packing, pages, quality, sst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,18 @@ def op7_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_locally_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its fingerprint, its edited text's, and the likenesses to this and to the next document's."""
+    return fingerprint.fingerprinted(_table(spark, sf_dir, "documents"))
+
+
+def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: its main text."""
+    return pages.extracted(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_probminhash_dedup, op4_ffd_packing, op5_minhash_containment, op6_factorisation_machine, op7_sst_shards)}
+    return {f.__name__: f for f in (op2_probminhash_dedup, op4_ffd_packing, op5_minhash_containment, op6_factorisation_machine, op7_sst_shards, op9_locally_consistent, op10_page_differencing)}
 
 
 def oracle_sql() -> dict[str, str]:
