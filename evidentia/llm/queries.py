@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontam, fingerprint, neardup, packing, pages, quality, sst
+from evidentia.llm import decontam, fingerprint, licences, neardup, packing, pages, quality, sharding, sst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", F.col("kept").alias("is_kept"))
 
 
+def op3_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its known licence sentences and its licences."""
+    return licences.licensed(_table(spark, sf_dir, "documents"))
+
+
 def op4_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece of a document: its place in the document and in its packed sequence."""
     packed = packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
@@ -43,6 +48,12 @@ def op7_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its size, checksum, shard and place in the shard."""
+    found = sharding.sharded(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_locally_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its fingerprint, its edited text's, and the likenesses to this and to the next document's."""
     return fingerprint.fingerprinted(_table(spark, sf_dir, "documents"))
@@ -54,8 +65,8 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_probminhash_dedup, op4_ffd_packing, op5_minhash_containment, op6_factorisation_machine, op7_sst_shards, op9_locally_consistent, op10_page_differencing)}
+    return {f.__name__: f for f in (op2_probminhash_dedup, op3_licence_sentences, op4_ffd_packing, op5_minhash_containment, op6_factorisation_machine, op7_sst_shards, op8_label_propagation, op9_locally_consistent, op10_page_differencing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_containment": decontam.ORACLE_SQL}
+    return {"op3_licence_sentences": licences.oracle_sql(), "op5_minhash_containment": decontam.ORACLE_SQL}
