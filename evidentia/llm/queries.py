@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontam, fingerprint, licences, neardup, packing, pages, quality, sharding, sst
+from evidentia.llm import decontam, fingerprint, licences, neardup, packing, pages, pii, quality, sharding, sst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: counts and digest of the patterns' spans, and all spans."""
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op2_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its class of near-duplicates, the class's size and whether the document is the one kept."""
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -64,8 +70,15 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extracted(_table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_probminhash_dedup, op3_licence_sentences, op4_ffd_packing, op5_minhash_containment, op6_factorisation_machine, op7_sst_shards, op8_label_propagation, op9_locally_consistent, op10_page_differencing)}
+    return {f.__name__: f for f in (op1_lstm_crf_pii, op2_probminhash_dedup, op3_licence_sentences, op4_ffd_packing, op5_minhash_containment, op6_factorisation_machine, op7_sst_shards, op8_label_propagation, op9_locally_consistent, op10_page_differencing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
