@@ -33,6 +33,19 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+#: Rows of a batch that goes to Python; texts are whole, so batches of Spark's default size can be very large.
+BATCH_ROWS = 1000
+_DEFAULT_BATCH_ROWS = "10000"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, after a session that still has Spark's default batch size for Python has got a smaller one."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == _DEFAULT_BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_or_empty
+from evidentia.llm.common import in_small_batches, text_or_empty
 from evidentia.llm.words import mix, runs, shingle_hashes, word_hashes
 
 WORDS, CONTAINMENT = 5, 0.8
@@ -143,7 +143,7 @@ def _finder(texts: list[str], containment: float):
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, *, containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document and item that it contains: doc_id, item_id, containment."""
-    spark, parts = docs.sparkSession, []
+    spark, parts = in_small_batches(docs).sparkSession, []
     kind = benchmark.schema["item_id"].dataType.simpleString()
     for items in _blocks(benchmark, block_bytes):
         found = docs.select("doc_id", F.explode(_finder([r["text"] for r in items], containment)("text")).alias("hit"))
@@ -163,6 +163,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, containment: float
 
 def is_clean(docs: DataFrame, benchmark: DataFrame, *, containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> Column:
     """A column over `docs`, true where the text contains no item."""
+    in_small_batches(docs)
     clean = F.lit(True)
     for items in _blocks(benchmark, block_bytes):
         clean = clean & (F.size(_finder([r["text"] for r in items], containment)("text")) == 0)

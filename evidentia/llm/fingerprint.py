@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_or_empty, with_neighbours
+from evidentia.llm.common import in_small_batches, text_or_empty, with_neighbours
 from evidentia.llm.words import RUN_CHARS, _powers, code_points, mix, runs
 
 LEVELS = (1, 2, 3, 4)
@@ -144,7 +144,7 @@ FINGERPRINTED = "doc_id long, n_chars long, edited_sha256 string, fingerprint st
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and its likeness to this and to the next one's."""
     least = -(1 << 63)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(least))).withColumn("tie", F.xxhash64("text"))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

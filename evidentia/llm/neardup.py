@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, text_or_empty
+from evidentia.llm.common import cut, in_small_batches, text_or_empty
 from evidentia.llm.graph import components
 from evidentia.llm.words import mix, runs, shingle_hashes, word_hashes
 
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, *, words: int = WORDS, bands: int = BANDS, rows:
                 part["bands"] = [found[i] if len(s) else [] for i, (s, _) in enumerate(sets)]
                 yield part
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    read = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     return read.select("doc_id", "text_hash", "text").mapInPandas(sign, "doc_id long, text_hash long, node binary, size int, bands array<long>")
 
 

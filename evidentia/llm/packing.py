@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_or_empty
+from evidentia.llm.common import in_small_batches, text_or_empty
 from evidentia.llm.tokens import encoded, ids_dtype
 
 LENGTH = 1024
@@ -78,7 +78,7 @@ def pack(docs: DataFrame, *, length: int = LENGTH, tokenizer: str = TOKENIZER, e
     ids holds little-endian unsigned integers, of two bytes where the vocabulary allows it and else of four.
     """
     groups = max(1, -(-docs.count() // group_documents))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([end_id], ids_dtype(tokenizer)).tobytes()

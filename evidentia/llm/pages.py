@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import with_neighbours
+from evidentia.llm.common import in_small_batches, with_neighbours
 
 #: Elements by their part in a page.
 SKIPPED = frozenset("script style noscript template iframe svg canvas object head title select option textarea button audio video".split())
@@ -185,7 +185,7 @@ EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 def extracted(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, the main text and its number of code points."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = in_small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     address = F.coalesce("url", F.lit(""))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
     rows = rows.withColumn("path", F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))

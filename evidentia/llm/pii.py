@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import in_small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -459,12 +461,12 @@ def found_in(text: str = "text", model: Tagger | None = None) -> Column:
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, the counts of base spans, their digest, all spans and the masked text."""
-    return docs.select("doc_id", found_in(**options).alias("f")).select("doc_id", "f.*")
+    return in_small_batches(docs).select("doc_id", found_in(**options).alias("f")).select("doc_id", "f.*")
 
 
 def without_personal_data(docs: DataFrame, **options) -> DataFrame:
     """The documents with spans masked, columns as given; a null text stays null and n_chars, if there, is that of the new text."""
-    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), found_in(**options)["masked"]))
+    out = in_small_batches(docs).withColumn("text", F.when(F.col("text").isNotNull(), found_in(**options)["masked"]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

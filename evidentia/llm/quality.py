@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_or_empty
+from evidentia.llm.common import in_small_batches, text_or_empty
 from evidentia.llm.words import code_points, runs, word_hashes
 
 FIT_ROWS = 6000
@@ -137,7 +137,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS)
     """Fits labels.quality on at most `fit_rows` labelled documents that are not held out."""
     chosen = labels.where(~held_out() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("__ev_id"), F.col("quality").cast("int").alias("__ev_label"))
     chosen = chosen.orderBy(F.xxhash64("__ev_id"), "__ev_id", "__ev_label").limit(fit_rows)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__ev_id"))
+    rows = in_small_batches(docs).select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__ev_id"))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import parallelism, shared_dir, text_or_empty
+from evidentia.llm.common import in_small_batches, parallelism, shared_dir, text_or_empty
 from evidentia.llm.tokens import encoded, ids_dtype
 
 MAGIC = b"EVSST01\n"
@@ -163,7 +163,7 @@ def write_shards(docs: DataFrame, folder: str, *, tokenizer: str = TOKENIZER, en
     """Writes the shards and returns (path, entries, ids) of each in key order; their number is all that the driver gets."""
     spark = docs.sparkSession
     n = shards or parallelism(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
