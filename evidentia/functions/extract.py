@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns of grades in the order in which they are tried, and of output that must not occur.
 GRADE_PATTERNS = (r"(?i)\bgrade\s*[:=]\s*([0-4])\b", r"(?i)\bgrade\s+([0-4])\b", r"(?i)\blevel\s*[:=]?\s*([0-4])\b", r"^\s*([0-4])\s*$")
@@ -80,14 +81,14 @@ def _balanced(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced_object(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The first brace-balanced object of each text; no regular expression can find it."""
     for batch in batches:
         yield pd.Series([None if t is None else _balanced(t) for t in batch.astype(object).where(batch.notna(), None)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_strict_object(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether the text is one JSON object by the strict grammar, with nothing after it."""
 

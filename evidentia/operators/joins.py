@@ -100,7 +100,7 @@ def expand_copies(df: DataFrame, identifier: str, copies: DataFrame, on: Sequenc
     return out.withColumn(identifier, F.when(F.col("copy") > 0, F.concat(F.col(identifier).cast("string"), F.lit("__aug"), F.col("copy"))).otherwise(F.col(identifier).cast("string")))
 
 
-def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key: the last one in the order given."""
+def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One row per key: the first one in the order given."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

@@ -14,7 +14,8 @@ def throughput(df: DataFrame, keys: Sequence[str], at: str, total: int | Column,
     """done, rate per second over the newest completions, and the seconds that the rest will take."""
     w = Window.partitionBy(*keys).orderBy(F.desc(at))
     recent = df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= newest)
-    span = (F.max(F.unix_micros(at)) - F.min(F.unix_micros(at))) / 1e6
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    span = (F.max(micros) - F.min(micros)) / 1e6
     rate = recent.groupBy(*keys).agg(F.try_divide(F.count("*") - 1, span).alias("rate"))
     done = df.groupBy(*keys).agg(F.count("*").alias("done"))
     total = F.lit(total) if isinstance(total, int) else total

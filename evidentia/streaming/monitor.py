@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from evidentia.operators.progress import latest_status, parsed_log
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A new folder for a query's progress under the cluster's checkpoint folder, if it names one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidentia-stream-")
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
