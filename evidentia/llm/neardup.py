@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
     if not more.isEmpty():
         classes = components(links.union(more))
     labelled = signed.select("doc_id", "text_hash", "node").join(classes, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    per_class = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    # written, so that the join below reads both sides by exchanges that Spark can split where a class is large
+    per_class = cut(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "text_hash")).alias("first")))
     return labelled.join(per_class, "label").select("doc_id", "text_hash", "class_id", "class_size", F.struct("doc_id", "text_hash").eqNullSafe(F.col("first")).alias("kept"))
 
 

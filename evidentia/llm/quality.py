@@ -1,6 +1,6 @@
 """Quality scores by a factorisation machine over hashed words, structure statistics and metadata.
 
-A text's features are its distinct lower-cased words, hashed, each with the value 1 / sqrt(number of distinct words),
+A text's features are its distinct lower-cased words, hashed, each with the value WORDS_VALUE / sqrt(number of distinct words),
 and one-hot bins of structure statistics (symbols, capitals, digits, bars, repeated words and lines, line and word
 lengths) and of metadata (the text's length). The score is the logistic of a linear term and all pairwise
 interactions of the features through `RANK`-dimensional factors; the pairs are summed in linear time as half the
@@ -31,6 +31,9 @@ ACCEPTED = 0.7
 WORD_BUCKETS = 1 << 15
 RANK = 8
 BINS = 12
+#: Values of a text's words together and of each bin; chosen with the penalty by cross-validation among labelled rows
+#: that are not held out.
+WORDS_VALUE, BIN_VALUE = 0.2, 1.0
 STATISTICS = ("symbols", "capitals", "digits", "bars", "distinct_words", "most_frequent_word", "repeated_lines", "word_length", "line_length", "stops", "one_word_run", "length")
 FEATURES = WORD_BUCKETS + BINS * len(STATISTICS)
 
@@ -80,7 +83,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         run = int(np.diff(np.concatenate(([-1], changes, [len(own) - 1]))).max()) if len(own) else 0
         bins = [WORD_BUCKETS + i * BINS + v for i, v in enumerate(structure(text, own, counts, run))]
         numbers += [(distinct >> np.uint64(49)).astype(np.int32), np.array(bins, np.int32)]
-        values += [np.full(len(distinct), 1 / np.sqrt(max(len(distinct), 1)), np.float32), np.full(len(bins), 0.3, np.float32)]
+        values += [np.full(len(distinct), WORDS_VALUE / np.sqrt(max(len(distinct), 1)), np.float32), np.full(len(bins), BIN_VALUE, np.float32)]
         at.append(at[-1] + len(distinct) + len(bins))
     return np.concatenate(numbers), np.concatenate(values), np.array(at)
 
@@ -102,7 +105,7 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-self.raw(*features(texts))[0].astype(np.float64)))
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], *, steps: int = 600, batch: int = 64, rate: float = 0.02, penalty: float = 1e-4, seed: int = 7) -> FactorisationMachine:
+def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], *, steps: int = 600, batch: int = 64, rate: float = 0.02, penalty: float = 1e-3, seed: int = 7) -> FactorisationMachine:
     """Logistic loss and Adam over (feature numbers, values, label) of each example, for whole rounds of at least `steps` batches."""
     rng = np.random.default_rng(seed)
     labels = np.array([e[2] for e in examples], np.float32)
@@ -153,7 +156,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS)
     examples = []
     for r in sorted(measured.collect(), key=lambda r: (r["doc_id"], r["label"], len(r["numbers"]))):
         numbers = np.array(r["numbers"], np.int32)
-        values = np.where(numbers < WORD_BUCKETS, np.float32(r["value"]), np.float32(0.3)).astype(np.float32)
+        values = np.where(numbers < WORD_BUCKETS, np.float32(r["value"]), np.float32(BIN_VALUE)).astype(np.float32)
         examples.append((numbers, values, r["label"]))
     return fit(examples) if examples else None
 
