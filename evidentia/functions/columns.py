@@ -11,16 +11,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Upper bounds (inclusive) and names of buckets; the last name is for all that is larger.
-COUNT_FOUR = ([(0, "none"), (3, "few"), (10, "some")], "many")
-COUNT_THREE = ([(1, "single"), (5, "few")], "many")
-COUNT_FIVE = ([(0, "none"), (3, "few"), (10, "some"), (20, "many")], "very_many")
-AREA_FIXED = ([(0, "none"), (300, "small"), (1500, "medium")], "large")
-DISTANCE_BANDS = ([(1, "within_1"), (3, "within_3"), (6, "within_6")], "beyond_6")
-BURDEN_BANDS = ([(9, "mild"), (11, "moderate"), (13, "heavy")], "extreme")
-CUP_BUCKETS = ([(0.40, "normal"), (0.50, "borderline"), (0.65, "enlarged")], "marked")
-RATIO_BUCKETS = ([(0.65, "low"), (0.85, "normal")], "high")
-TWIST_BUCKETS = ([(0.2, "low"), (0.4, "mild"), (0.6, "moderate")], "high")
+# Comparison, bound and name of each bucket in order; the last name is for all that is larger. A name of
+# None is for values that have no bucket.
+COUNT_FOUR = ([("<=", 0, "none"), ("<=", 3, "few"), ("<=", 10, "some")], "many")
+COUNT_THREE = ([("<=", 0, None), ("<=", 1, "single"), ("<=", 5, "few")], "many")
+COUNT_FIVE = ([("<=", 0, "未见"), ("<=", 3, "少量"), ("<=", 10, "数处"), ("<=", 20, "较多")], "大量")
+AREA_FIXED = ([("<=", 0, "none"), ("<", 300, "small"), ("<", 1500, "medium")], "large")
+DISTANCE_BANDS = ([("<=", 1, "黄斑区"), ("<=", 3, "后极部"), ("<=", 6, "中周部")], "周边部")
+BURDEN_BANDS = ([("<", 9, "周边部"), ("<", 11, "中周部"), ("<", 13, "后极部")], "黄斑区")
+CUP_BUCKETS = ([("<", 0.40, "normal"), ("<", 0.50, "mild_elevation"), ("<", 0.65, "moderate_elevation")], "glaucoma_suspicion")
+RATIO_BUCKETS = ([("<", 0.65, "low"), ("<", 0.85, "normal")], "elevated")
+TWIST_BUCKETS = ([("<", 0.20, "normal"), ("<", 0.40, "mild"), ("<", 0.60, "moderate")], "severe")
 POSITIVE_WORDS = ("present", "true", "yes", "1", "positive")
 NEGATIVE_WORDS = ("absent", "false", "no", "0", "negative")
 
@@ -45,23 +46,29 @@ def null_sentinel(value: Column, sentinel) -> Column:
     return F.nullif(value, F.lit(sentinel))
 
 
-def bucket(value: Column, breaks: tuple[Sequence[tuple[float, str]], str], missing: str | None = "unknown", strict: bool = False) -> Column:
-    """The name of the first bucket whose upper bound is not below the value (with `strict`: above it)."""
+def bucket(value: Column, breaks: tuple[Sequence[tuple[str, float, str | None]], str], missing: str | None = "unknown") -> Column:
+    """The name of the first bucket whose comparison holds."""
     bounds, rest = breaks
     out = F.when(value.isNull(), F.lit(missing))
-    for bound, name in bounds:
-        out = out.when(value < bound if strict else value <= bound, name)
+    for sign, bound, name in bounds:
+        out = out.when(value <= bound if sign == "<=" else value < bound, F.lit(name))
     return out.otherwise(rest)
 
 
 def threshold_bucket(value: Column, low: Column, high: Column, names: Sequence[str] = ("small", "medium", "large")) -> Column:
-    """Three buckets by two threshold columns, NULL where any is missing."""
-    return F.when(value.isNull() | low.isNull() | high.isNull(), F.lit(None)).when(value <= low, names[0]).when(value <= high, names[1]).otherwise(names[2])
+    """Three buckets of a positive value by two threshold columns (each reached by equality); else NULL."""
+    known = value.isNotNull() & (value > 0) & low.isNotNull() & high.isNotNull()
+    return F.when(~F.coalesce(known, F.lit(False)), F.lit(None)).when(value <= low, names[0]).when(value <= high, names[1]).otherwise(names[2])
+
+
+def area_words(area: Column, low: float, high: float) -> Column:
+    """Four fixed words for an area by two bounds."""
+    return bucket(area, ([("<=", 0, "未见"), ("<", low, "小灶性"), ("<", high, "中等面积")], "大面积"), missing=None)
 
 
 def burden_band(area: Column, count: Column) -> Column:
-    """Bands of log1p(area) + 2 log1p(count)."""
-    return bucket(F.log1p(area) + 2 * F.log1p(count), BURDEN_BANDS, missing=None, strict=True)
+    """Bands of log1p(area) + 2 log1p(count), NULL unless both are positive."""
+    return F.when((area > 0) & (count > 0), bucket(F.log1p(area) + 2 * F.log1p(count), BURDEN_BANDS, missing=None))
 
 
 def linear_confidence(count: Column, area: Column, full_count: float = 8.0, full_area: float = 1500.0) -> Column:
@@ -157,23 +164,39 @@ def same_multiset(a: Column, b: Column) -> Column:
     return F.sort_array(a) == F.sort_array(b)
 
 
-# Quadrants in the order that breaks ties.
-QUADRANTS = ("ST", "SN", "IT", "IN")
+# Quadrants in the order that breaks ties, and their names in prose.
+QUADRANTS = {"ST": "superior-temporal", "SN": "superior-nasal", "IT": "inferior-temporal", "IN": "inferior-nasal"}
+
+
+def _quadrants(counts: Mapping[str, Column]) -> tuple[Column, Column, Column, Column]:
+    """Total, number above zero, whether all four share evenly, and the names with at least a quarter, largest first."""
+    values = [F.coalesce(c, F.lit(0)).cast("bigint") for c in counts.values()]
+    total = sum(values[1:], values[0])
+    some = sum((F.when(v > 0, 1).otherwise(0) for v in values[1:]), F.when(values[0] > 0, 1).otherwise(0))
+    even = (some == 4) & (F.least(*values) >= F.greatest(F.lit(1), F.floor(total / 6)))
+    entries = F.array(*[F.struct((-v).alias("n"), F.lit(i).alias("i"), F.lit(q).alias("q")) for i, (q, v) in enumerate(zip(counts, values, strict=True))])
+    top = F.filter(F.array_sort(entries), lambda e: -e["n"] >= F.greatest(F.lit(1), F.floor(total / 4)))
+    return total, some, even, F.transform(top, lambda e: e["q"])
+
+
+def quadrant_code(counts: Mapping[str, Column]) -> Column:
+    """4Q, X_only, X_pred, X+Y or X+Y+Z from counts by quadrant; ties keep the order given; NULL without any."""
+    total, some, even, top = _quadrants(counts)
+    by_size = F.when(F.size(top) == 1, F.concat(top[0], F.lit("_pred"))).otherwise(F.array_join(F.slice(top, 1, 3), "+"))
+    return F.when(total == 0, F.lit(None)).when(even, "4Q").when(some == 1, F.concat(top[0], F.lit("_only"))).otherwise(by_size)
 
 
-def quadrant_label(counts: Mapping[str, Column], share: float = 0.6) -> Column:
-    """none, 4Q, X_only, X_pred or X+Y from counts per quadrant; ties keep the order given."""
-    names = list(counts)
-    entries = F.array(*[F.struct((-F.coalesce(c, F.lit(0))).cast("bigint").alias("n"), F.lit(i).alias("i"), F.lit(q).alias("q")) for i, (q, c) in enumerate(counts.items())])
-    ranked = F.filter(F.array_sort(entries), lambda e: e["n"] < 0)
-    total = F.aggregate(ranked, F.lit(0).cast("bigint"), lambda s, e: s - e["n"])
-    first, second = ranked[0], F.get(ranked, F.lit(1))
+def quadrant_prose(counts: Mapping[str, Column]) -> Column:
+    """The same in words."""
+    total, some, even, top = _quadrants(counts)
+    names = F.transform(top, lambda q: tag(q, QUADRANTS))
     return (
-        F.when(F.size(ranked) == 0, "none")
-        .when(F.size(ranked) == 1, F.concat(first["q"], F.lit("_only")))
-        .when(-first["n"] >= share * total, F.concat(first["q"], F.lit("_pred")))
-        .when(F.size(ranked) == len(names), "4Q")
-        .otherwise(F.concat(first["q"], F.lit("+"), second["q"]))
+        F.when(total == 0, F.lit(None))
+        .when(even, "throughout all four quadrants (macula-centered)")
+        .when(some == 1, F.concat(F.lit("in the "), names[0], F.lit(" quadrant only")))
+        .when(F.size(top) == 1, F.concat(F.lit("predominantly in the "), names[0], F.lit(" quadrant")))
+        .when(F.size(top) == 2, F.concat(F.lit("distributed in the "), F.array_join(names, " and "), F.lit(" quadrants")))
+        .otherwise(F.concat(F.lit("distributed across "), F.size(top), F.lit(" quadrants ("), F.array_join(names, ", "), F.lit(")")))
     )
 
 

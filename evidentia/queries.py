@@ -114,7 +114,7 @@ m AS (SELECT a.i::INTEGER AS gold, b.i::INTEGER AS predicted, count(g.gold) AS n
 
 
 def _matrix(spark, sf_dir):
-    grade = C.bucket(F.col("n_chars"), ([(600, 0), (1000, 1), (2000, 2), (4000, 3)], 4), missing=None, strict=True).cast("int")
+    grade = C.bucket(F.col("n_chars"), ([("<", 600, 0), ("<", 1000, 1), ("<", 2000, 2), ("<", 4000, 3)], 4), missing=None).cast("int")
     h = C.sha1_bucket(F.col("doc_id").cast("string"))
     off = F.when(h < 30, 1).when(h < 45, -1).otherwise(0)
     rows = _t(spark, sf_dir, "documents").select(grade.alias("g"), F.least(F.lit(4), F.greatest(F.lit(0), grade + off)).alias("p"))
@@ -186,8 +186,8 @@ def scan_projection_filter(spark, sf_dir):
 
 @_query("""
 SELECT CASE WHEN q <= 0 THEN 'none' WHEN q <= 3 THEN 'few' WHEN q <= 10 THEN 'some' ELSE 'many' END AS four,
-  CASE WHEN q <= 1 THEN 'single' WHEN q <= 5 THEN 'few' ELSE 'many' END AS three,
-  CASE WHEN q <= 0 THEN 'none' WHEN q <= 3 THEN 'few' WHEN q <= 10 THEN 'some' WHEN q <= 20 THEN 'many' ELSE 'very_many' END AS five, count(*) AS n
+  CASE WHEN q <= 0 THEN NULL WHEN q <= 1 THEN 'single' WHEN q <= 5 THEN 'few' ELSE 'many' END AS three,
+  CASE WHEN q <= 0 THEN '未见' WHEN q <= 3 THEN '少量' WHEN q <= 10 THEN '数处' WHEN q <= 20 THEN '较多' ELSE '大量' END AS five, count(*) AS n
 FROM (SELECT l_quantity AS q FROM lineitem) GROUP BY 1, 2, 3""")
 def bucket_counts(spark, sf_dir):
     q = F.col("l_quantity")
@@ -203,7 +203,7 @@ def confidence_linear(spark, sf_dir):
 
 @_query("""
 SELECT floor(10 * greatest(0, least(1, ln(1 + l_extendedprice / 5000) / ln(11))) * greatest(0, least(1, ln(1 + l_quantity) / ln(21))))::BIGINT AS tenth,
-  CASE WHEN b < 9 THEN 'mild' WHEN b < 11 THEN 'moderate' WHEN b < 13 THEN 'heavy' ELSE 'extreme' END AS band, count(*) AS n
+  CASE WHEN b < 9 THEN '周边部' WHEN b < 11 THEN '中周部' WHEN b < 13 THEN '后极部' ELSE '黄斑区' END AS band, count(*) AS n
 FROM (SELECT *, ln(1 + l_extendedprice) + 2 * ln(1 + l_quantity) AS b FROM lineitem) GROUP BY 1, 2""")
 def confidence_and_burden(spark, sf_dir):
     price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
@@ -245,7 +245,7 @@ def decision_list_steps(spark, sf_dir):
 
 @_query("""
 WITH e AS (SELECT doc_id, CASE WHEN state = 'absent' THEN 'absent' WHEN state = 'present' AND source IN ('src1', 'src3') THEN 'strong' WHEN state = 'present' AND n_chars / 4000.0 >= 0.5 THEN 'strong' WHEN state = 'present' THEN 'weak' ELSE 'unknown' END AS s,
-  CASE WHEN n_chars <= 0 THEN 'none' WHEN n_chars <= 300 THEN 'small' WHEN n_chars <= 1500 THEN 'medium' ELSE 'large' END AS a FROM kinds),
+  CASE WHEN n_chars <= 0 THEN 'none' WHEN n_chars < 300 THEN 'small' WHEN n_chars < 1500 THEN 'medium' ELSE 'large' END AS a FROM kinds),
 p AS (SELECT doc_id, sum(CASE WHEN s = 'strong' THEN CASE a WHEN 'large' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END WHEN s = 'weak' THEN 1 ELSE 0 END)::BIGINT AS points FROM e GROUP BY doc_id)
 SELECT doc_id, points, CASE WHEN points = 0 THEN 'none' WHEN points <= 2 THEN 'light' WHEN points <= 5 THEN 'moderate' ELSE 'heavy' END AS burden FROM p""".replace("WITH e", "WITH " + _KINDS + ", e"))
 def evidence_burden(spark, sf_dir):
@@ -260,16 +260,17 @@ def usability_flags(spark, sf_dir):
 
 
 @_query("""
-SELECT o_orderkey, CASE WHEN total = 0 THEN 'none' WHEN k = 1 THEN q1 || '_only' WHEN v1 >= 0.6 * total THEN q1 || '_pred' WHEN k = 4 THEN '4Q' ELSE q1 || '+' || q2 END AS place
-FROM (SELECT o_orderkey, a + b + c + d AS total, (a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (d > 0)::INT AS k, l[1].q AS q1, -l[1].v AS v1, l[2].q AS q2
-  FROM (SELECT *, list_sort([{'v': -a, 'i': 0, 'q': 'ST'}, {'v': -b, 'i': 1, 'q': 'SN'}, {'v': -c, 'i': 2, 'q': 'IT'}, {'v': -d, 'i': 3, 'q': 'IN'}]) AS l
-    FROM (SELECT o_orderkey, o_orderkey % 4 AS a, o_custkey % 3 AS b, (o_orderkey // 4) % 5 - (o_orderkey // 4) % 5 * (o_custkey % 2) AS c, CASE WHEN o_orderkey % 7 = 0 THEN 9 ELSE 0 END AS d FROM orders)))""")
+WITH v AS (SELECT o_orderkey, o_orderkey % 4 AS a, o_custkey % 3 AS b, (o_orderkey // 4) % 5 - (o_orderkey // 4) % 5 * (o_custkey % 2) AS c, CASE WHEN o_orderkey % 7 = 0 THEN 9 ELSE 0 END AS d FROM orders),
+t AS (SELECT *, a + b + c + d AS total, (a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (d > 0)::INT AS k,
+  list_sort([{'v': -a, 'i': 0, 'q': 'ST'}, {'v': -b, 'i': 1, 'q': 'SN'}, {'v': -c, 'i': 2, 'q': 'IT'}, {'v': -d, 'i': 3, 'q': 'IN'}]) AS l FROM v),
+p AS (SELECT *, list_transform(list_filter(l, lambda x: -x.v >= greatest(1, total // 4)), lambda x: x.q) AS top FROM t)
+SELECT o_orderkey, CASE WHEN total = 0 THEN NULL WHEN k = 4 AND least(a, b, c, d) >= greatest(1, total // 6) THEN '4Q' WHEN k = 1 THEN top[1] || '_only' WHEN len(top) = 1 THEN top[1] || '_pred' ELSE array_to_string(top[1:3], '+') END AS place FROM p""")
 def quadrant_places(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     fifth = F.floor(k / 4) % 5
     counts = {"ST": k % 4, "SN": c % 3, "IT": fifth - fifth * (c % 2), "IN": F.when(k % 7 == 0, 9).otherwise(0)}
-    return orders.select("o_orderkey", C.quadrant_label(counts).alias("place"))
+    return orders.select("o_orderkey", C.quadrant_code(counts).alias("place"))
 
 
 # Joins
@@ -390,7 +391,7 @@ def most_common(spark, sf_dir):
 
 
 @_query("""
-WITH b AS (SELECT lang, CASE WHEN n_chars <= 0 THEN 'none' WHEN n_chars <= 300 THEN 'small' WHEN n_chars <= 1500 THEN 'medium' ELSE 'large' END AS band FROM documents),
+WITH b AS (SELECT lang, CASE WHEN n_chars <= 0 THEN 'none' WHEN n_chars < 300 THEN 'small' WHEN n_chars < 1500 THEN 'medium' ELSE 'large' END AS band FROM documents),
 c AS (SELECT lang, band, count(*) AS n FROM b GROUP BY GROUPING SETS ((lang, band), (band)))
 SELECT lang, band, n, n::DOUBLE / sum(n) OVER (PARTITION BY lang) AS share FROM c""")
 def band_shares(spark, sf_dir):
@@ -591,19 +592,20 @@ def json_extraction(spark, sf_dir):
 
 
 @_query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN (o_orderkey % 7) END::INTEGER AS grade, o_orderkey % 4 < 2 AS forbidden, CASE WHEN o_orderkey % 4 = 3 THEN chr((65 + o_orderkey % 5)::INTEGER) END AS letter
-FROM orders WHERE o_orderkey % 7 < 5""")
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey + 1) % 5 WHEN 1 THEN o_orderkey % 5 WHEN 2 THEN o_orderkey % 5 END::INTEGER AS graded, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 5 WHEN 1 THEN o_orderkey % 5 WHEN 2 THEN o_orderkey % 5 END::INTEGER AS training,
+  o_orderkey % 4 < 2 AS forbidden, CASE WHEN o_orderkey % 4 = 3 THEN chr((65 + o_orderkey % 5)::INTEGER) END AS letter FROM orders""")
 def grade_cascade(spark, sf_dir):
     k = F.col("o_orderkey")
-    digit = (k % 7).cast("string")
+    digit = (k % 5).cast("string")
     text = (
-        F.when(k % 4 == 0, F.concat(F.lit("The GRADE: "), digit, F.lit(" is clear")))
+        F.when(k % 4 == 0, F.concat(F.lit("GRADE "), digit, F.lit(" then 【结论】 DR Grade "), ((k + 1) % 5).cast("string")))
         .when(k % 4 == 1, F.concat(F.lit("so grade "), digit))
-        .when(k % 4 == 2, F.concat(F.lit(" "), digit, F.lit(" ")))
-        .otherwise(F.concat(F.lit("Answer: "), F.char((65 + k % 5).cast("int"))))
+        .when(k % 4 == 2, F.concat(F.lit('{"dr_grade": '), digit, F.lit("}")))
+        .otherwise(F.concat(F.lit("Answer: ("), F.char((65 + k % 5).cast("int")), F.lit(")")))
     )
-    rows = _t(spark, sf_dir, "orders").where("o_orderkey % 7 < 5").select("o_orderkey", text.alias("t"))
-    return rows.select("o_orderkey", X.grade(F.col("t")).alias("grade"), X.has_forbidden(F.col("t")).alias("forbidden"), X.letter(F.col("t")).alias("letter"))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    t = F.col("t")
+    return rows.select("o_orderkey", X.grade(t).alias("graded"), X.grade(t, "training").alias("training"), X.has_forbidden(t).alias("forbidden"), X.letter(t).alias("letter"))
 
 
 @_query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 0 THEN 'A,B' ELSE '' END AS kinds FROM customer")

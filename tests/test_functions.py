@@ -25,7 +25,7 @@ def test_finite_and_sentinel(spark):
 def test_bucket_edges(spark):
     rows = [(x,) for x in [None, 0, 1, 3, 4, 10, 11]]
     got = one(spark, rows, "n int", four=C.bucket(F.col("n"), C.COUNT_FOUR), three=C.bucket(F.col("n"), C.COUNT_THREE, missing=None))
-    assert got == [("unknown", None), ("none", "single"), ("few", "single"), ("few", "few"), ("some", "few"), ("some", "many"), ("many", "many")]
+    assert got == [("unknown", None), ("none", None), ("few", "single"), ("few", "few"), ("some", "few"), ("some", "many"), ("many", "many")]
 
 
 def test_confidences(spark):
@@ -52,10 +52,18 @@ def test_sha1_bucket_literals(spark):
     assert got == [(89, 21)]
 
 
+def test_area_edges(spark):
+    got = one(spark, [(x,) for x in (None, 0.0, 299.9, 300.0, 1500.0)], "a double", b=C.bucket(F.col("a"), C.AREA_FIXED), t=C.threshold_bucket(F.col("a"), F.lit(299.9), F.lit(300.0)))
+    assert got == [("unknown", None), ("none", None), ("small", "small"), ("medium", "medium"), ("large", "large")]
+
+
 def test_quadrants_keep_tie_order(spark):
-    rows = [(0, 0, 0, 0), (3, 0, 0, 0), (2, 2, 0, 0), (9, 1, 1, 1), (2, 2, 2, 2), (0, 1, 1, 0)]
-    got = one(spark, rows, "a int, b int, c int, d int", q=C.quadrant_label(dict(zip(C.QUADRANTS, map(F.col, "abcd"), strict=True))))
-    assert [g[0] for g in got] == ["none", "ST_only", "ST+SN", "ST_pred", "4Q", "SN+IT"]
+    rows = [(0, 0, 0, 0), (3, 0, 0, 0), (2, 2, 0, 0), (9, 1, 1, 1), (2, 2, 2, 2), (0, 1, 1, 0), (3, 3, 4, 0)]
+    counts = dict(zip(C.QUADRANTS, map(F.col, "abcd"), strict=True))
+    got = one(spark, rows, "a int, b int, c int, d int", q=C.quadrant_code(counts), p=C.quadrant_prose(counts))
+    assert [g[0] for g in got] == [None, "ST_only", "ST+SN", "ST_pred", "4Q", "SN+IT", "IT+ST+SN"]
+    assert got[2][1] == "distributed in the superior-temporal and superior-nasal quadrants"
+    assert got[6][1] == "distributed across 3 quadrants (inferior-temporal, superior-temporal, superior-nasal)"
 
 
 def test_options(spark):
@@ -86,11 +94,17 @@ def test_strict_json_is_pythons(spark, text, strict):
 
 
 def test_grades_and_letters(spark):
-    rows = [("Grade: 3 then grade 1",), ("level 2",), (" 4 ",), ("grade 9",), ("Answer: (c)",), ("b) yes",), ("nothing",)]
-    got = one(spark, rows, "t string", g=X.grade(F.col("t")), lt=X.letter(F.col("t")), f=X.has_forbidden(F.col("t")))
-    assert [g[0] for g in got] == [3, 2, 4, None, None, None, None]
-    assert [g[1] for g in got][4:] == ["C", "B", None]
-    assert got[0][2] and not got[1][2]
+    rows = [("Grade 1 【结论】 DR Grade 3",), ('{"dr_grade": 2} DR Grade 4',), ("grade 9",), ("Answer: (c)",), ("none of it",), ("just 4 here",)]
+    t = F.col("t")
+    got = one(spark, rows, "t string", a=X.grade(t), b=X.grade(t, "benchmark"), c=X.grade(t, "format"), d=X.grade(t, "training"), lt=X.letter(t), f=X.has_forbidden(t))
+    assert [g[:4] for g in got] == [(3, 3, 3, 1), (2, 2, 4, 4), (None,) * 4, (None,) * 4, (None,) * 4, (None, None, None, 4)]
+    assert [g[4] for g in got] == [None, None, None, "C", None, None] and [g[5] for g in got] == [True, True, False, False, False, False]
+
+
+def test_fenced_objects(spark):
+    rows = [('```json\n{"a": 1}\n``` {"dr_grade": 2}',), ('x 【JSON】 {"b": 1}\n\nrest',), ('see {"dr_grade": 3} end',), ("none",)]
+    got = one(spark, rows, "t string", o=X.fenced_object(F.col("t")))
+    assert [g[0] for g in got] == ['{"a": 1}', '{"b": 1}', '{"dr_grade": 3}', None]
 
 
 def test_key_values(spark):
