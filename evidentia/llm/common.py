@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir, as a whole URI; one of our own only where that is unset."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="evidentia-checkpoints-")
+        named = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='evidentia-checkpoints-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
-    return named
+    path = sc._jvm.org.apache.hadoop.fs.Path(named)
+    whole = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return whole if "://" in whole else whole.replace("file:/", "file:///", 1)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -234,9 +234,7 @@ def look_up(shard: str, doc_id: int | None) -> list[np.ndarray]:
 def round_trip(docs: DataFrame, *, tokenizer: str = TOKENIZER, end_id: int = 1) -> DataFrame:
     """Writes shards under the shared folder and returns what reading them gives, with the crc32 of each document's ids."""
     spark = docs.sparkSession
-    folder = shared_dir(spark)
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    shards = write_shards(docs, f"{folder.rstrip('/')}/sst-{uuid.uuid4().hex}", tokenizer=tokenizer, end_id=end_id)
+    shards = write_shards(docs, f"{shared_dir(spark)}/sst-{uuid.uuid4().hex}", tokenizer=tokenizer, end_id=end_id)
 
     @F.pandas_udf("long")
     def crc(ids: pd.Series) -> pd.Series:
