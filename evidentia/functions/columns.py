@@ -209,3 +209,9 @@ def laterality_quadrant(x: Column, y: Column, cx: Column, cy: Column, right_eye:
 def rescaled(value: Column, offset: Column, extent: Column, target: float) -> Column:
     """A coordinate after cropping at `offset` and scaling `extent` to `target`."""
     return (value - offset) * target / F.nullif(extent.cast("double"), F.lit(0.0))
+
+
+def kept_measure(area: Column, count: Column, least_area: float, grade: Column | None = None) -> Column:
+    """Whether a measured finding counts: something is there and large enough, and the grade is not 0."""
+    ok = F.coalesce((count > 0) & (area >= least_area), F.lit(False))
+    return ok if grade is None else ok & ~F.coalesce(grade == 0, F.lit(False))

@@ -193,3 +193,51 @@ def trimmed_tokens(ids: Column, pad: int) -> Column:
     """A row of token ids up to its first padding id."""
     at = F.array_position(ids, F.lit(pad))
     return F.when(at > 0, F.slice(ids, F.lit(1), (at - 1).cast("int"))).otherwise(ids)
+
+
+def _first_key(node, wanted: frozenset):
+    """Pre-order: a node's own keys in order, then its children."""
+    stack = [node]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, dict):
+            for key, value in at.items():
+                if key in wanted:
+                    return value
+            stack.extend(reversed(list(at.values())))
+        elif isinstance(at, list):
+            stack.extend(reversed(at))
+    return None
+
+
+def first_key(*names: str):
+    """A function of JSON texts: the value, as JSON, at the first of several keys anywhere in the document. Only for
+    documents whose layout is not known; known paths are cheaper by `any_path`."""
+    wanted = frozenset(names)
+
+    @F.pandas_udf(T.StringType())
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for text in batch:
+                try:
+                    value = _first_key(json.loads(text), wanted)
+                except (TypeError, ValueError):
+                    value = None
+                out.append(None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+            yield pd.Series(out, dtype=object)
+
+    return find
+
+
+def rendered(template: str, **values: Column) -> Column:
+    """A template with {name} places filled from columns; NULL values are written as nothing."""
+    out, rest = [], template
+    while rest:
+        head, opened, tail = rest.partition("{")
+        out.append(F.lit(head))
+        if opened:
+            name, _, tail = tail.partition("}")
+            out.append(F.coalesce(values[name].cast("string"), F.lit("")))
+        rest = tail
+    return F.concat(*out) if out else F.lit("")

@@ -112,3 +112,8 @@ def shares(df: DataFrame, keys: Sequence[str], band: str) -> DataFrame:
     counts = counts.where((F.col("b") == 0) & (F.col("g").isin(0, all_keys << 1)))
     w = Window.partitionBy("g", *keys)
     return counts.select(*keys, band, "n", (F.col("n").cast("double") / F.sum("n").over(w)).alias("share"))
+
+
+def conditional_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], when: dict[str, Column]) -> DataFrame:
+    """Sums of several columns under several conditions, as <condition>_<column>."""
+    return df.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0)).alias(f"{n}_{v}") for n, c in when.items() for v in values])

@@ -144,3 +144,65 @@ def hard_negative_mix(df: DataFrame, positive: Column, hard: Column, order: Sequ
     role = F.when(positive, "positive").when(hard, "hard_negative").otherwise("easy_negative")
     n_hard = n_neg // 3
     return take_budgets(df.withColumn("role", role), "role", [("positive", n_pos), ("hard_negative", n_hard), ("easy_negative", n_neg - n_hard)], order)
+
+
+def reshuffled_cycles(df: DataFrame, keys: Sequence[str], identity: Column, order: Sequence[Column], n: int, salt: str) -> DataFrame:
+    """n rows of each group where every round over the group has a hash order of its own; adds `cycle`."""
+    w = Window.partitionBy(*keys)
+    counted = df.withColumn("__m", F.count("*").over(w))
+    rounds = F.ceil(F.lit(n) / F.col("__m")).cast("int")
+    views = counted.withColumn("cycle", F.explode(F.sequence(F.lit(0), rounds - 1)))
+    draw = F.sha1(F.concat_ws("::", F.lit(salt), F.col("cycle"), identity.cast("string")).cast("binary"))
+    return _rank(views, [*keys, "cycle"], [draw, *order], "__rn").where(F.col("cycle") * F.col("__m") + F.col("__rn") <= n).drop("__rn", "__m")
+
+
+def priority_sample(df: DataFrame, keys: Sequence[str], ranks: Sequence[tuple[str, Column]], order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows of each group, better ranks first; adds `rank`, the first name whose condition holds, or other."""
+    name, place = F.lit("other"), F.lit(len(ranks))
+    for i, (r, condition) in reversed(list(enumerate(ranks))):
+        name, place = F.when(condition, r).otherwise(name), F.when(condition, i).otherwise(place)
+    ranked = df.withColumn("rank", name).withColumn("__place", place)
+    return top_n(ranked, keys, [F.col("__place"), *order], n).drop("__place")
+
+
+def ratio_capped(df: DataFrame, key: str, base: str, ratios: Sequence[tuple[str, float]], order: Sequence[Column]) -> DataFrame:
+    """The base class whole, and of each listed class at most `ratio` times as many rows as the base has."""
+    n = df.where(F.col(key) == base).agg(F.count("*").alias("__base"))
+    cap = F.when(F.col(key) == base, F.col("__base"))
+    for name, ratio in ratios:
+        cap = cap.when(F.col(key) == name, F.floor(F.col("__base") * ratio))
+    listed = df.where(F.col(key).isin(base, *[r[0] for r in ratios]))
+    ranked = _rank(listed, [key], order, "__rn").join(F.broadcast(n), how="inner", on=F.lit(True))
+    return ranked.where(F.col("__rn") <= cap).drop("__rn", "__base")
+
+
+def replay_mix(base: DataFrame, additions: DataFrame, keys: Sequence[str], positive: Column, order: Sequence[Column], cap: int) -> DataFrame:
+    """The base rows and, for each group, as many new positives as negatives: the least of both and of a cap."""
+    even = balanced(additions, keys, positive, order)
+    side = even.withColumn("__pos", positive.cast("int"))
+    return base.withColumn("role", F.lit("replay")).unionByName(top_n(side, [*keys, "__pos"], order, cap).drop("__pos").withColumn("role", F.lit("added")), allowMissingColumns=True)
+
+
+def odd_aware_halves(df: DataFrame, positive: Column, order: Sequence[Column], n: int) -> DataFrame:
+    """n rows, half of them positive and the odd one positive too, each half cyclic."""
+    side = df.withColumn("__side", F.when(positive, "pos").otherwise("neg"))
+    return take_budgets(side, "__side", [("pos", n // 2 + n % 2), ("neg", n // 2)], order).drop("__side")
+
+
+def quotas_with_roles(df: DataFrame, key: str, identity: Sequence[str], quotas: Sequence[tuple[str, str, int]], order: Sequence[Column]) -> DataFrame:
+    """For each (class, role, n) in turn the next n rows of the class that no earlier quota has used; repeated
+    identities count once. Adds `role`."""
+    once = _rank(df, [key, *identity], order, "__dup").where("__dup = 1").drop("__dup")
+    ranked = _rank(once, [key], order, "__rn")
+    role, done = F.lit(None).cast("string"), {}
+    for name, label, n in quotas:
+        start = done.get(name, 0)
+        role = F.when((F.col(key) == name) & (F.col("__rn") > start) & (F.col("__rn") <= start + n), label).otherwise(role)
+        done[name] = start + n
+    return ranked.withColumn("role", role).where("role is not null").drop("__rn")
+
+
+def extremes(df: DataFrame, value: str, tie: str, k: int) -> DataFrame:
+    """The k greatest and k least rows as a report, marked in `end`."""
+    top = df.orderBy(F.desc(value), tie).limit(k).withColumn("end", F.lit("top"))
+    return top.unionByName(df.orderBy(F.asc(value), tie).limit(k).withColumn("end", F.lit("bottom")))

@@ -71,3 +71,21 @@ def candidate_metrics(scored: Mapping[str, DataFrame]) -> DataFrame:
 def quick_subset(rows: DataFrame, keys: Sequence[str], entity: str, n: int, salt: str = "quick") -> DataFrame:
     """A small fixed stratified subset for fast regression runs."""
     return top_n(rows, keys, [stable_key(F.col(entity), salt=salt), F.col(entity)], n)
+
+
+def parse_plan(items: Sequence[str], default: tuple[int, int] = (0, 0)) -> dict[str, tuple[int, int]]:
+    """CLASS:POSITIVE:NEGATIVE arguments as budgets; a missing number takes its default."""
+    out = {}
+    for item in items:
+        name, *numbers = item.split(":")
+        if not name or len(numbers) > 2:
+            raise ValueError(f"not CLASS:POSITIVE:NEGATIVE: {item}")
+        given = [int(n) for n in numbers]
+        out[name] = (given[0] if given else default[0], given[1] if len(given) > 1 else default[1])
+    return out
+
+
+def selected(df: DataFrame, column: str, choice: str, order: Sequence[Column] = (), limit: int | None = None) -> DataFrame:
+    """Rows by a list argument, `all` or integers with commas, and at most `limit` of them in the order given."""
+    out = df if choice == "all" else df.where(F.col(column).isin(*[int(x) for x in choice.split(",") if x.strip()]))
+    return out if limit is None else out.orderBy(*order).limit(limit)

@@ -578,6 +578,53 @@ def later_source_wins(spark, sf_dir):
     return U.later_wins([customers.select("c_custkey", F.col("c_mktsegment").alias("label")), customers.where("c_acctbal < 0").select("c_custkey", F.lit("debt").alias("label"))], ["c_custkey"])
 
 
+@_query(f"""
+WITH c AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS m FROM documents), v AS (SELECT *, unnest(range(0, ceil(150.0 / m)::BIGINT))::INTEGER AS cycle FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, cycle ORDER BY sha1('z::' || cycle || '::' || doc_id), doc_id) AS k FROM v)
+SELECT doc_id, lang, cycle FROM r WHERE cycle * m + k <= 150""")
+def reshuffled_cycles(spark, sf_dir):
+    return S.reshuffled_cycles(_t(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], F.col("doc_id"), [F.col("doc_id")], 150, "z")
+
+
+@_query(f"""SELECT doc_id, lang, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY p, {_ORDER}) AS r FROM (
+  SELECT doc_id, lang, CASE WHEN quality = 1 THEN 'gold' WHEN toxic = 1 THEN 'odd' ELSE 'other' END AS rank, CASE WHEN quality = 1 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END AS p FROM documents LEFT JOIN labels USING (doc_id))) WHERE r <= 60""")
+def priority_sample(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    return S.priority_sample(rows, ["lang"], [("gold", F.col("quality") == 1), ("odd", F.col("toxic") == 1)], _order(), 60).select("doc_id", "lang", "rank")
+
+
+@_query(f"""SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_ORDER}) AS r FROM documents), (SELECT count(*) AS b FROM documents WHERE lang = 'es')
+WHERE CASE lang WHEN 'es' THEN TRUE WHEN 'en' THEN r <= floor(b * 1.5) WHEN 'de' THEN r <= floor(b * 0.5) ELSE FALSE END""")
+def ratio_caps(spark, sf_dir):
+    return S.ratio_capped(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "es", [("en", 1.5), ("de", 0.5)], _order()).select("doc_id", "lang")
+
+
+@_query(f"""
+WITH r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY {_ORDER}) AS k, count(*) OVER (PARTITION BY s) AS m, CASE s WHEN 1 THEN 46 ELSE 45 END AS n FROM (SELECT doc_id, quality AS s FROM labels JOIN documents USING (doc_id)))
+SELECT doc_id, s AS quality, unnest(range(0, (n - k) // m + 1))::INTEGER AS cycle FROM r WHERE k <= n""")
+def odd_aware_halves(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).where("quality is not null").select("doc_id", "quality")
+    return S.odd_aware_halves(rows, F.col("quality") == 1, _order(), 91)
+
+
+@_query(f"""SELECT doc_id, lang, CASE WHEN r <= 5 THEN 'repair' ELSE 'anchor' END AS role FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_ORDER}) AS r FROM documents)
+WHERE lang = 'en' AND r <= 15 OR lang = 'de' AND r <= 5""")
+def quotas_with_roles(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", "lang")
+    return S.quotas_with_roles(rows, "lang", ["doc_id"], [("en", "repair", 5), ("de", "repair", 5), ("en", "anchor", 10)], _order())
+
+
+@_query("""SELECT * FROM (SELECT doc_id, n_chars, 'top' AS "end" FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5) UNION ALL SELECT * FROM (SELECT doc_id, n_chars, 'bottom' FROM documents ORDER BY n_chars, doc_id LIMIT 5)""")
+def extreme_examples(spark, sf_dir):
+    return S.extremes(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 5)
+
+
+@_query("""SELECT l_returnflag, coalesce(sum(l_linenumber) FILTER (l_discount > 0.05), 0)::BIGINT AS high_l_linenumber, coalesce(sum(l_suppkey) FILTER (l_discount > 0.05), 0)::BIGINT AS high_l_suppkey,
+  sum(l_linenumber)::BIGINT AS all_l_linenumber, sum(l_suppkey)::BIGINT AS all_l_suppkey FROM lineitem GROUP BY 1""")
+def conditional_sums(spark, sf_dir):
+    return A.conditional_sums(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_linenumber", "l_suppkey"], {"high": F.col("l_discount") > 0.05, "all": F.lit(True)})
+
+
 # Text, shapes and progress
 
 
@@ -711,3 +758,10 @@ def daily_windows(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     out = events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+
+@_query("SELECT c_custkey, 'Customer ' || c_name || ' (' || c_mktsegment || ')' AS line, (c_nationkey + 1)::BIGINT AS n FROM customer")
+def templates_and_deep_keys(spark, sf_dir):
+    doc = F.to_json(F.struct(F.struct(F.array(F.struct((F.col("c_nationkey") + 1).alias("n"))).alias("list")).alias("deep"), F.lit(1).alias("other")))
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", X.rendered("Customer {name} ({segment})", name=F.col("c_name"), segment=F.col("c_mktsegment")).alias("line"), doc.alias("doc"))
+    return rows.select("c_custkey", "line", X.first_key("n", "missing")("doc").cast("bigint").alias("n"))

@@ -131,3 +131,16 @@ def test_tokens_and_sections(spark):
 
 def test_compact_json_keeps_nulls_and_letters(spark):
     assert one(spark, [("é", None)], "a string, b int", j=X.compact_json(F.struct("a", "b"))) == [('{"a":"é","b":null}',)]
+
+
+def test_deep_keys_and_templates(spark):
+    rows = [('{"a": {"x": 1}, "y": {"b": {"x": 2}}, "z": [{"q": "é"}]}',), ('[{"x": null}, {"x": 3}]',), ("broken",), (None,)]
+    got = one(spark, rows, "t string", x=X.first_key("x")("t"), q=X.first_key("q", "none")("t"))
+    assert got == [("1", '"é"'), (None, None), (None, None), (None, None)]
+    assert one(spark, [("A", None)], "a string, b int", r=X.rendered("<{a}|{b}>", a=F.col("a"), b=F.col("b"))) == [("<A|>",)]
+
+
+def test_kept_measure(spark):
+    rows = [(10.0, 2, 1), (10.0, 2, 0), (1.0, 2, 1), (None, 2, 1), (10.0, 0, None)]
+    got = one(spark, rows, "a double, n int, g int", k=C.kept_measure(F.col("a"), F.col("n"), 5.0, F.col("g")))
+    assert [g[0] for g in got] == [True, False, False, False, False]

@@ -272,3 +272,30 @@ def test_curation_plan_never_leaks(spark):
     metrics = {n: curation.score(rows, F.col("n_chars") > n, "kind") for n in (0, 4000)}
     table = curation.candidate_metrics({str(n): m for n, m in metrics.items()})
     assert curation.choose(table, table.where("name = '0'"), curation.Gate({"macro_recall": 0.0}, ("macro_f1",))).first()["name"] == "0"
+
+
+def test_replay_ratio_and_quotas(spark):
+    base = frame(spark, [(100, "a", True)], "i int, c string, p boolean")
+    more = frame(spark, [(i, "ab"[i % 2], i % 5 == 0) for i in range(40)], "i int, c string, p boolean")
+    out = S.replay_mix(base, more, ["c"], F.col("p"), [F.col("i")], 3).collect()
+    assert Counter((r.role, r.p) for r in out) == {("replay", True): 1, ("added", True): 6, ("added", False): 6}
+    classes = frame(spark, [(c, i) for c, n in (("x", 4), ("y", 20), ("z", 1)) for i in range(n)], "c string, i int")
+    assert Counter(r.c for r in S.ratio_capped(classes, "c", "x", [("y", 2.0), ("z", 3.0)], [F.col("i")]).collect()) == {"x": 4, "y": 8, "z": 1}
+    twice = classes.union(classes)
+    used = S.quotas_with_roles(twice, "c", ["i"], [("y", "repair", 3), ("y", "anchor", 4)], [F.col("i")]).collect()
+    assert sorted((r.role, r.i) for r in used) == [("anchor", 3), ("anchor", 4), ("anchor", 5), ("anchor", 6), ("repair", 0), ("repair", 1), ("repair", 2)]
+
+
+def test_rounds_differ_and_are_whole(spark):
+    df = frame(spark, [(1, i) for i in range(8)], "k int, i int")
+    out = S.reshuffled_cycles(df, ["k"], F.col("i"), [F.col("i")], 20, "s").collect()
+    assert Counter(r.cycle for r in out) == {0: 8, 1: 8, 2: 4}
+    assert {r.i for r in out if r.cycle == 1} == set(range(8))
+
+
+def test_plan_arguments(spark):
+    assert curation.parse_plan(["MA:3:4", "HE:5", "EX"], (1, 2)) == {"MA": (3, 4), "HE": (5, 2), "EX": (1, 2)}
+    with pytest.raises(ValueError, match="not CLASS"):
+        curation.parse_plan([":3"])
+    df = frame(spark, [(i,) for i in range(6)], "g int")
+    assert rows_of(curation.selected(df, "g", "1, 3", [F.col("g")], 1)) == [(1,)] and curation.selected(df, "g", "all").count() == 6
