@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.ordered import running_sums
+
 
 def counter(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -31,15 +33,14 @@ def rates(df: DataFrame, key: str, conditions: dict[str, Column]) -> DataFrame:
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[float], floor_n: int = 0) -> DataFrame:
     """For each group n and the values at the places round(p / 100 (n - 1)) of the sorted values, half to even.
 
-    Values are first counted, so a group is as large as its number of different values. Groups of fewer than
+    Values are first counted and then summed by ranges, so that no task has all of a group. Groups of fewer than
     `floor_n` values get 0.0.
     """
     spread = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    run = spread.withColumns({"__to": F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "__n": F.sum("c").over(w)})
-    at = lambda p: F.bround(F.lit(float(p)) / 100 * (F.col("__n") - 1)).cast("bigint")
-    hit = lambda p: (at(p) < F.col("__to")) & (at(p) >= F.col("__to") - F.col("c"))
-    out = run.groupBy(*keys).agg(F.first("__n").alias("n"), *[F.max(F.when(hit(p), F.col(value))).alias(f"p{p:g}") for p in percents])
+    run = running_sums(spread, keys, value, ["c"])
+    at = lambda p: F.bround(F.lit(float(p)) / 100 * (F.col("c_all") - 1)).cast("bigint")
+    hit = lambda p: (at(p) >= F.col("c_before")) & (at(p) < F.col("c_before") + F.col("c"))
+    out = run.groupBy(*keys).agg(F.max("c_all").alias("n"), *[F.max(F.when(hit(p), F.col(value))).alias(f"p{p:g}") for p in percents])
     if floor_n:
         out = out.withColumns({f"p{p:g}": F.when(F.col("n") < floor_n, 0.0).otherwise(F.col(f"p{p:g}")) for p in percents})
     return out

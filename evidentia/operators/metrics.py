@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.ordered import running_sums
+
 #: What a row counts as. unparsed: without a usable prediction; other: with a prediction for another target.
 #: Each pair is (gold positive, gold negative); None leaves the row out.
 POLICIES = {
@@ -119,14 +121,13 @@ def harmonic_f1(per_class: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by ranks, ties getting their mean rank; NULL if a group has one class only.
 
-    Works on the distinct scores of each group, so ties of any number are one row.
+    Works on the distinct scores of each group, so ties of any number are one row, and on ranges of them, so that no
+    task has all of a group.
     """
     known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     ties = known.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("q"))
-    below = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    run = below.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ties.withColumn("lower", F.coalesce(F.sum("q").over(run), F.lit(0)))
-    sums = placed.groupBy(*by).agg(F.sum(F.col("p") * (2 * F.col("lower") + F.col("q"))).alias("twice"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
+    placed = running_sums(ties, by, score, ["q"])
+    sums = placed.groupBy(*by).agg(F.sum(F.col("p") * (2 * F.col("q_before") + F.col("q"))).alias("twice"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     return sums.select(*by, "n_pos", "n_neg", ratio(F.col("twice"), 2 * F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
