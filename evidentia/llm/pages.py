@@ -47,6 +47,11 @@ FRAME_WORDS = frozenset(
     "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup breadcrumb breadcrumbs share sharing social "
     "related recommended recommendations comment comments disqus reply replies respond widget pagination pager toolbar copyright disclaimer search login".split()
 )
+#: Beginnings, ends or middles of longer words that mean the same.
+FRAME_STEMS = ("comment", "sidebar", "footer", "cookie", "newsletter", "advert", "navbar", "breadcrumb", "subscri", "sponsor", "pagination", "banner")
+FRAME_ENDS = ("nav", "menu")
+#: Words after which a part of the frame is only spoken of, as in has-sidebar.
+SPOKEN_OF = frozenset("has with no without after before".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Elements whose open one ends where another of them begins.
@@ -64,23 +69,35 @@ class Line:
     content: bool  # in an article or main element
 
 
+def _names_frame(value: str, name: str, in_content: bool) -> bool:
+    """Whether a class or id names a part of the frame. Of an outermost article's or main element's, the first word counts."""
+    words = _WORD.findall(value)
+    if name in CONTENT and not in_content:
+        words = words[:1]
+    for before, word in zip(["", *words], words, strict=False):
+        if before in SPOKEN_OF:
+            continue
+        if word in FRAME_WORDS or any(x in word for x in FRAME_STEMS) or word.endswith(FRAME_ENDS):
+            return True
+        if not in_content and (word in HEADER_WORDS or word.endswith("header")):
+            return True
+    return False
+
+
 def _marks(name: str, attributes: str, in_content: bool) -> tuple[bool, bool]:
     """Whether an element is a part of the frame, and whether it is an article."""
     if name in FRAME or name in SKIPPED or (name == "header" and not in_content):
         return True, False
-    frame = content = name in CONTENT
-    frame = False
-    if attributes:
-        for key, a, b, c in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), (a or b or c).lower()
-            if key == "role":
-                content |= value in ("main", "article")
-                frame |= value in FRAME_ROLES
-            elif key in ("class", "id"):
-                words = _WORD.findall(value)
-                frame |= any(w in FRAME_WORDS or (w in HEADER_WORDS and not in_content) for w in words)
-            elif key == "hidden":
-                frame = True
+    frame, content = False, name in CONTENT
+    for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
+        key, value = key.lower(), a or b or c
+        if key == "role":
+            content |= value.lower() in ("main", "article")
+            frame |= value.lower() in FRAME_ROLES
+        elif key in ("class", "id"):
+            frame |= _names_frame(value.lower(), name, in_content)
+        elif key == "hidden":
+            frame = True
     return frame and name not in ("html", "body"), content
 
 

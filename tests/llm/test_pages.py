@@ -60,3 +60,13 @@ def test_odd_pages(spark):
     got = {r.page_id: r.text for r in pages.extracted(docs).collect()}
     assert got == {None: "", 1: "", 2: "a < b & c", 3: "deep", 4: ("text only " * 50_000).strip(), 5: "rest", 6: ""}
     assert pages.extracted(docs).count() == 8 and pages.extracted(docs.limit(0)).count() == 0
+
+
+def test_names_of_frames(spark):
+    kept = ['<div class="has-sidebar">', '<article class="post comments-open">', '<main id="content" class="with-footer">', '<p class="document">', '<div class="entry">']
+    gone = ['<div class="commentlist">', '<div id="topnav">', '<ul class="mainMenu">', '<div class="siteFooter">', '<article class="comment">', '<div class="x cookieBar">', '<div role="banner">', '<p hidden>', '<section class="page-header">']
+    for tag in kept + gone:
+        lines = pages.lines_of(f"<body>{tag}text</body>")
+        assert [x.frame for x in lines] == [tag in gone], tag
+    inner = pages.lines_of('<article class="post"><h1 class="post-header">Head</h1><article class="comment x">Reply</article></article>')
+    assert [(x.text, x.frame) for x in inner] == [("Head", False), ("Reply", True)]
