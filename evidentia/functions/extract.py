@@ -196,15 +196,16 @@ def trimmed_tokens(ids: Column, pad: int) -> Column:
 
 
 def _first_key(node, wanted: frozenset):
-    """Pre-order: a node's own keys in order, then its children."""
+    """Pre-order: a node's own keys in order, then its children. A key with null ends the search below its node only."""
     stack = [node]
     while stack:
         at = stack.pop()
         if isinstance(at, dict):
-            for key, value in at.items():
-                if key in wanted:
-                    return value
-            stack.extend(reversed(list(at.values())))
+            hit = next((k for k in at if k in wanted), None)
+            if hit is None:
+                stack.extend(reversed(list(at.values())))
+            elif at[hit] is not None:
+                return at[hit]
         elif isinstance(at, list):
             stack.extend(reversed(at))
     return None

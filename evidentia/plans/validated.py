@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import columns as C
 from evidentia.operators.reshape import complete
 from evidentia.operators.rules import Rule, apply_rules, decision_list
+from evidentia.sources.readers import point
 
 LESIONS = ("HE", "EX", "SE", "MA", "IRMA", "NV")
 MEASURED = ("HE", "EX", "SE")
@@ -41,6 +42,50 @@ BIOMARKERS = {"cdr": (0.0, 1.2, "od_qc"), "av_ratio": (0.2, 1.5, "vessel_qc"), "
 STRICT_BIOMARKERS = {"av_ratio": (0.3, 1.2), "cdr": (0.0, 0.9), "tortuosity": (1.0, 2.5)}
 
 
+# Where documents of different layouts keep a lesion's block and its numbers, in the order of precedence.
+BLOCKS = {
+    "HE": ["$.lesions.HE", "$.lesion.HE", "$.lesion_analysis.HE", "$.lesion_quantification.HE", "$.lesions.he", "$.lesion_analysis.he", "$.measurements.lesions.lesion_dr.categories.hemorrhage"],
+    "EX": ["$.lesions.EX", "$.lesion.EX", "$.lesion_analysis.EX", "$.lesion_quantification.EX", "$.lesions.ex", "$.lesion_analysis.ex", "$.measurements.lesions.lesion_dr.categories.exudate"],
+    "SE": ["$.lesions.SE", "$.lesion.SE", "$.lesion_analysis.SE", "$.lesion_quantification.SE", "$.lesions.se", "$.lesion_analysis.se", "$.measurements.lesions.lesion_dr.categories.cotton_wool_spot"],
+}
+COUNTS = ["$.count", "$.num", "$.n", "$.number"]
+AREAS = ["$.total_area", "$.area_total", "$.area", "$.sum_area", "$.area_px", "$.total_area_px"]
+PLACES = {"ST": "superior_temporal", "SN": "superior_nasal", "IT": "inferior_temporal", "IN": "inferior_nasal"}
+
+
+def _number(doc: Column, paths: Sequence[str]) -> Column:
+    """The first number at several paths."""
+    return C.finite(F.coalesce(*[F.try_variant_get(doc, p, "double") for p in paths]))
+
+
+def document_lesions(docs: DataFrame) -> DataFrame:
+    """A row per record and measured lesion with count, area and counts by quadrant, from documents (record_id, grade, doc)."""
+    blocks = F.array(*[F.struct(F.lit(k).alias("lesion"), F.coalesce(*[F.try_variant_get("doc", p, "variant") for p in paths]).alias("block")) for k, paths in BLOCKS.items()])
+    long = docs.select("record_id", "grade", F.explode(blocks).alias("b")).select("record_id", "grade", "b.lesion", "b.block")
+    block = F.col("block")
+    quadrant = {q: F.coalesce(_number(block, [f"$.quadrant_distribution.{name}", f"$.quadrants.{name}"]), F.lit(0.0)).cast("int") for q, name in PLACES.items()}
+    numbers = {"count": F.coalesce(_number(block, COUNTS), F.lit(0.0)).cast("int"), "area": F.coalesce(_number(block, AREAS), F.lit(0.0))}
+    return long.withColumns({**numbers, **quadrant}).drop("block")
+
+
+def document_biomarkers(docs: DataFrame) -> DataFrame:
+    """One row per record with cdr, av_ratio, tortuosity, eye_side, both quality checks, and the geometry of disc and macula."""
+    doc = F.col("doc")
+    at = lambda path: f"$.measurements.{path}"
+    flag = lambda path: F.coalesce(F.try_variant_get(doc, at(path), "boolean"), F.lit(False))
+    artery, vein = _number(doc, [at("vessels.tortuosity.artery")]), _number(doc, [at("vessels.tortuosity.vein")])
+    disc, macula = point(doc, at("optic_disc_cup.disc.center")), point(doc, at("macula.center"))
+    return docs.select(
+        "record_id", "grade",
+        _number(doc, [at("optic_disc_cup.cup_disc_ratio.value")]).alias("cdr"),
+        _number(doc, [at("vessels.av_ratio")]).alias("av_ratio"),
+        F.bround((artery + vein) / 2, 6).alias("tortuosity"),
+        F.try_variant_get(doc, at("optic_disc_cup.eye_side"), "string").alias("eye_side"),
+        flag("optic_disc_cup.qc.pass").alias("od_qc"), flag("vessels.qc_flag").alias("vessel_qc"),
+        C.radial_geometry(disc["x"], disc["y"], macula["x"], macula["y"], _number(doc, [at("optic_disc_cup.disc.radius")])).alias("geometry"),
+    )
+
+
 def measured_lesions(df: DataFrame, sources: Sources) -> DataFrame:
     """Adds present, confidence, buckets and source to rows (record_id, grade, lesion, count, area)."""
     seen = (F.coalesce("count", F.lit(0)) > 0) & (F.coalesce("area", F.lit(0.0)) > 0)

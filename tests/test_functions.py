@@ -139,7 +139,7 @@ def test_compact_json_keeps_nulls_and_letters(spark):
 def test_deep_keys_and_templates(spark):
     rows = [('{"a": {"x": 1}, "y": {"b": {"x": 2}}, "z": [{"q": "é"}]}',), ('[{"x": null}, {"x": 3}]',), ("broken",), (None,)]
     got = one(spark, rows, "t string", x=X.first_key("x")("t"), q=X.first_key("q", "none")("t"))
-    assert got == [("1", '"é"'), (None, None), (None, None), (None, None)]
+    assert got == [("1", '"é"'), ("3", None), (None, None), (None, None)]
     assert one(spark, [("A", None)], "a string, b int", r=X.rendered("<{a}|{b}>", a=F.col("a"), b=F.col("b"))) == [("<A|>",)]
 
 

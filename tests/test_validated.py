@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,16 @@ def test_decision_steps(spark, grade, rows, step, burden):
     assert (got.step, got.burden) == (step, burden)
     groups = V.evidence_groups(strong).first()
     assert sum(len(groups[c]) for c in ("strong_present", "weak_present", "unknown_or_template", "absent")) == len(V.LESIONS)
+
+
+def test_documents_of_several_layouts(spark):
+    new = {"measurements": {"lesions": {"lesion_dr": {"categories": {"hemorrhage": {"count": 3, "area_px": 400.5, "quadrant_distribution": {"superior_temporal": 2, "inferior_nasal": 1}}}}}, "optic_disc_cup": {"eye_side": "left", "cup_disc_ratio": {"value": 0.4}, "disc": {"center": [10, 10], "radius": 5}, "qc": {"pass": True}}, "vessels": {"av_ratio": 0.7, "tortuosity": {"artery": 1.0, "vein": 2.0}, "qc_flag": False}, "macula": {"center": {"x": 30, "y": 10}}}}
+    old = {"lesion_analysis": {"he": {"num": 2, "total_area": 10}}, "lesions": {"EX": {"count": "4", "area": 1}}}
+    rows = [("new", 2, json.dumps(new)), ("old", None, json.dumps(old)), ("bad", 1, "nothing")]
+    docs = spark.createDataFrame(rows, "record_id string, grade int, t string").select("record_id", "grade", F.try_parse_json("t").alias("doc"))
+    got = by(V.document_lesions(docs), "count", "area", "ST", "IN")
+    assert got["new", "HE"] == (3, 400.5, 2, 1) and got["old", "HE"] == (2, 10.0, 0, 0) and got["bad", "SE"] == (0, 0.0, 0, 0)
+    assert got["old", "EX"] == (4, 1.0, 0, 0)
+    marks = {r.record_id: r for r in V.valid_biomarkers(V.document_biomarkers(docs)).collect()}
+    assert (marks["new"].cdr_valid, marks["new"].av_ratio_valid, marks["new"].tortuosity, marks["new"].eye_side_valid, marks["new"].geometry.valid) == (True, False, 1.5, True, True)
+    assert not marks["old"].cdr_valid and marks["bad"].geometry.reason == "missing"
