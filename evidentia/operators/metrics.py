@@ -140,3 +140,14 @@ def numeric_errors(df: DataFrame, gold: Column, predicted: Column, by: Sequence[
 def parse_rates(df: DataFrame, checks: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """The share of rows that pass each check."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(k) for k, c in checks.items()])
+
+
+def metrics_document(per_class: DataFrame, key: str, subsets: dict[str, Sequence[str]], columns: Sequence[str] = METRICS) -> DataFrame:
+    """One row: n, a struct of macro means for each named subset of classes, and a map class → counts and metrics."""
+    own = F.struct(*[F.col(c) for c in (*CELLS, *columns)])
+    macros = []
+    for name, classes in subsets.items():
+        inside = F.col(key).isin(*classes)
+        macros.append(F.struct(*[F.avg(F.when(inside, F.col(c))).alias(c) for c in columns]).alias(f"{name}_macro"))
+    n = F.sum(sum((F.col(c) for c in CELLS[1:]), F.col(CELLS[0]))).alias("n")
+    return per_class.agg(n, *macros, F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), own.alias("value"))))).alias("by_class"))

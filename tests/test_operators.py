@@ -299,3 +299,10 @@ def test_plan_arguments(spark):
         curation.parse_plan([":3"])
     df = frame(spark, [(i,) for i in range(6)], "g int")
     assert rows_of(curation.selected(df, "g", "1, 3", [F.col("g")], 1)) == [(1,)] and curation.selected(df, "g", "all").count() == 6
+
+
+def test_metrics_document(spark):
+    counts = frame(spark, [("MA", 79, 98, 45, 3), ("HE", 168, 11, 26, 20), ("NV", 1, 1, 1, 1)], "k string, tp long, fp long, fn long, tn long")
+    doc = M.metrics_document(M.binary_metrics(counts), "k", {"main": ["MA", "HE"], "rare": ["NV"]}).first()
+    assert doc.n == 454 and sorted(doc.by_class) == ["HE", "MA", "NV"] and doc.by_class["NV"].tp == 1
+    assert doc.rare_macro.f1 == 0.5 and abs(doc.main_macro.recall - (79 / 124 + 168 / 194) / 2) < 1e-12
