@@ -19,8 +19,9 @@ from evidentia.llm.words import runs
 
 #: Vocabularies up to this size are kept as two-byte ids.
 NARROW = 1 << 16
-#: Words that a worker remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED_WORDS = 300_000
+#: Words that a worker remembers in each of two generations: when the younger is full it becomes the older one, and only
+#: words that are met again move on. Bounds memory, not results.
+REMEMBERED_WORDS = 200_000
 #: Texts outside these characters are encoded whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-įı-ɏ]*")
 #: How the two kinds of tokenizer files split a text into words.
@@ -87,24 +88,27 @@ def _splitter(name: str):
     return None
 
 
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def encoded(texts: Sequence[str], name: str) -> Iterator[bytes]:
     """The ids of each text, without special tokens, as little-endian integers of ids_dtype(name)."""
     coder, kind, how = tokenizer(name), ids_dtype(name), _splitter(name)
     merge, letters = coder.model.tokenize, _byte_letters()
-    known, code = _known.setdefault(name, {}), "H" if kind.itemsize == 2 else "I"
+    (known, older), code = _known.get(name, ({}, {})), "H" if kind.itemsize == 2 else "I"
     for start, end in runs(texts):
         part, split = texts[start:end], {}
         if how:
             if len(known) > REMEMBERED_WORDS:
-                known.clear()
+                known, older = {}, known
+            _known[name] = known, older
             for i, text in enumerate(part):
                 if _PLAIN.fullmatch(text):
                     split[i] = how[0].findall(text.lower() if how[1] else text)
-            new = list(set().union(*split.values()).difference(known))
-            for word in new:
+            new = set().union(*split.values()).difference(known)
+            again = new.intersection(older)
+            known.update(zip(again, map(older.__getitem__, again), strict=True))
+            for word in new - again:
                 known[word] = array(code, [t.id for t in merge(word.encode().decode("latin-1").translate(letters))]).tobytes()
         for i, text in enumerate(part):
             if i in split:
