@@ -198,8 +198,10 @@ def _links_beyond_centres(members: DataFrame, sets: DataFrame, classes: DataFram
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents without near-duplicates: of each class the row of the least (doc_id, text_hash), columns as given."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__ev_id"), F.col("text_hash").alias("__ev_hash")).distinct()
+    kept = near_duplicates(docs, **options).where("kept").groupBy(F.col("doc_id").alias("__ev_id"), F.col("text_hash").alias("__ev_hash")).agg(F.count("*").alias("__ev_rows"))
+    kept = cut(kept)
     docs = docs.withColumn("__ev_row_hash", F.xxhash64(text_or_empty()))
     joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__ev_id")) & (F.col("__ev_row_hash") == F.col("__ev_hash")), "left_semi")
-    # rows that repeat both doc_id and text are one document
-    return joined.dropDuplicates(["doc_id", "__ev_row_hash"]).drop("__ev_row_hash")
+    if not kept.where("__ev_rows > 1").isEmpty():  # rows that repeat both doc_id and text are one document
+        joined = joined.dropDuplicates(["doc_id", "__ev_row_hash"])
+    return joined.drop("__ev_row_hash")
