@@ -106,9 +106,9 @@ def encoded(texts: Sequence[str], name: str) -> Iterator[bytes]:
                 if _PLAIN.fullmatch(text):
                     split[i] = how[0].findall(text.lower() if how[1] else text)
             new = set().union(*split.values()).difference(known)
-            again = new.intersection(older)
-            known.update(zip(again, map(older.__getitem__, again), strict=True))
-            for word in new - again:
+            again = {w: older[w] for w in new if w in older}
+            known.update(again)
+            for word in new.difference(again):
                 known[word] = array(code, [t.id for t in merge(word.encode().decode("latin-1").translate(letters))]).tobytes()
         for i, text in enumerate(part):
             if i in split:
