@@ -79,13 +79,13 @@ def pack(docs: DataFrame, *, length: int = LENGTH, tokenizer: str = TOKENIZER, e
     """
     groups = max(1, -(-docs.count() // group_documents))
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([end_id], ids_dtype(tokenizer)).tobytes()
         for frame in frames:
             texts = frame["text"].tolist()
             frame["ids"] = [b + end for b in encoded(texts, tokenizer)]
-            frame["tie"] = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield frame[["doc_id", "tie", "ids"]]
 
     def pack_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

@@ -15,8 +15,6 @@ from functools import cache
 
 import numpy as np
 
-from evidentia.llm.words import runs
-
 #: Vocabularies up to this size are kept as two-byte ids.
 NARROW = 1 << 16
 #: Words that a worker remembers in each of two generations: when the younger is full it becomes the older one, and only
@@ -88,30 +86,40 @@ def _splitter(name: str):
     return None
 
 
-_known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+class _Words(dict):
+    """The ids of words; a word that is not there is taken over from the older generation or encoded."""
+
+    def __init__(self, name: str, older: dict):
+        super().__init__()
+        self.older, self.merge, self.letters = older, tokenizer(name).model.tokenize, _byte_letters()
+        self.code = "H" if ids_dtype(name).itemsize == 2 else "I"
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array(self.code, [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self[word] = ids
+        return ids
+
+
+_known: dict[str, _Words] = {}
+
+
+def _words(name: str) -> _Words:
+    held = _known.get(name)
+    if held is None or len(held) > REMEMBERED_WORDS:
+        if held is not None:
+            held.older = {}
+        held = _known[name] = _Words(name, held or {})
+    return held
 
 
 def encoded(texts: Sequence[str], name: str) -> Iterator[bytes]:
     """The ids of each text, without special tokens, as little-endian integers of ids_dtype(name)."""
     coder, kind, how = tokenizer(name), ids_dtype(name), _splitter(name)
-    merge, letters = coder.model.tokenize, _byte_letters()
-    (known, older), code = _known.get(name, ({}, {})), "H" if kind.itemsize == 2 else "I"
-    for start, end in runs(texts):
-        part, split = texts[start:end], {}
-        if how:
-            if len(known) > REMEMBERED_WORDS:
-                known, older = {}, known
-            _known[name] = known, older
-            for i, text in enumerate(part):
-                if _PLAIN.fullmatch(text):
-                    split[i] = how[0].findall(text.lower() if how[1] else text)
-            new = set().union(*split.values()).difference(known)
-            again = {w: older[w] for w in new if w in older}
-            known.update(again)
-            for word in new.difference(again):
-                known[word] = array(code, [t.id for t in merge(word.encode().decode("latin-1").translate(letters))]).tobytes()
-        for i, text in enumerate(part):
-            if i in split:
-                yield b"".join(map(known.__getitem__, split[i]))
-            else:
-                yield np.array(coder.encode(text, add_special_tokens=False).ids, kind).tobytes()
+    for text in texts:
+        if how and _PLAIN.fullmatch(text):
+            words = how[0].findall(text.lower() if how[1] else text)
+            yield b"".join(map(_words(name).__getitem__, words))
+        else:
+            yield np.array(coder.encode(text, add_special_tokens=False).ids, kind).tobytes()
