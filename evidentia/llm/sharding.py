@@ -1,8 +1,8 @@
 """Shards by balanced label propagation: linked documents move towards their neighbours' shards under quotas.
 
-Documents are linked if their texts are equal or share one of their `LINES` least-hashed lines of at least
-`LINE_CHARS` characters. Equal texts are one node, and a line is a hub between nodes, so a group of any size costs as
-many links as it has members. Each round joins nodes to their hubs: a hub votes for the shard that most of its rows are
+Documents are linked if their texts are equal or share any line of at least `LINE_CHARS` characters. Equal texts are
+one node, and a line is a hub between nodes, so a group of any size costs as many links as it has members; lines that
+no other node has are dropped before the first round. Each round joins nodes to their hubs: a hub votes for the shard that most of its rows are
 in, a node wishes to move to the shard that gets most votes, and a shard takes in so many of those who wish (by a hash
 of node and round) as its quota has room for. Only counts by shard reach the driver.
 
@@ -25,7 +25,7 @@ SHARDS = 40
 ROUNDS = 4
 #: A shard may hold this much more than an even share while nodes move.
 SLACK = 1.1
-LINES, LINE_CHARS = 4, 30
+LINE_CHARS = 30
 _FINE = 1 << 20
 
 
@@ -33,7 +33,7 @@ def linked(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, node (of equal texts) and hubs of each row."""
     text = text_or_empty()
     long_lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) >= LINE_CHARS)
-    hubs = F.slice(F.array_sort(F.array_distinct(F.transform(long_lines, lambda x: F.xxhash64(x)))), 1, LINES)
+    hubs = F.array_distinct(F.transform(long_lines, lambda x: F.xxhash64(x)))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),

@@ -37,6 +37,17 @@ def test_linked_documents_meet(spark):
     assert sum(max(c.values()) for c in where.values()) / len(rows) > 0.5
 
 
+def test_one_shared_line_among_many_links(spark):
+    """Long documents that share a single line are linked by it, wherever its hash stands among their lines'."""
+    rows = [(i, "\n".join([*(f"line {k} of document {i}, which no other document has" for k in range(30)), f"a line of many words that family {i % 20} shares"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {len(r.hubs) for r in sharding.linked(docs).collect()} == {31}
+    where = defaultdict(Counter)
+    for r in sharding.sharded(docs, shards=10).collect():
+        where[r.doc_id % 20][r.shard] += 1
+    assert sum(max(c.values()) for c in where.values()) / len(rows) > 0.5
+
+
 def test_hot_group_fills_whole_shards(spark):
     rows = [(i, "one text" if i % 3 else f"text {i}") for i in range(300)]
     got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).collect()
