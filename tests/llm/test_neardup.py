@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -6,6 +7,8 @@ import numpy as np
 from evidentia.llm import neardup
 from evidentia.llm.graph import components
 
+from .conftest import prose
+
 
 def shingles(text):
     words = re.findall(r"\w+", (text or "").lower())
@@ -56,6 +59,19 @@ def test_links_beyond_a_buckets_centre(spark, corpus):
     assert got == brute(rows)
 
 
+def test_pairs_that_differ_in_counts(spark):
+    """A passage that one copy repeats many times lowers the probability Jaccard, not the Jaccard similarity."""
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        head, passage = prose(rng, 64), prose(rng, 64)
+        rows.append((2 * i, f"{head} {passage} {prose(rng, 12)}"))
+        rows.append((2 * i + 1, f"{head} {' '.join([passage] * 50)} {prose(rng, 12)}"))
+    truth = brute(rows)
+    assert len(set(truth.values())) == 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == truth
+
+
 def test_one_of_each_keeps_columns(docs, corpus):
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns
