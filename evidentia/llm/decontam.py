@@ -6,7 +6,8 @@ an item that stands in the document stands whole in some window, and the window
 as the item: a containment of 0.8 is then a Jaccard similarity of at least 0.19 however long the document is. A
 window is a candidate for an item if they agree in any of `HASHES` minima (missed once in 800 times at that bound,
 once in 10,000 for a whole item). A candidate is kept if the document as a whole has at least `containment` of the
-item's distinct shingles.
+item's distinct shingles. Of an item with fewer than `FEW` distinct shingles, which is small beside the smallest
+windows, every text that has one of them is a candidate.
 
 Items go to the tasks in blocks of at most `block_bytes` of text; documents are read once per block. An item shorter
 than a shingle is searched for as a run of that many words.
@@ -31,6 +32,8 @@ WORDS, CONTAINMENT = 5, 0.8
 HASHES = 32
 #: Shingles of the smallest class of items, and of the pieces that windows are put together from.
 SMALLEST = 8
+#: Items with fewer distinct shingles are looked up by the shingles themselves.
+FEW = SMALLEST // 2
 BLOCK_BYTES = 8 << 20
 
 FOUND = "array<struct<item:int,containment:double>>"
@@ -54,12 +57,20 @@ class ItemIndex:
         #: item numbers by length, for items shorter than a shingle
         self.short = {n: np.flatnonzero(lengths == n) for n in range(1, words) if (lengths == n).any()}
         upper: dict[int, list[int]] = {}
+        few: list[int] = []
         for i, s in enumerate(self.sets):
-            if lengths[i] >= words:
+            if lengths[i] >= words and len(s) < FEW:
+                few.append(i)
+            elif lengths[i] >= words:
                 u = SMALLEST
                 while u < len(s):
                     u *= 2
                 upper.setdefault(u, []).append(i)
+        #: sorted shingles of the items that have few of them, and these items
+        held = np.concatenate([np.zeros(0, np.uint64), *(self.sets[i] for i in few)])
+        owners = np.array([i for i in few for _ in self.sets[i]], np.int64)
+        order = np.argsort(held, kind="stable")
+        self.few = held[order], owners[order]
         #: by the classes' upper sizes, and by hash function: sorted minima and the items that have them
         self.classes = {}
         for u, items in sorted(upper.items()):
@@ -68,8 +79,15 @@ class ItemIndex:
             self.classes[u] = (np.take_along_axis(minima, order, 1), np.array(items)[order])
 
     def candidates(self, shingles: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs that agree in a minimum of some window."""
+        """(text, item) pairs that agree in a minimum of some window, or in any shingle where the item has few."""
         found: set[tuple[int, int]] = set()
+        few, owners = self.few
+        if len(few):
+            low = np.searchsorted(few, shingles)
+            hits = np.flatnonzero(few[np.minimum(low, len(few) - 1)] == shingles)
+            high = np.searchsorted(few, shingles[hits], side="right")
+            for text, a, b in zip(np.searchsorted(bounds, hits, side="right") - 1, low[hits], high, strict=True):
+                found.update((int(text), int(i)) for i in owners[a:b])
         counts = np.diff(bounds)
         pieces = -(-counts // SMALLEST)  # pieces of each text
         piece_at = np.concatenate(([0], np.cumsum(pieces)))

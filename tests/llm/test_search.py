@@ -54,6 +54,18 @@ def test_containment_equals_brute_force(spark, planted, benchmark_rows):
     assert in_blocks == want
 
 
+def test_items_of_few_shingles_are_all_found():
+    rng = random.Random(12)
+    items = [prose(rng, 5 + i % 3) for i in range(600)] + [" ".join(["again"] * 9)]
+    index = decontam.ItemIndex(items)
+    texts = [f"{prose(rng, (0, 7, 60)[i % 3])} {item} {prose(rng, 40)}" for i, item in enumerate(items)]
+    want = [[i for i, item in enumerate(items) if shingles(item) <= shingles(text)] for text in texts]
+    assert all(i in w for i, w in enumerate(want))
+    assert [[i for i, _ in found] for found in index.search(texts, 0.8)] == want
+    long = prose(rng, 30)
+    assert decontam.ItemIndex([long]).search([long, "", "x"], 0.8) == [[(0, 1.0)], [], []]
+
+
 def test_containment_of_odd_rows(odd, none, spark):
     items = spark.createDataFrame([(1, "same text of a few words here")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontam.contained_items(odd, items).collect()] == [(1, 1)] * 2
