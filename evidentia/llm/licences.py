@@ -1,7 +1,10 @@
 """Licences by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences at line ends and after . ; : ! ? with white space; a sentence is normalised to its
-lower-case letters and digits with single spaces, and known sentences are mapped to identifiers. The row of a text's
+A text is cut into lines, and after . ; : ! ? with white space; each piece is normalised to its lower-case letters and
+digits with single spaces, which also takes comment marks away. A known sentence is a piece, or a run of pieces that
+only single line ends part, so that wrapped sentences are found too; pieces without letters or digits (blank lines)
+and sentence marks end a run. Of known sentences that begin in one place the longest counts, and each piece counts
+once. Known sentences are mapped to identifiers. The row of a text's
 identifiers is then matched against the rules in order: a rule names a licence by a sequence of identifiers that stand
 next to each other, and uses up what it matches, so that longer sequences come before their parts.
 
@@ -75,7 +78,9 @@ RULES = [
     ("proprietary", ["all-rights"]),
 ]
 #: Every known sentence holds one of these, so other texts have none.
-_HINT = r"(?i)licen|copyright|permi|redistribut|software|public domain|reserved"
+_HINT = r"(?i)licen|copyright|permi|redistribut|software|public[^a-z0-9]+domain|reserved"
+#: Known sentences, longest first, between line ends; a single line end may stand for any of their spaces.
+_KNOWN = r"(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted((s for forms in SENTENCES.values() for s in forms), key=len, reverse=True)) + r")(?=\n)"
 
 
 def _tag(identifiers: list[str]) -> str:
@@ -85,9 +90,11 @@ def _tag(identifiers: list[str]) -> str:
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's known sentences in order."""
     known = F.create_map(*[F.lit(x) for i, forms in SENTENCES.items() for s in forms for x in (s, i)])
-    parts = F.split(F.regexp_replace(text, r"([.;:!?])[ \t\r\n]+", "$1\n"), "\n")
+    parts = F.split(F.regexp_replace(text, r"([.;:!?])[ \t\r\n]+", "$1\n\n"), "\n")
     plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.when(text.rlike(_HINT), F.array_compact(F.transform(plain, lambda s: F.try_element_at(known, s)))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.lit("\n"), F.array_join(plain, "\n"), F.lit("\n"))
+    found = F.transform(F.regexp_extract_all(lines, F.lit(_KNOWN), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
+    return F.when(text.rlike(_HINT), found).otherwise(F.array().cast("array<string>"))
 
 
 def licensed(docs: DataFrame) -> DataFrame:

@@ -83,6 +83,49 @@ def test_licences(spark, odd, none):
     assert licences.licensed(odd).count() == 5 and licences.licensed(none).count() == 0
 
 
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """/*
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ */
+"""
+
+
+def test_wrapped_licences(spark):
+    apart = "Released under the\n\nMIT License. Released under. The MIT License."
+    rows = [(1, MIT), (2, BSD), (3, GPL), (4, MIT.replace("\n", "\r\n")), (5, "# This work is dedicated to the public\n# domain under CC0 1.0."), (6, apart), (7, "Title\nReleased under\nthe MIT License\nAll rights reserved\nBody")]
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licences.licensed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    mit = ("mit-grant,mit-keep", "MIT")
+    bsd = ("all-rights,bsd-grant,bsd-source,bsd-binary", "BSD-2-Clause,proprietary")
+    assert got == {1: mit, 2: bsd, 3: ("gpl-free,gpl-free,gpl2-or-later", "GPL-2.0-or-later"), 4: mit, 5: ("cc0-notice", "CC0-1.0"), 6: ("", ""), 7: ("mit-notice,all-rights", "MIT,proprietary")}
+
+
 def test_every_known_sentence_passes_the_hint():
     for forms in licences.SENTENCES.values():
         for s in forms:
