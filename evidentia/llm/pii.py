@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 Base spans come from fixed patterns with exact checks (`base_spans`). The model adds spans of the same kinds that the
-patterns miss (telephone numbers without a plus sign, addresses with (at) or blanks, cards and network addresses with
-other separators). It is trained here in numpy from labelled spans: `training_windows` writes texts of invented words
+patterns miss (telephone numbers without a plus sign, addresses with blanks or [@], cards and network addresses with
+other separators); addresses with (at) come from a pattern of their own (`at_spans`) and not from the model. It is trained here in numpy from labelled spans: `training_windows` writes texts of invented words
 in which the spans' places are known, along with look-alikes that are no personal data (keys, hashes, versions, dates,
 prices, serial numbers). Training depends on the seed alone, so every task and every run has the same model.
 
@@ -11,7 +11,8 @@ whole in some window. Each window is decoded by Viterbi search; spans that touch
 are left to the window that holds them whole. The spans of all windows are reconciled over the whole text: equal ones
 add up their margins, and of those that overlap the set with the greatest sum is kept (weighted interval scheduling).
 A kept span must also hold `MUST_HOLD` and pass its kind's check, and may not touch a base span. Windows without a digit
-or @ can hold no such span and are not decoded.
+or @ can hold no such span and are not decoded. So spans of the model of more than half a window are found only where
+one window holds them whole; spans of `at_spans` have any length, and go before those of the model.
 
 Cases: null and empty texts have no spans; texts are read whole; null and repeated doc_ids stay as rows; no rows give
 no rows; other columns are left alone. Places are code points, ends exclusive.
@@ -409,11 +410,32 @@ def model_spans(texts: list[str], model: Tagger, batch: int = 512) -> list[list[
     return [reconcile({s: w for s, w in f.items() if w > 0}) for f in found]
 
 
+_AT = re.compile(r"[ \t]?(?:\([ \t]?at[ \t]?\)|\[[ \t]?at[ \t]?\]|\{[ \t]?at[ \t]?\})[ \t]?", re.IGNORECASE)
+_AT_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|[ \t]?[(\[{][ \t]?(?:dot|\.)[ \t]?[)\]}][ \t]?)[A-Za-z0-9-]+)+", re.IGNORECASE)
+
+
+def at_spans(text: str) -> list[Span]:
+    """Addresses with (at), [at] or {at}, and with dots written out alike, found from each such mark."""
+    found, done = [], 0
+    for mark in _AT.finditer(text):
+        start = mark.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < mark.start() and text[start] in _TRIM:
+            start += 1
+        domain = _AT_DOMAIN.match(text, mark.end())
+        if start < mark.start() and domain and (start == 0 or not text[start - 1].isalnum()) and not text[domain.end() : domain.end() + 1].isalnum():
+            found.append(("email", start, domain.end()))
+            done = domain.end()
+    return found
+
+
 def all_spans(texts: list[str], model: Tagger) -> Iterator[tuple[list[Span], list[Span]]]:
-    """For each text its base spans, and all spans: these and those that the model adds."""
+    """For each text its base spans, and all spans: these, those of `at_spans` and those that the model adds."""
     for text, more in zip(texts, model_spans(texts, model), strict=True):
         base = base_spans(text)
-        added = []
+        added = [s for s in at_spans(text) if all(s[2] <= x or y <= s[1] for _, x, y in base)]
+        taken = [*base, *added]
         for kind, a, b in more:
             while a < b and text[a] in _TRIM:
                 a += 1
@@ -421,7 +443,7 @@ def all_spans(texts: list[str], model: Tagger) -> Iterator[tuple[list[Span], lis
                 b -= 1
             inner = a == 0 or not text[a - 1].isalnum()
             outer = b == len(text) or not text[b].isalnum()
-            if a < b and inner and outer and MUST_HOLD.search(text, a, b) and _fits(kind, text[a:b]) and all(b <= x or y <= a for _, x, y in base):
+            if a < b and inner and outer and MUST_HOLD.search(text, a, b) and _fits(kind, text[a:b]) and all(b <= x or y <= a for _, x, y in taken):
                 added.append((kind, a, b))
         yield base, sorted({*base, *added}, key=lambda s: (KINDS.index(s[0]), s[1]))
 

@@ -125,3 +125,16 @@ def test_query_columns(spark, odd, none, model):
     assert pii.personal_data(odd).count() == 5 and pii.personal_data(none).count() == 0
     masked = pii.without_personal_data(odd)
     assert masked.columns == odd.columns and masked.where("text is null").count() == 1
+
+
+def test_addresses_with_at_marks_are_masked():
+    rows = [
+        ("Write to jane.doe (at) mail.example.com, please.", "Write to <email>, please."),
+        ("jane[at]mail[dot]example[dot]com", "<email>"),
+        ("ask jane ( AT ) mail (dot) example (dot) com now", "ask <email> now"),
+        (f"{'long.' * 40}name(at){'sub.' * 40}example.org", "<email>"),
+        ("meet (at) noon and (at) once", "meet (at) noon and (at) once"),
+        ("a" * 100_000, "a" * 100_000),
+    ]
+    for (_, spans), (text, want) in zip(pii.all_spans([t for t, _ in rows], pii.Tagger()), rows, strict=True):
+        assert pii.masked(text, [s for s in spans if s[0] == "email"]) == want
