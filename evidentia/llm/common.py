@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,82 +51,75 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def numbered(df: DataFrame, order: list, index: str, total: Column | None = None, before: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list, index: str) -> DataFrame:
     """Adds `index`: the row's place from 0 in the order given, without a one-task window.
 
     Rows are range-partitioned and sorted, each partition numbers its own rows, and the partitions' sizes (one
-    small row each) give the offsets. With `total`, `before` gets the sum of that column over all earlier rows.
-    Rows that tie in every order column are numbered in any order.
+    small row each) give the offsets. Rows that tie in every order column are numbered in any order.
     """
     spark = df.sparkSession
-    value = F.lit(0).cast("long") if total is None else total
     parts = (
         df.repartitionByRange(parallelism(spark), *order)
         .sortWithinPartitions(*order)
         .withColumn("__ev_pid", F.spark_partition_id())
         .withColumn("__ev_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        .withColumn("__ev_value", value)
     )
-    if total is not None:
-        schema = parts.schema.add("__ev_sum", "long")
-        parts = parts.mapInPandas(_running_sums, schema)
-    else:
-        parts = parts.withColumn("__ev_sum", F.lit(0).cast("long"))
     parts = cut(parts)
-    sizes = sorted((r[0], r[1], r[2]) for r in parts.groupBy("__ev_pid").agg(F.count("*"), F.sum("__ev_value")).collect())
-    rows, at, run = [], 0, 0
-    for pid, n, s in sizes:
-        rows.append((pid, at, run))
-        at, run = at + n, run + int(s or 0)
-    offsets = spark.createDataFrame(rows, "__ev_pid int, __ev_from long, __ev_run long")
+    rows, at = [], 0
+    for pid, n in sorted(tuple(r) for r in parts.groupBy("__ev_pid").agg(F.count("*")).collect()):
+        rows.append((pid, at))
+        at += n
+    offsets = spark.createDataFrame(rows, "__ev_pid int, __ev_from long")
     out = parts.join(F.broadcast(offsets), "__ev_pid").withColumn(index, F.col("__ev_from") + F.col("__ev_at"))
-    if before:
-        out = out.withColumn(before, F.col("__ev_run") + F.col("__ev_sum"))
-    return out.drop("__ev_pid", "__ev_at", "__ev_value", "__ev_sum", "__ev_from", "__ev_run")
-
+    return out.drop("__ev_pid", "__ev_at", "__ev_from")
 
-def _running_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    run = 0
-    for frame in frames:
-        sums = frame["__ev_value"].to_numpy(dtype=np.int64).cumsum()
-        frame["__ev_sum"] = run + sums - frame["__ev_value"].to_numpy(dtype=np.int64)
-        run += int(sums[-1]) if len(sums) else 0
-        yield frame
 
-
-SAMPLED_PER_BLOCK = 32
+#: Bytes of a block of rows that stand together in an order; keys that are drawn at most to part the blocks.
+BLOCK_BYTES = 64 << 20
+DRAWN_KEYS = 1 << 14
 
 
 def with_neighbours(
-    df: DataFrame, key: str, map_block: Callable, schema: str, blocks: int | None = None, wrap: bool = False, ties: list | None = None
+    df: DataFrame, key: str, size: Column, map_block: Callable, schema: str, *, before: bool = True, wrap: bool = False, ties: list | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Runs `map_block` over the rows in ascending order of `key`, dealt into contiguous blocks.
-
-    Every block also gets a copy of the row that follows its last one and of the row before its first one (with
-    `wrap`, the order is a ring), so that only two rows per block travel twice. `map_block` takes an iterator of
-    frames in which each block's rows stand together: the row before (__ev_role -1), own rows (0) in the order of
-    `key` and `ties`, the row after (1); it streams and never holds a block. Rows that share the key of a block's
-    first or last row all travel with it, so the row after is the first, and the row before the last, of its role. Split points come from a bounded sample of the keys; any
-    split points give the same result.
+    """Runs `map_block` over the rows in ascending order of `key`, dealt into contiguous blocks, a task each.
+
+    Every block also gets a copy of the row that follows its last one (with `wrap`, the order is a ring) and, with
+    `before`, of the row before its first one, so that at most two rows per block travel twice. `map_block` takes an
+    iterator of frames in which a block's rows stand together: the row before (__ev_role -1), own rows (0) in the
+    order of `key` and `ties`, the row after (1); it streams and never holds a block. Rows that share the key of a
+    block's first or last row all travel with it, so the row after is the first, and the row before the last, of its
+    role. Blocks hold about `block_bytes` by `size`, but are at least as many as shuffle partitions. They begin at
+    keys that one pass draws, at most DRAWN_KEYS of them, so that the rows after blocks are known without another
+    pass; any draw gives the same result.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    blocks = blocks or parallelism(spark)
-    keys = df.select(key)
-    n = keys.count()
-    rate = max(1, n // (SAMPLED_PER_BLOCK * blocks))
-    drawn = sorted(r[0] for r in keys.where(F.pmod(F.xxhash64(key), F.lit(rate)) == 0).limit(4 * SAMPLED_PER_BLOCK * blocks).collect())
-    splits = sorted({drawn[i * len(drawn) // blocks] for i in range(1, blocks)}) if drawn else []
+    keys = df.select(F.col(key).alias("k"), size.cast("long").alias("size"))
+    drawn = keys.groupBy(F.pmod(F.xxhash64("k"), F.lit(DRAWN_KEYS)).alias("b"))
+    drawn = sorted(tuple(r) for r in drawn.agg(F.max_by("k", F.xxhash64("k", F.lit(1))).alias("k"), F.sum("size").alias("size"), F.min("k").alias("low")).select("k", "size", "low").collect())
+    first = min((r[2] for r in drawn), default=None)
+    total = sum(r[1] for r in drawn)
+    wanted = min(max(parallelism(spark), -(-total // block_bytes)), DRAWN_KEYS // 4)
+    splits, held = [], 0
+    for k, bytes_, _ in drawn:
+        if held * wanted >= total * (len(splits) + 1) and k > first:
+            splits.append(k)
+        held += bytes_
+    last = len(splits)
 
     @F.pandas_udf("int")
     def block_of(values: pd.Series) -> pd.Series:
         return pd.Series([bisect_right(splits, v) for v in values], dtype="int32")
 
-    ends = keys.withColumn("b", block_of(key)).groupBy("b").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
-    ends = sorted((r["b"], r["lo"], r["hi"]) for r in ends)
-    # the first row of a block is "after" the block before it, the last is "before" the block that follows
-    after = {ends[i][1]: ends[i - 1][0] for i in range(len(ends)) if i or wrap}
-    earlier = {ends[i][2]: ends[(i + 1) % len(ends)][0] for i in range(len(ends)) if i + 1 < len(ends) or wrap}
+    # a split is a key of the table, so the first row of a block is the one "after" the block before it
+    after = {k: i for i, k in enumerate(splits)}
+    if wrap and drawn:
+        after[first] = last
+    earlier = {}
+    if before:
+        ends = sorted(tuple(r) for r in df.select(key).groupBy(block_of(key)).agg(F.max(key)).collect())
+        earlier = {k: (b + 1) % (last + 1) for b, k in ends if b < last or wrap}
 
     @F.pandas_udf("array<struct<__ev_block:int,__ev_role:int>>")
     def places(values: pd.Series) -> pd.Series:
@@ -142,5 +134,5 @@ def with_neighbours(
         return pd.Series(out)
 
     dealt = df.withColumn("__ev_place", F.explode(places(key))).select("*", "__ev_place.*").drop("__ev_place")
-    dealt = dealt.repartition(blocks, "__ev_block").sortWithinPartitions("__ev_block", F.when(F.col("__ev_role") < 0, 0).when(F.col("__ev_role") == 0, 1).otherwise(2), key, *(ties or []))
+    dealt = dealt.repartitionById(last + 1, F.col("__ev_block")).sortWithinPartitions("__ev_block", "__ev_role", key, *(ties or []))
     return dealt.mapInPandas(map_block, schema)

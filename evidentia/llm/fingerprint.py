@@ -155,7 +155,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
                     if block is not None and not closed:
                         raise ValueError("a block has no row after its last one")
                     block, closed = in_block, False
-                if role < 0 or closed:
+                if closed:
                     continue
                 waiting.append((doc, text, role))
                 held, closed = held + len(text), role > 0
@@ -165,7 +165,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         if len(waiting) > 1:
             yield _measured(waiting)
 
-    return with_neighbours(rows, "key", measure, FINGERPRINTED, wrap=True, ties=["tie"])
+    return with_neighbours(rows, "key", F.octet_length("text"), measure, FINGERPRINTED, before=False, wrap=True, ties=["tie"])
 
 
 def _measured(waiting: list[tuple]) -> pd.DataFrame:

@@ -7,9 +7,12 @@ a longest common subsequence, and a line that both share is taken for a part of
 Differencing alone deletes an article that a neighbour copies, and leaves menus that differ from page to page. The
 page's marks therefore come first where there are any:
 - lines in menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles (by element, role,
-  class or id) are deleted whether they are shared or not;
+  class or id) are deleted whether they are shared or not; inside an article, ids and classes are read on containers
+  alone, so that no heading or paragraph goes by its name, but for classes that name an advert;
 - if an article or main element has text, its other lines are kept, shared or not, and lines outside are deleted;
-- if there is none, shared lines are deleted and the rest is kept.
+- if all articles stand in containers whose class or id names a part of the frame, other than comments and related
+  pages, these names are not believed and the articles are kept;
+- if there is no article at all, shared lines are deleted and the rest is kept.
 
 Cases: a null or empty page has the text ""; a null URL is a host and path of its own (empty), as is one that has no
 host; a page without neighbours of its host keeps all lines that are not marked; pages of any length are read whole;
@@ -50,15 +53,26 @@ FRAME_WORDS = frozenset(
 #: Beginnings, ends or middles of longer words that mean the same.
 FRAME_STEMS = ("comment", "sidebar", "footer", "cookie", "newsletter", "advert", "navbar", "breadcrumb", "subscri", "sponsor", "pagination", "banner")
 FRAME_ENDS = ("nav", "menu")
-#: Words after which a part of the frame is only spoken of, as in has-sidebar.
+#: Words after and before which a part of the frame is only spoken of, as in has-sidebar and ad-free.
 SPOKEN_OF = frozenset("has with no without after before".split())
+SPOKEN_OF_BEFORE = frozenset("free less enabled disabled".split())
+#: Of the names above, those of parts that hold articles of others; an article in them is none of the page's own.
+OTHERS_WORDS = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
+#: Classes that take a paragraph out of an article.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising promo promoted sponsor sponsored".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+#: Elements that group others; inside an article only their ids and classes name parts of the frame.
+CONTAINERS = frozenset("article aside blockquote center details dialog div dl fieldset figure footer form header main menu nav ol section table tbody ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 #: Elements whose open one ends where another of them begins.
 CLOSED_BY_LIKE = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "tr": frozenset({"tr", "td", "th"})}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][^\s=>\"']*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+# a tag's attributes: quoted and unquoted values whole (an unquoted one may hold quotes), any other character by itself
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|[^>])*+)>|[^<]+|<", re.DOTALL)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -67,52 +81,71 @@ class Line:
     text: str
     frame: bool  # in a marked part of the frame
     content: bool  # in an article or main element
+    doubtful: bool = False  # in an article, and in the frame only by the name of a container around the article
 
 
-def _names_frame(value: str, name: str, in_content: bool) -> bool:
-    """Whether a class or id names a part of the frame. Of an outermost article's or main element's, the first word counts."""
+@dataclass(frozen=True)
+class Marks:
+    """What an element and those around it say: part of the frame for certain, by names around the article, by names
+    inside it; and whether it is in an article."""
+
+    certain: bool = False
+    around: bool = False
+    inside: bool = False
+    content: bool = False
+
+
+def _frame_names(value: str, name: str, in_content: bool) -> set[str]:
+    """The words of a class or id that name a part of the frame. Of an outermost article's or main element's, the first word counts."""
     words = _WORD.findall(value)
     if name in CONTENT and not in_content:
         words = words[:1]
-    for before, word in zip(["", *words], words, strict=False):
-        if before in SPOKEN_OF:
+    found = set()
+    for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+        if before in SPOKEN_OF or after in SPOKEN_OF_BEFORE:
             continue
         if word in FRAME_WORDS or any(x in word for x in FRAME_STEMS) or word.endswith(FRAME_ENDS):
-            return True
-        if not in_content and (word in HEADER_WORDS or word.endswith("header")):
-            return True
-    return False
-
-
-def _marks(name: str, attributes: str, in_content: bool) -> tuple[bool, bool]:
-    """Whether an element is a part of the frame, and whether it is an article."""
-    if name in FRAME or name in SKIPPED or (name == "header" and not in_content):
-        return True, False
-    frame, content = False, name in CONTENT
-    for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
+            found.add(word)
+        elif not in_content and (word in HEADER_WORDS or word.endswith("header")):
+            found.add(word)
+    return found
+
+
+def _marks(name: str, attributes: str, outer: Marks) -> Marks:
+    """The marks of an element inside one with the marks `outer`."""
+    certain = name in FRAME or name in SKIPPED or (name == "header" and not outer.content)
+    content, names = name in CONTENT, set()
+    for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes and not certain else ():
         key, value = key.lower(), a or b or c
         if key == "role":
             content |= value.lower() in ("main", "article")
-            frame |= value.lower() in FRAME_ROLES
-        elif key in ("class", "id"):
-            frame |= _names_frame(value.lower(), name, in_content)
+            certain |= value.lower() in FRAME_ROLES
         elif key == "hidden":
-            frame = True
-    return frame and name not in ("html", "body"), content
+            certain = True
+        elif key in ("class", "id"):
+            if not outer.content or name in CONTAINERS:
+                names |= _frame_names(value.lower(), name, outer.content)
+            elif key == "class" and name not in HEADINGS:
+                names |= ADVERT_WORDS.intersection(value.lower().split())
+    if name in ("html", "body"):
+        certain, names = False, set()
+    certain |= any(w in OTHERS_WORDS or "comment" in w for w in names)
+    inner = bool(names) and (content or outer.content)
+    return Marks(outer.certain or certain, outer.around or bool(names) and not inner, outer.inside or inner, outer.content or content)
 
 
 def lines_of(page: str) -> list[Line]:
     """The page's blocks of text in order, white space joined and character references decoded."""
     out, held = [], []
-    stack: list[tuple[str, bool, bool]] = []
-    frame = content = False
+    stack: list[tuple[str, Marks]] = []
+    at, outermost = Marks(), Marks()
     position, raw = 0, None
 
     def close() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append(Line(text, frame, content))
+            out.append(Line(text, at.certain or at.inside or at.around, at.content, at.content and at.around and not (at.certain or at.inside)))
 
     while position < len(page):
         found = _TOKEN.match(page, position)
@@ -135,6 +168,8 @@ def lines_of(page: str) -> list[Line]:
         else:
             if name in BLOCKS or name in SKIPPED:
                 close()
+            if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+                stack.pop()  # its end tag may be left out
             if name == "br":
                 held.append(" ")
             if name in VOID or found[3].rstrip().endswith("/") and name not in BLOCKS:
@@ -146,13 +181,11 @@ def lines_of(page: str) -> list[Line]:
                         break
                     if stack[i][0] in BLOCKS:
                         break
-            frame, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            own = _marks(name, found[3], content)
-            stack.append((name, frame or own[0], content or own[1]))
+            stack.append((name, _marks(name, found[3], stack[-1][1] if stack else outermost)))
             if name in RAW:
                 raw = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, position)
                 position = raw.start() if raw else len(page)
-        frame, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        at = stack[-1][1] if stack else outermost
     close()
     return out
 
@@ -184,8 +217,8 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 def main_text(lines: list[Line], other: list[Line] | None) -> str:
     """The page's main text, given its lines and those of the page that it is paired with."""
     shared = shared_lines([x.text for x in lines], [x.text for x in other]) if other else set()
-    marked = any(x.content and not x.frame for x in lines)
-    return " ".join(x.text for i, x in enumerate(lines) if not x.frame and (x.content if marked else i not in shared))
+    kept = [x.text for x in lines if x.content and not x.frame] or [x.text for x in lines if x.doubtful]
+    return " ".join(kept or [x.text for i, x in enumerate(lines) if not x.frame and i not in shared])
 
 
 def _common(a: str, b: str) -> int:
@@ -245,7 +278,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             settle(None)
             yield _frame(done)
 
-    return with_neighbours(rows, "key", extract, EXTRACTED, ties=["tie"])
+    return with_neighbours(rows, "key", F.octet_length("html"), extract, EXTRACTED, ties=["tie"])
 
 
 def _frame(done: list[tuple]) -> pd.DataFrame:

@@ -1,5 +1,8 @@
 import hashlib
 import random
+from itertools import groupby, pairwise
+
+import numpy as np
 
 from evidentia.llm import fingerprint as fp
 
@@ -19,6 +22,56 @@ def test_edited_texts_and_neighbours(docs, corpus):
         assert r.near_next == fp.likeness(r.fingerprint, fp.fingerprints([after])[0])
 
 
+def plain_level(names, lengths_power=0x9E3779B97F4A7C15):
+    """One level of parsing, symbol by symbol, of a row of 64-bit names."""
+    mask, mixed = (1 << 64) - 1, lambda x: int(fp.mix(np.array([x & ((1 << 64) - 1)], np.uint64))[0])
+    runs = [(s, len(list(g))) for s, g in groupby(names)]
+    symbols = [s if n == 1 else mixed(s + n * lengths_power) for s, n in runs]
+    labels = symbols
+    for _ in range(4):
+        tossed = [labels[0] & 1]
+        for left, own in pairwise(labels):
+            place = ((left ^ own) & -(left ^ own)).bit_length() - 1
+            tossed.append(2 * place + (own >> place & 1))
+        labels = tossed
+    phrases = [[symbols[0]]]
+    for i in range(1, len(symbols)):
+        peak = labels[i] > labels[i - 1] and labels[i] >= (labels[i + 1] if i + 1 < len(labels) else 0)
+        if peak and i > 1:
+            phrases.append([])
+        phrases[-1].append(symbols[i])
+    base = lengths_power | 1
+    return [mixed(sum(mixed(s) * pow(base, k, 1 << 64) for k, s in enumerate(p)) % (mask + 1) + len(p)) for p in phrases]
+
+
+def plain_fingerprint(text):
+    if not text:
+        return ""
+    step, parts = 0x9E3779B97F4A7C15, []
+    names = [int(fp.mix(np.array([(ord(c) + 1) * step & ((1 << 64) - 1)], np.uint64))[0]) for c in text]
+    for _ in range(4):
+        names = plain_level(names)
+        parts.append("".join(f"{n:08x}" for n in sorted({n >> 32 for n in names})[:24]))
+    return ".".join(parts)
+
+
+def test_fingerprints_equal_the_parsing_symbol_by_symbol():
+    rng = random.Random(9)
+    for text in ["", "a", "ab", "aaaa", "abababab", "é漢\U0001f600 x", *(prose(rng, rng.randint(1, 80)) for _ in range(25))]:
+        assert fp.fingerprints([text]) == [plain_fingerprint(text)], text
+
+
+def test_whole_query_equals_brute_force(docs, corpus):
+    got = {r.doc_id: r for r in fp.fingerprinted(docs).collect()}
+    rows = [(i, t or "") for i, t in sorted(corpus) if len(t or "") < 3000]
+    texts = dict(sorted((i, t or "") for i, t in corpus))
+    order = list(texts)
+    for i, text in rows:
+        after = texts[order[(order.index(i) + 1) % len(order)]]
+        changed = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (plain_fingerprint(text), plain_fingerprint(changed))
+
+
 def test_fingerprints_do_not_depend_on_the_batch():
     rng = random.Random(1)
     texts = [prose(rng, rng.randint(0, 200)) for _ in range(50)] + ["", "a", "aa", "ababab", "a" * 1000, "é漢\U0001f600"]

@@ -70,3 +70,20 @@ def test_names_of_frames(spark):
         assert [x.frame for x in lines] == [tag in gone], tag
     inner = pages.lines_of('<article class="post"><h1 class="post-header">Head</h1><article class="comment x">Reply</article></article>')
     assert [(x.text, x.frame) for x in inner] == [("Head", False), ("Reply", True)]
+
+
+def test_no_article_is_lost_by_names_or_broken_markup():
+    """Heads without an end tag, headings and paragraphs with the names of frames, names that deny, and unquoted quotes."""
+    cases = [
+        ("<html><head><title>T</title><meta charset=x><body><article><p>kept</p></article>", "kept"),
+        ("<html><head><title>T</title><article><p>kept</p></article>", "kept"),
+        ('<article><h2 id="related-work">Related work</h2><p id="share-prices">Prices</p><p class="notice">Note</p></article>', "Related work Prices Note"),
+        ('<article><p>One</p><p class="ad big">Buy</p><div class="share-bar">Share</div><p class="sponsored">x</p></article>', "One"),
+        ('<div class="ad-free"><article><p>kept</p></article></div>', "kept"),
+        ('<div class="menu-page banner"><article><p>kept</p><div class="ad">no</div></article></div>', "kept"),
+        ('<section class="comments"><article><p>reply</p></article></section><div>body</div>', "body"),
+        ("<article><p title=it's>kept</p><p data-x=a\"b title='> x'>too</p></article>", "kept too"),
+        ('<article><a href=/x/ title="a > b">link</a> <i class=\'c\'>it</i></article>', "link it"),
+    ]
+    for page_, want in cases:
+        assert pages.main_text(pages.lines_of(page_), None) == want, page_
