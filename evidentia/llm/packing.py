@@ -3,8 +3,9 @@
 A document's ids and one end id are cut into full sequences and one rest. Every full sequence stands alone. Rests
 are packed by first-fit decreasing: bins stand in a row, and a tournament tree over them holds the largest free
 capacity below each node, so that the first bin with enough room is found by one walk from the root. Groups are
-drawn by a hash of the document, are packed independently in parallel, and hold about `group_documents` documents
-each however large the table is; a group's last bins are all that the split into groups costs.
+drawn by a hash of the document and of its place among equal rows of its partition, so that rows that repeat are spread
+too; they are packed independently in parallel, and hold about `group_documents` documents and at most about
+`group_bytes` of text each however large the table is; a group's last bins are all that the split into groups costs.
 
 Cases: a null or empty text gives the end id alone; null or repeated doc_ids are packed row by row; no rows give no
 rows; a text of any length is cut into as many pieces as it needs; other columns are ignored. Equal lengths are
@@ -14,10 +15,12 @@ placed in the order of doc_id and text hash.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,9 @@ from evidentia.llm.tokens import encoded, ids_dtype
 
 LENGTH = 1024
 TOKENIZER = "byte_bpe_50k.json"
-#: Rows of a group that are packed together; a group's memory is about this many documents' ids.
+#: Rows and bytes of text of a group that are packed together; a group's memory is about this many documents' ids.
 GROUP_DOCUMENTS = 4096
+GROUP_BYTES = 64 << 20
 
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -72,21 +76,27 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bin_of, at
 
 
-def pack(docs: DataFrame, *, length: int = LENGTH, tokenizer: str = TOKENIZER, end_id: int = 0, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
+def pack(docs: DataFrame, *, length: int = LENGTH, tokenizer: str = TOKENIZER, end_id: int = 0, group_documents: int = GROUP_DOCUMENTS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids.
 
     ids holds little-endian unsigned integers, of two bytes where the vocabulary allows it and else of four.
     """
-    groups = max(1, -(-docs.count() // group_documents))
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-n // group_documents), -(-size // group_bytes))
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("tie", F.xxhash64("doc_id", "text"))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([end_id], ids_dtype(tokenizer)).tobytes()
+        # a row's place among the equal rows of its partition does not depend on the order in which they come
+        repeats, partition = Counter(), TaskContext.get().partitionId()
         for frame in frames:
-            texts = frame["text"].tolist()
-            frame["ids"] = [b + end for b in encoded(texts, tokenizer)]
-            yield frame[["doc_id", "tie", "ids"]]
+            texts, places = frame["text"].tolist(), []
+            for tie in frame["tie"]:
+                places.append(repeats[tie] << 32 | (partition if repeats[tie] else partition >> 10))
+                repeats[tie] += 1
+            frame["ids"], frame["place"] = [b + end for b in encoded(texts, tokenizer)], places
+            yield frame[["doc_id", "tie", "place", "ids"]]
 
     def pack_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         width = ids_dtype(tokenizer).itemsize
@@ -110,8 +120,8 @@ def pack(docs: DataFrame, *, length: int = LENGTH, tokenizer: str = TOKENIZER, e
         done["doc_id"] = done["doc_id"].astype("Int64")
         return done
 
-    coded = rows.mapInPandas(encode, "doc_id long, tie long, ids binary")
-    group = F.pmod(F.xxhash64("doc_id", "tie", F.lit(17)), F.lit(groups)).cast("int")
+    coded = rows.mapInPandas(encode, "doc_id long, tie long, place long, ids binary")
+    group = F.pmod(F.xxhash64("tie", "place", F.lit(17)), F.lit(groups)).cast("int")
     return coded.groupBy(group.alias("group")).applyInPandas(pack_group, PACKED)
 
 

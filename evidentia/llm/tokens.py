@@ -41,7 +41,7 @@ def tokenizer(name: str):
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(name if os.path.sep in name else public_tokenizers.path(name))
-    loaded.encode_special_tokens = True  # the strings of special tokens are ordinary text in a document
+    loaded.encode_special_tokens = True  # as the files' own description has it: in a document their strings are ordinary text
     return loaded
 
 

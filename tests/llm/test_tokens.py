@@ -1,17 +1,29 @@
 import random
 import zlib
+from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from evidentia.llm import packing, sst
-from evidentia.llm.tokens import encoded, ids_dtype, tokenizer
+from evidentia.llm.tokens import encoded, ids_dtype
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
+@cache
+def loaded(name):
+    """The tokenizer as the files' description loads it, not the module's own."""
+    found = Tokenizer.from_file(public_tokenizers.path(name))
+    found.encode_special_tokens = True
+    return found
+
+
 def ids_of(text, name):
-    return tokenizer(name).encode(text or "", add_special_tokens=False).ids
+    return loaded(name).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -76,6 +88,25 @@ def test_packing_of_odd_rows(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_equal_rows_are_spread_over_groups(spark):
+    """100,000 rows of one id and text make many groups of about the wanted size, and one of large texts more of them."""
+    docs = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same few words").alias("text"))
+    groups = packing.pack(docs).groupBy(F.shiftright("sequence_id", 40).alias("g")).count().collect()
+    assert sum(r["count"] for r in groups) == 100_000 and max(r["count"] for r in groups) < 8192
+    long = spark.range(40).select("id", F.repeat(F.lit("word "), 2000).alias("text")).withColumnRenamed("id", "doc_id")
+    assert packing.pack(long, group_bytes=50_000).select(F.shiftright("sequence_id", 40)).distinct().count() > 4
+
+
+def test_an_id_that_repeats_fills_several_shards(spark, tmp_path):
+    rows = [(7, f"text number {i}") for i in range(300)] + [(3, "low"), (9, "high")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = sst.write_shards(docs, f"file://{tmp_path}/s", shards=4)
+    assert max(s[1] for s in shards) < 150
+    got = sst.read_shards(spark, shards).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [3] + [7] * 300 + [9]
+    assert sum(len(sst.look_up(s[0], 7)) for s in shards) == 300
+
+
 def test_shards_round_trip(docs, corpus):
     rows = sst.round_trip(docs).orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted(i for i, _ in corpus)
