@@ -7,7 +7,7 @@ A shard holds the documents of one range of doc_id in ascending order. Its layou
     index    for each block its first key, offset, length and number of entries
     footer   offsets and lengths of Bloom and index, numbers of entries and ids, id width, crc32 of Bloom and index
 
-A key is one byte that tells null from a value, then the id as eight bytes in an order that bytes compare by. A value
+Shards hold about `SHARD_BYTES` of text, but are at least as many as shuffle partitions. A key is one byte that tells null from a value, then the id as eight bytes in an order that bytes compare by. A value
 is the document's ids, end id included, as little-endian integers. A look-up reads the footer, the index and the
 Bloom filter, and then the one block that a binary search in the index names.
 
@@ -37,6 +37,7 @@ from evidentia.llm.tokens import encoded, ids_dtype
 MAGIC = b"EVSST01\n"
 TOKENIZER = "word_bpe_49k.json"
 BLOCK_BYTES = 1 << 16
+SHARD_BYTES = 128 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQQII8s")
 _ENTRY = struct.Struct("<BBI")
@@ -160,11 +161,13 @@ def _open(path: str):
 
 
 def write_shards(docs: DataFrame, folder: str, *, tokenizer: str = TOKENIZER, end_id: int = 1, shards: int | None = None) -> list[tuple]:
-    """Writes the shards and returns (path, entries, ids) of each in key order; their number is all that the driver gets."""
+    """Writes the shards and returns (path, entries, ids) of each in key order; one such row a shard is all that the driver gets."""
     spark = docs.sparkSession
-    n = shards or parallelism(spark)
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    n = shards or max(parallelism(spark), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    # rows that repeat an id are parted by their texts' hash, so that one id may fill several shards, which stand next to each other
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, name = None, None
