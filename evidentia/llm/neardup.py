@@ -37,8 +37,10 @@ from evidentia.llm.words import mix, runs, shingle_hashes, word_hashes
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 misses all bands of rate 1 once in 30,000 times, whatever the counts of its shingles.
 BANDS, ROWS = 26, 5
-#: Members of a block in block-against-block comparison.
-BLOCK = 512
+#: Members of a block in block-against-block comparison, and shingles of all of them (8 bytes each).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Members of a bucket that are compared with its centre in one task.
+PART = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,12 +157,16 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
     signed = cut(signatures(docs, words=words, bands=bands, rows=rows))
     nodes = cut(signed.where("size > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
     members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-    members = cut(members.join(buckets, "bucket").where("node <> centre").select("bucket", "n", "centre", "node", "size"))
-
-    sizes = nodes.select(F.col("node").alias("centre"), F.col("size").alias("centre_size"))
-    pairs = members.select("centre", "node", "size").distinct().join(sizes, "centre")
-    pairs = pairs.where(F.least("size", "centre_size") >= similarity * F.greatest("size", "centre_size")).select("centre", "node")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("c")).where("n > 1")
+    buckets = buckets.select("bucket", "n", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"))
+    members = cut(members.join(buckets, "bucket").where("node <> centre"))
+
+    # a centre's set goes to as many tasks as its largest bucket with the pair asks for
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    alike = F.least("size", "centre_size") >= similarity * F.greatest("size", "centre_size")
+    pairs = members.where(alike).groupBy("centre", "node").agg(F.max("n").alias("n")).select("centre", "node", parts.alias("parts"))
+    pairs = cut(pairs.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")))
+    centres = pairs.select("centre", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     wanted = members.select("node").union(members.select("centre")).distinct()
     source = nodes.join(wanted, "node").select("node", "of.doc_id", "of.text_hash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"))
@@ -168,8 +174,9 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
     sets = cut(shingle_sets(texts, words).dropDuplicates(["node"]))
 
     common = F.size(F.array_intersect("x.shingles", "y.shingles"))
-    tested = pairs.join(sets.alias("x"), F.col("centre") == F.col("x.node")).join(sets.alias("y"), pairs["node"] == F.col("y.node"))
-    links = tested.where(common >= similarity * (F.size("x.shingles") + F.size("y.shingles") - common) - 1e-6).select(F.col("centre").alias("a"), pairs["node"].alias("b"))
+    centres = centres.join(sets.withColumnRenamed("node", "centre"), "centre").alias("x")
+    tested = pairs.join(centres, ["centre", "parts", "part"]).join(sets.alias("y"), "node")
+    links = tested.where(common >= similarity * (F.size("x.shingles") + F.size("y.shingles") - common) - 1e-6).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = cut(links)
     classes = components(links)
 
@@ -184,16 +191,16 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
 
 def _links_beyond_centres(members: DataFrame, sets: DataFrame, classes: DataFrame, similarity: float, block: int) -> DataFrame:
     """Links between members of a bucket other than its centre, where these are still in different components."""
-    placed = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(classes, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
     open_ = (
         placed.groupBy("bucket")
-        .agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("s"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("t"))
+        .agg(F.count("*").alias("m"), F.sum("size").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("s"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("t"))
         .where("low <> high")
     )
     # many bands give the same members; each set of members is compared once
-    once = open_.groupBy("m", "s", "t").agg(F.min("bucket").alias("bucket"))
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    rows = placed.join(once.select("bucket", "m"), "bucket").withColumn("g", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("g")).cast("int"))
+    once = open_.groupBy("m", "s", "t").agg(F.min("bucket").alias("bucket"), F.any_value("shingles").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = placed.join(once.select("bucket", "m", "shingles"), "bucket").withColumn("g", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("g")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "component").join(sets, "node")
 
