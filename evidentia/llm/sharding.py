@@ -26,6 +26,8 @@ ROUNDS = 4
 #: A shard may hold this much more than an even share while nodes move.
 SLACK = 1.1
 LINE_CHARS = 30
+#: Nodes of a hub that meet it in one task, and tasks that a hub's nodes go to before they are counted.
+PART, SALTS = 512, 8
 _FINE = 1 << 20
 
 
@@ -46,17 +48,21 @@ def linked(docs: DataFrame) -> DataFrame:
 def propagate(nodes: DataFrame, *, shards: int, rounds: int, slack: float) -> DataFrame:
     """(node, rows, label) from rows (node, rows, hubs): the shard that each node ends in before levelling."""
     links = nodes.select("node", "rows", F.explode("hubs").alias("hub"))
-    shared = links.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
-    links = cut(links.join(shared, "hub"))
+    shared = links.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    # a hub's nodes are dealt into parts, so that a line that very many share meets them in as many tasks
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    links = dealt.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["hub", "salt"]).drop("salt")
+    links = cut(links.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")))
     # nodes that share their least hub begin together
     least = links.groupBy("node").agg(F.min("hub").alias("hub"))
     labels = cut(nodes.select("node", "rows").join(least, "node", "left").select("node", "rows", F.pmod(F.xxhash64(F.coalesce(F.col("hub").cast("string"), "node")), F.lit(shards)).cast("int").alias("label")))
     total = labels.agg(F.sum("rows")).first()[0] or 0
     for round_ in range(rounds):
         placed = links.join(labels.select("node", "label"), "node")
-        by_shard = placed.groupBy("hub", "label").agg(F.sum("rows").alias("n"))
-        favourite = by_shard.groupBy("hub").agg(F.max(F.struct("n", F.col("label").alias("to"))).alias("best")).select("hub", "best.*")
-        votes = links.join(favourite, "hub").groupBy("node", "to").agg(F.count("*").alias("votes"), F.sum("n").alias("n"))
+        by_shard = placed.groupBy("hub", "parts", "label").agg(F.sum("rows").alias("n"))
+        favourite = by_shard.groupBy("hub", "parts").agg(F.max(F.struct("n", F.col("label").alias("to"))).alias("best"))
+        favourite = favourite.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "best.*")
+        votes = links.join(favourite, ["hub", "part"]).groupBy("node", "to").agg(F.count("*").alias("votes"), F.sum("n").alias("n"))
         wish = votes.groupBy("node").agg(F.max(F.struct("votes", "n", "to")).alias("wish")).select("node", F.col("wish.to").alias("to"))
         wished = cut(labels.join(wish, "node", "left").withColumn("to", F.coalesce("to", "label")))
         load = dict(wished.groupBy("label").agg(F.sum("rows")).collect())
