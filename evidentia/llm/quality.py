@@ -6,11 +6,12 @@ lengths) and of metadata (the text's length). The score is the logistic of a lin
 interactions of the features through `RANK`-dimensional factors; the pairs are summed in linear time as half the
 difference between the square of the sum and the sum of squares.
 
-The machine is fitted in numpy on at most `FIT_ROWS` labelled rows, those of the least hash of doc_id; everything
-else covers all documents. Labels, lang, source and doc_id are no features.
+The machine is fitted in numpy on at most `FIT_ROWS` labelled rows, those of the least hash of doc_id and, where
+doc_ids repeat, of text; everything else covers all documents. Labels, lang, source and doc_id are no features.
 
 Cases: null and empty texts are scored by their bins; texts are read whole; null and repeated doc_ids are scored row by
-row, and a null doc_id is not held out; without labelled rows every score is 0.5; other columns are left alone.
+row, and a null doc_id is not held out; without labelled rows every score is 0.5; columns held_out, score and predicted
+of the table's own are replaced, other columns are left alone.
 """
 
 from __future__ import annotations
@@ -140,21 +141,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS)
     """Fits labels.quality on at most `fit_rows` labelled documents that are not held out."""
     chosen = labels.where(~held_out() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("__ev_id"), F.col("quality").cast("int").alias("__ev_label"))
     chosen = chosen.orderBy(F.xxhash64("__ev_id"), "__ev_id", "__ev_label").limit(fit_rows)
-    rows = in_small_batches(docs).select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__ev_id"))
+    rows = in_small_batches(docs).select("doc_id", text_or_empty().alias("text"), F.xxhash64("doc_id", text_or_empty()).alias("tie")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__ev_id"))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["text"].tolist()
             for a, b in runs(texts):
                 numbers, values, at = features(texts[a:b])
-                part = frame.iloc[a:b][["doc_id", "label"]].copy()
+                part = frame.iloc[a:b][["doc_id", "label", "tie"]].copy()
                 part["numbers"] = [numbers[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
                 part["value"] = [float(values[x]) for x in at[:-1]]
                 yield part
 
-    measured = rows.select("doc_id", F.col("__ev_label").alias("label"), "text").mapInPandas(measure, "doc_id long, label int, numbers array<int>, value float")
+    measured = rows.select("doc_id", F.col("__ev_label").alias("label"), "tie", "text").mapInPandas(measure, "doc_id long, label int, tie long, numbers array<int>, value float")
+    # a doc_id that repeats brings all its rows, so the bound is set once more
+    measured = measured.orderBy(F.xxhash64("doc_id"), "doc_id", "tie", "label").limit(fit_rows)
     examples = []
-    for r in sorted(measured.collect(), key=lambda r: (r["doc_id"], r["label"], len(r["numbers"]))):
+    for r in sorted(measured.collect(), key=lambda r: (r["doc_id"], r["label"], len(r["numbers"]), r["tie"])):
         numbers = np.array(r["numbers"], np.int32)
         values = np.where(numbers < WORD_BUCKETS, np.float32(r["value"]), np.float32(BIN_VALUE)).astype(np.float32)
         examples.append((numbers, values, r["label"]))
