@@ -3,7 +3,7 @@
 A text is cut into lines, and after . ; : ! ? with white space; each piece is normalised to its lower-case letters and
 digits with single spaces, which also takes comment marks away. A known sentence is a piece, or a run of pieces that
 only single line ends part, so that wrapped sentences are found too; pieces without letters or digits (blank lines)
-and sentence marks end a run. Of known sentences that begin in one place the longest counts, and each piece counts
+and sentence marks end a run. An SPDX tag and the name after it are one sentence. Of known sentences that begin in one place the longest counts, and each piece counts
 once. Known sentences are mapped to identifiers. The row of a text's
 identifiers is then matched against the rules in order: a rule names a licence by a sequence of identifiers that stand
 next to each other, and uses up what it matches, so that longer sequences come before their parts.
@@ -14,6 +14,8 @@ rows; no rows give no rows; other columns are ignored; a sentence that repeats i
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,14 @@ RULES = [
     ("Unlicense", ["unlicense"]),
     ("proprietary", ["all-rights"]),
 ]
+#: Short names of licences after a line's SPDX tag that mean another one above; full names mean themselves.
+SHORT_NAMES = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
+_TAGGED = {n: n for n, _ in RULES if n != "proprietary"} | SHORT_NAMES
+for _short, _name in _TAGGED.items():
+    SENTENCES.setdefault(f"spdx-{_name.lower()}", []).append("spdx license identifier " + re.sub("[^a-z0-9]+", " ", _short.lower()))
+RULES += [(n, [f"spdx-{n.lower()}"]) for n in dict.fromkeys(_TAGGED.values())]
+#: The tag is followed by a colon, which would end a sentence.
+_TAG = r"(?i)spdx-license-identifier:[ \t]*"
 #: Every known sentence holds one of these, so other texts have none.
 _HINT = r"(?i)licen|copyright|permi|redistribut|software|public[^a-z0-9]+domain|reserved"
 #: Known sentences, longest first, between line ends; a single line end may stand for any of their spaces.
@@ -90,7 +100,8 @@ def _tag(identifiers: list[str]) -> str:
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's known sentences in order."""
     known = F.create_map(*[F.lit(x) for i, forms in SENTENCES.items() for s in forms for x in (s, i)])
-    parts = F.split(F.regexp_replace(text, r"([.;:!?])[ \t\r\n]+", "$1\n\n"), "\n")
+    tagged = F.regexp_replace(text, _TAG, "spdx license identifier ")
+    parts = F.split(F.regexp_replace(tagged, r"([.;:!?])[ \t\r\n]+", "$1\n\n"), "\n")
     plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     lines = F.concat(F.lit("\n"), F.array_join(plain, "\n"), F.lit("\n"))
     found = F.transform(F.regexp_extract_all(lines, F.lit(_KNOWN), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
@@ -118,11 +129,17 @@ def oracle_sql() -> str:
         tag = _tag(ids)
         steps.append(f"r{k} AS (SELECT * REPLACE (replace(rest, '{tag}', '|') AS rest, CASE WHEN contains(rest, '{tag}') THEN list_append(names, '{name}') ELSE names END AS names) FROM {last})")
         last = f"r{k}"
+    # every line stands between line ends of its own here, for want of look-around: two of them part the lines of a run
+    run = "|".join(s.replace(" ", "(?: |\\n\\n)") for s in sorted((s for forms in SENTENCES.values() for s in forms), key=len, reverse=True))
     return f"""
 WITH s AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.;:!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS a FROM documents
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{_TAG}', 'spdx license identifier ', 'g'), '([.;:!?])[ \\t\\r\\n]+', '\\1' || chr(10) || chr(10), 'g'), chr(10)) AS a FROM documents
+), p AS (
+  SELECT doc_id, array_to_string(list_transform(a, lambda x: chr(10) || trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) || chr(10)), '') AS t FROM s
+), m AS (
+  SELECT doc_id, regexp_extract_all(t, '\\n(?:{run})\\n') AS f FROM p
 ), e AS (
-  SELECT doc_id, i, trim(regexp_replace(lower(a[i]), '[^a-z0-9]+', ' ', 'g')) AS n FROM s, unnest(range(1, len(a) + 1)) AS t(i)
+  SELECT doc_id, i, trim(replace(replace(f[i], chr(10) || chr(10), ' '), chr(10), '')) AS n FROM m, unnest(range(1, len(f) + 1)) AS t(i)
 ), k(n, id) AS (VALUES {known}
 ), j AS (
   SELECT doc_id, count(*) AS c, string_agg(id, ',' ORDER BY i) AS ids, string_agg('<' || id || '>', '' ORDER BY i) AS rest, CAST([] AS VARCHAR[]) AS names

@@ -1,6 +1,8 @@
 import random
 import re
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,20 +52,29 @@ def test_containment_equals_brute_force(spark, planted, benchmark_rows):
                     want[d, i] = share
     assert got == want
     assert {r.doc_id for r in decontam.clean_documents(docs, items).collect()} == {d for d, _ in planted} - {d for d, _ in want}
-    in_blocks = {(r.doc_id, r.item_id): r.containment for r in decontam.contained_items(docs, items, block_bytes=600).collect()}
-    assert in_blocks == want
+    by_salted_joins = {(r.doc_id, r.item_id): r.containment for r in decontam.contained_items(docs, items, broadcast_rows=0).collect()}
+    assert by_salted_joins == want
+    assert decontam.clean_documents(docs, items, broadcast_rows=0).count() == len(planted) - len({d for d, _ in want})
 
 
-def test_items_of_few_shingles_are_all_found():
+def test_small_bitmaps_change_no_result(spark, planted, benchmark_rows, monkeypatch):
+    """Bits that many keys share let more rows through to the joins, which drop them."""
+    docs, items = spark.createDataFrame(planted, "doc_id long, text string"), spark.createDataFrame(benchmark_rows, "item_id long, text string")
+    want = sorted(map(tuple, decontam.contained_items(docs, items).na.fill(-1).collect()))
+    full = decontam.Filter(*[np.full(4096, 255, np.uint8)] * 3, [8, 16, 32, 64, 256], [1, 3, 5])
+    monkeypatch.setattr(decontam, "_filter", lambda rows: (full, 10))
+    assert sorted(map(tuple, decontam.contained_items(docs, items).na.fill(-1).collect())) == want
+
+
+def test_items_of_few_shingles_are_all_found(spark):
     rng = random.Random(12)
     items = [prose(rng, 5 + i % 3) for i in range(600)] + [" ".join(["again"] * 9)]
-    index = decontam.ItemIndex(items)
     texts = [f"{prose(rng, (0, 7, 60)[i % 3])} {item} {prose(rng, 40)}" for i, item in enumerate(items)]
-    want = [[i for i, item in enumerate(items) if shingles(item) <= shingles(text)] for text in texts]
-    assert all(i in w for i, w in enumerate(want))
-    assert [[i for i, _ in found] for found in index.search(texts, 0.8)] == want
-    long = prose(rng, 30)
-    assert decontam.ItemIndex([long]).search([long, "", "x"], 0.8) == [[(0, 1.0)], [], []]
+    want = {(j, i) for j, text in enumerate(texts) for i, item in enumerate(items) if shingles(item) <= shingles(text)}
+    assert all((i, i) in want for i in range(len(items)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontam.contained_items(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
 def test_containment_of_odd_rows(odd, none, spark):
@@ -126,6 +137,18 @@ def test_wrapped_licences(spark):
     assert got == {1: mit, 2: bsd, 3: ("gpl-free,gpl-free,gpl2-or-later", "GPL-2.0-or-later"), 4: mit, 5: ("cc0-notice", "CC0-1.0"), 6: ("", ""), 7: ("mit-notice,all-rights", "MIT,proprietary")}
 
 
+def test_tags_and_the_same_in_sql(spark):
+    """SPDX tags in comments, and wrapped texts, by the query and by its SQL."""
+    tags = ["// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier:Apache-2.0\ncode", "/* spdx-license-identifier: GPL-2.0 */", "SPDX-License-Identifier: Unknown-1.0", "x SPDX-License-Identifier: MIT", "SPDX-License-Identifier:\nMIT"]
+    rows = [(1, MIT), (2, BSD), (3, GPL), (4, "Released under\n\nthe MIT License"), (5, None), (6, "a. Released under the\n# MIT License! b"), *((10 + i, t) for i, t in enumerate(tags))]
+    got = {r.doc_id: tuple(r) for r in licences.licensed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[10 + i][3] for i in range(6)] == ["MIT", "Apache-2.0", "GPL-2.0-only", "", "", "MIT"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: r for r in con.execute(licences.oracle_sql()).fetchall()} == got
+
+
 def test_every_known_sentence_passes_the_hint():
     for forms in licences.SENTENCES.values():
         for s in forms:
@@ -162,12 +185,21 @@ def test_held_out_labels_are_not_used(spark, docs):
 
 def test_quality_of_odd_rows(spark, odd, none):
     marks = spark.createDataFrame([(1, 1), (1, None), (None, 1)], "doc_id long, quality int")
-    rows = quality.scored(odd.drop("score"), marks).collect()
+    rows = quality.scored(odd, marks).collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert all(r.score == 0.5 for r in quality.scored(odd, marks.limit(0)).collect())
     assert quality.scored(none, marks).count() == 0
 
 
+def test_a_repeated_id_stays_within_the_bound(spark, monkeypatch):
+    """A labelled doc_id with very many rows brings no more examples than the bound."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda examples: seen.append(len(examples)))
+    docs = spark.range(500).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    quality.fit_quality(docs, spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, quality int"), fit_rows=20)
+    assert seen == [20]
+
+
 def test_factorisation_machine_pairs():
     import numpy as np
 
