@@ -7,12 +7,12 @@ in which the spans' places are known, along with look-alikes that are no persona
 prices, serial numbers). Training depends on the seed alone, so every task and every run has the same model.
 
 A text is read in windows of `WINDOW` characters that overlap by half, so that a span of up to half a window stands
-whole in some window. Each window is decoded by Viterbi search; spans that touch the edge of a window with text beyond
-are left to the window that holds them whole. The spans of all windows are reconciled over the whole text: equal ones
+whole in some window. Each window is decoded by Viterbi search. The pieces of a span that windows' edges cut are joined
+where they meet, so spans of any length are found. All windows' spans are reconciled over the whole text: equal ones
 add up their margins, and of those that overlap the set with the greatest sum is kept (weighted interval scheduling).
 A kept span must also hold `MUST_HOLD` and pass its kind's check, and may not touch a base span. Windows without a digit
-or @ can hold no such span and are not decoded. So spans of the model of more than half a window are found only where
-one window holds them whole; spans of `at_spans` have any length, and go before those of the model.
+or @ can hold no such span by themselves and are decoded only where a neighbouring window cuts one. Spans of `at_spans`
+go before those of the model.
 
 Cases: null and empty texts have no spans; texts are read whole; null and repeated doc_ids stay as rows; no rows give
 no rows; other columns are left alone. Places are code points, ends exclusive.
@@ -139,55 +139,70 @@ class Tagger:
             bias[HIDDEN : 2 * HIDDEN] = 1  # cells keep what they hold at first
             self.p |= {f"{way}_in": draw(EMBED, 4 * HIDDEN), f"{way}_rec": draw(HIDDEN, 4 * HIDDEN), f"{way}_b": bias}
 
-    def _pass(self, x: np.ndarray, way: str, keep: bool):
-        """Hidden states of one direction over (time, batch) symbols; with `keep` what the gradient needs."""
-        drive = self.p["embed"] @ self.p[f"{way}_in"] + self.p[f"{way}_b"]
-        steps = range(len(x)) if way == "f" else range(len(x) - 1, -1, -1)
-        h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
-        out, held = np.empty((*x.shape, HIDDEN), np.float32), {}
-        for t in steps:
-            z = drive[x[t]] + h @ self.p[f"{way}_rec"]
-            gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
-            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-            g = np.tanh(z[:, 3 * HIDDEN :])
-            before_h, before_c = h, c
-            c = f * c + i * g
+    def _pass(self, x: np.ndarray, keep: bool = False):
+        """Hidden states of both directions over (time, batch) symbols, (time, 2, batch, HIDDEN), the second one from the
+        end; with `keep` also the gates and cells that the gradient needs. Sigmoids are taken as tanh of half."""
+        p, steps, n = self.p, *x.shape
+        drive = np.empty((steps, 2, n, 4 * HIDDEN), np.float32)
+        for d, (way, row) in enumerate((("f", x), ("b", x[::-1]))):
+            drive[:, d] = (p["embed"] @ p[f"{way}_in"] + p[f"{way}_b"])[row]
+        rec = np.stack((p["f_rec"], p["b_rec"]))
+        h = c = np.zeros((2, n, HIDDEN), np.float32)
+        hidden, cells = np.empty((steps, 2, n, HIDDEN), np.float32), []
+        for t in range(steps):
+            z = drive[t]
+            z += h @ rec
+            z[..., : 3 * HIDDEN] *= 0.5
+            np.tanh(z, out=z)
+            s = z[..., : 3 * HIDDEN]
+            s += 1
+            s *= 0.5
+            i, f, o, g = (z[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+            before, c = c, f * c + i * g
             tc = np.tanh(c)
-            h = out[t] = o * tc
+            h = np.multiply(o, tc, out=hidden[t])
             if keep:
-                held[t] = (i, f, o, g, before_h, before_c, tc)
-        return out, held
+                cells.append((before, tc))
+        return hidden, drive, cells  # the gates have taken the place of what drives them
+
+    def _emissions(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        states = np.concatenate((hidden[:, 0], hidden[::-1, 1]), axis=2)
+        return states, states @ self.p["out"] + self.p["out_b"]
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        states = np.concatenate([self._pass(x, way, False)[0] for way in "fb"], axis=2)
-        return states @ self.p["out"] + self.p["out_b"]
+        return self._emissions(self._pass(x)[0])[1]
 
     def gradients(self, x: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean negative log-likelihood of the tags, and its gradient."""
-        passes = {way: self._pass(x, way, True) for way in "fb"}
-        states = np.concatenate([passes["f"][0], passes["b"][0]], axis=2)
-        e = states @ self.p["out"] + self.p["out_b"]
-        loss, de, d_trans = crf_gradients(e, tags, self.p["trans"] + _ALLOWED)
-        g = {"trans": d_trans, "out": np.einsum("tbh,tbk->hk", states, de), "out_b": de.sum((0, 1)), "embed": np.zeros_like(self.p["embed"])}
-        d_states = de @ self.p["out"].T
-        for n, way in enumerate("fb"):
-            g |= self._back(x, way, passes[way][1], d_states[:, :, n * HIDDEN : (n + 1) * HIDDEN], g["embed"])
-        return loss, g
-
-    def _back(self, x, way, held, d_out, d_embed) -> dict[str, np.ndarray]:
-        rec = self.p[f"{way}_rec"]
-        d_rec, d_drive = np.zeros_like(rec), np.zeros((SYMBOLS, 4 * HIDDEN), np.float32)
-        dh = dc = np.zeros((x.shape[1], HIDDEN), np.float32)
-        for t in range(len(x) - 1, -1, -1) if way == "f" else range(len(x)):
-            i, f, o, gg, before_h, before_c, tc = held[t]
+        p, (steps, n) = self.p, x.shape
+        hidden, gates, cells = self._pass(x, keep=True)
+        states, e = self._emissions(hidden)
+        loss, de, d_trans = crf_gradients(e, tags, p["trans"] + _ALLOWED)
+        flat = de.reshape(-1, TAGS)
+        g = {"trans": d_trans, "out": states.reshape(-1, 2 * HIDDEN).T @ flat, "out_b": flat.sum(0)}
+        d_states = de @ p["out"].T
+        d_out = np.stack((d_states[:, :, :HIDDEN], d_states[::-1, :, HIDDEN:]), axis=1)
+        back = np.ascontiguousarray(np.stack((p["f_rec"].T, p["b_rec"].T)))
+        dh = dc = np.zeros((2, n, HIDDEN), np.float32)
+        for t in range(steps - 1, -1, -1):
+            before, tc = cells[t]
+            i, f, o, g_ = (gates[t, ..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
             dh = dh + d_out[t]
             dc = dc + dh * o * (1 - tc * tc)
-            dz = np.concatenate((dc * gg * i * (1 - i), dc * before_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)), axis=1)
-            d_rec += before_h.T @ dz
-            np.add.at(d_drive, x[t], dz)
-            dh, dc = dz @ rec.T, dc * f
-        d_embed += d_drive @ self.p[f"{way}_in"].T
-        return {f"{way}_rec": d_rec, f"{way}_in": self.p["embed"].T @ d_drive, f"{way}_b": d_drive.sum(0)}
+            slopes = (dc * g_ * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g_ * g_))
+            dc = dc * f
+            dz = gates[t] = np.concatenate(slopes, axis=2)  # a step's gates are not needed any more
+            dh = dz @ back
+        onehot = np.zeros((x.size, SYMBOLS), np.float32)
+        onehot[np.arange(x.size), x.ravel()] = 1
+        embedded, g["embed"] = p["embed"][x].reshape(-1, EMBED), np.zeros_like(p["embed"])
+        for d, way in enumerate("fb"):
+            before = np.concatenate((np.zeros((1, n, HIDDEN), np.float32), hidden[:-1, d])).reshape(-1, HIDDEN)
+            own = gates[:, d].reshape(-1, 4 * HIDDEN)
+            in_order = own if way == "f" else gates[::-1, d].reshape(-1, 4 * HIDDEN)
+            g |= {f"{way}_rec": before.T @ own, f"{way}_in": embedded.T @ in_order, f"{way}_b": own.sum(0)}
+            g["embed"] += onehot.T @ (in_order @ p[f"{way}_in"].T)
+        return loss, g
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags of each window, (time, batch), and the margin of each tag over `outside` by its emission."""
@@ -206,32 +221,31 @@ class Tagger:
         return tags, margin
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
-
-
 def crf_gradients(e: np.ndarray, tags: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Mean negative log-likelihood of (time, batch) tags under a linear chain, and gradients by emissions and transitions."""
+    """Mean negative log-likelihood of (time, batch) tags under a linear chain, and gradients by emissions and transitions.
+
+    Forward and backward sums are kept as shares that add up to one at each step, with the steps' factors apart."""
     steps, n = tags.shape
-    forward, backward = np.empty_like(e), np.zeros_like(e)
-    forward[0] = e[0] + _STARTS
-    for t in range(1, steps):
-        forward[t] = _log_sum(forward[t - 1][:, :, None] + trans, 1) + e[t]
-    for t in range(steps - 2, -1, -1):
-        backward[t] = _log_sum(trans + (e[t + 1] + backward[t + 1])[:, None, :], 2)
-    total = _log_sum(forward[-1], 1)
-    every = np.arange(n)
-    de = np.exp(forward + backward - total[:, None])
-    gold = e[0, every, tags[0]] + _STARTS[tags[0]]
-    de[0, every, tags[0]] -= 1
-    d_trans = np.zeros_like(trans)
-    for t in range(1, steps):
-        gold = gold + e[t, every, tags[t]] + trans[tags[t - 1], tags[t]]
-        de[t, every, tags[t]] -= 1
-        d_trans += np.exp(forward[t - 1][:, :, None] + trans + (e[t] + backward[t])[:, None, :] - total[:, None, None]).sum(0)
-        np.add.at(d_trans, (tags[t - 1], tags[t]), -1)
-    return float((total - gold).mean()), de / n, d_trans / n
+    every, moves = np.arange(n), np.exp(trans.astype(np.float64))
+    top = e.max(axis=2, keepdims=True)
+    own = np.exp((e - top).astype(np.float64))
+    forward, backward, factor = np.empty_like(own), np.ones_like(own), np.empty((steps, n, 1))
+    for t in range(steps):
+        now = own[t] * (np.exp(_STARTS) if t == 0 else forward[t - 1] @ moves)
+        factor[t] = now.sum(axis=1, keepdims=True)
+        forward[t] = now / factor[t]
+    ahead = np.empty_like(own)
+    for t in range(steps - 1, -1, -1):
+        ahead[t] = own[t] * backward[t] / factor[t]
+        if t:
+            backward[t - 1] = ahead[t] @ moves.T
+    total = np.log(factor).sum(axis=(0, 2)) + top.sum(axis=(0, 2))
+    de = forward * backward
+    gold = np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0].sum(axis=0) + _STARTS[tags[0]] + trans[tags[:-1], tags[1:]].sum(axis=0)
+    de[np.arange(steps)[:, None], every, tags] -= 1
+    d_trans = moves * (forward[:-1].reshape(-1, TAGS).T @ ahead[1:].reshape(-1, TAGS))
+    np.add.at(d_trans, (tags[:-1], tags[1:]), -1)
+    return float((total - gold).mean()), (de / n).astype(np.float32), (d_trans / n).astype(np.float32)
 
 
 # Labelled spans to learn from.
@@ -285,13 +299,14 @@ class _Writer:
 
     def decoy(self) -> str:
         """Holds digits or @ and is no personal data."""
-        hexes = "".join(self.pick("0123456789abcdef") for _ in range(int(self.pick([12, 18, 32, 40]))))
-        key = "".join(self.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
-        n = self.digits
+        n, letters, part = self.digits, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", lambda: self.pick(_SYLLABLES)
+        hexes = lambda: "".join("0123456789abcdef"[d] for d in self.rng.integers(0, 16, int(self.pick([12, 18, 32, 40]))))
         return self.pick([
-            f'token = "{hexes}"', f"password={hexes}", f"AKIA{key}", f"v{n(1)}.{n(1)}", f"{n(1)}.{n(1)}.{n(1)}", "Version 2.0.", "CC BY-NC 4.0.", "version 3.", f"20{n(2)}-0{n(1)}-1{n(1)}", f"1{n(1)}:{n(2)}",
-            f"{n(2)}.{n(2)} EUR", n(5), n(3), n(16), n(20), f"#{n(6)}", f"{n(3)}.{n(3)}", f"p. {n(3)}", f"@{self.pick(_SYLLABLES)}", f"{n(1)},{n(3)},{n(3)}", f"(19{n(2)})", f"{n(2)}%", f"{self.pick(_SYLLABLES)}{n(2)}", f"3{n(2)}.{n(3)}.7{n(2)}.{n(3)}", f"ISBN 978-{n(1)}-{n(4)}-{n(4)}-{n(1)}",
-        ])
+            lambda: f'token = "{hexes()}"', lambda: f"password={hexes()}", lambda: "AKIA" + "".join(letters[d] for d in self.rng.integers(0, 32, 16)), lambda: f"v{n(1)}.{n(1)}", lambda: f"{n(1)}.{n(1)}.{n(1)}",
+            lambda: "Version 2.0.", lambda: "CC BY-NC 4.0.", lambda: "version 3.", lambda: f"20{n(2)}-0{n(1)}-1{n(1)}", lambda: f"1{n(1)}:{n(2)}", lambda: f"{n(2)}.{n(2)} EUR", lambda: n(5), lambda: n(3), lambda: n(16), lambda: n(20),
+            lambda: f"#{n(6)}", lambda: f"{n(3)}.{n(3)}", lambda: f"p. {n(3)}", lambda: f"@{part()}", lambda: f"{n(1)},{n(3)},{n(3)}", lambda: f"(19{n(2)})", lambda: f"{n(2)}%", lambda: f"{part()}{n(2)}",
+            lambda: f"3{n(2)}.{n(3)}.7{n(2)}.{n(3)}", lambda: f"ISBN 978-{n(1)}-{n(4)}-{n(4)}-{n(1)}",
+        ])()
 
 
 def training_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -375,38 +390,73 @@ def _fits(kind: str, text: str) -> bool:
     return _CHECKS[kind](text) and re.search(r"[A-Za-z]", text) is None
 
 
-def model_spans(texts: list[str], model: Tagger, batch: int = 512) -> list[list[Span]]:
-    """The spans that the tagger finds in each text, reconciled over its windows."""
-    where, rows = [], []
-    for i, text in enumerate(texts):
-        last = -1
-        for m in MUST_HOLD.finditer(text):
-            # the windows that hold this place
-            for k in range(max(last + 1, m.start() // (WINDOW // 2) - 1, 0), m.start() // (WINDOW // 2) + 1):
-                where.append((i, k * (WINDOW // 2)))
-                last = k
+def _pieces(own: np.ndarray, margin: np.ndarray, size: int) -> Iterator[tuple[int, int, int, float]]:
+    """(kind, start, end, margin) of the spans of a window's tags."""
+    t = 0
+    while t < size:
+        if own[t] == 0:
+            t += 1
+            continue
+        kind, b = (own[t] - 1) // 2, t + 1
+        while b < size and own[b] == 2 + 2 * kind:
+            b += 1
+        yield kind, t, b, float(margin[t:b].sum())
+        t = b
+
+
+def joined(cut: list[tuple[int, int, int, float, bool, bool]]) -> Iterator[tuple[Span, float]]:
+    """Whole spans from pieces (kind, start, end, margin, cut at its start, cut at its end) that windows' edges cut."""
+    for kind in range(len(KINDS)):
+        run = None
+        for _, a, b, w, left, right in sorted(c for c in cut if c[0] == kind):
+            if run and left and run[4] and a <= run[1]:
+                run = (run[0], max(run[1], b), run[2] + w, run[3], right if b >= run[1] else run[4])
+            else:
+                if run and not (run[3] or run[4]):
+                    yield (KINDS[kind], run[0], run[1]), run[2]
+                run = (a, b, w, left, right)
+        if run and not (run[3] or run[4]):
+            yield (KINDS[kind], run[0], run[1]), run[2]
+
+
+def model_spans(texts: list[str], model: Tagger, batch: int = 512, every: bool = False) -> list[list[Span]]:
+    """The spans that the tagger finds in each text, reconciled over its windows.
+
+    Windows with a digit or @ are decoded (with `every`, all of them), and those next to one that cuts a span."""
+    half = WINDOW // 2
+    last = [max(0, -(-len(t) // half) - 2) for t in texts]  # each text's last window; it reaches the end
+    if every:
+        wanted = [(i, k) for i, n in enumerate(last) for k in range(n + 1)]
+    else:
+        wanted = sorted({(i, min(k, last[i])) for i, t in enumerate(texts) for m in MUST_HOLD.finditer(t) for k in (max(m.start() // half - 1, 0), m.start() // half)})
+    done = set(wanted)
     found: list[dict[Span, float]] = [{} for _ in texts]
-    for start in range(0, len(where), batch):
-        part = where[start : start + batch]
-        x = np.full((WINDOW, len(part)), PAD, np.uint8)
-        for n, (i, a) in enumerate(part):
-            rows = symbols(texts[i][a : a + WINDOW])
-            x[: len(rows), n] = rows
-        tags, margin = model.decode(x)
-        for n, (i, a) in enumerate(part):
-            own, size = tags[:, n], min(WINDOW, len(texts[i]) - a)
-            t = 0
-            while t < size:
-                if own[t] == 0:
-                    t += 1
-                    continue
-                kind, b = (own[t] - 1) // 2, t + 1
-                while b < size and own[b] == 2 + 2 * kind:
-                    b += 1
-                if not (t == 0 and a) and not (b == WINDOW and a + WINDOW < len(texts[i])):
-                    span = (KINDS[kind], a + t, a + b)
-                    found[i][span] = found[i].get(span, 0.0) + float(margin[t:b, n].mean()) * (b - t)
-                t = b
+    cut: list[list] = [[] for _ in texts]
+    while wanted:
+        more = set()
+        for start in range(0, len(wanted), batch):
+            part = wanted[start : start + batch]
+            x = np.full((WINDOW, len(part)), PAD, np.uint8)
+            for n, (i, k) in enumerate(part):
+                rows = symbols(texts[i][k * half : k * half + WINDOW])
+                x[: len(rows), n] = rows
+            tags, margin = model.decode(x)
+            for n in np.flatnonzero((tags != 0).any(axis=0)):
+                i, k = part[n]
+                a, size = k * half, min(WINDOW, len(texts[i]) - k * half)
+                for kind, s, e, w in _pieces(tags[:, n], margin[:, n], size):
+                    left, right = s == 0 and k > 0, e == WINDOW and a + WINDOW < len(texts[i])
+                    if left or right:
+                        cut[i].append((kind, a + s, a + e, w, left, right))
+                        more |= ({(i, k - 1)} if left else set()) | ({(i, k + 1)} if right else set())
+                    else:
+                        span = (KINDS[kind], a + s, a + e)
+                        found[i][span] = found[i].get(span, 0.0) + w
+        wanted = sorted(more - done)
+        done |= more
+    for own, pieces in zip(found, cut, strict=True):
+        for span, w in joined(pieces):
+            own[span] = own.get(span, 0.0) + w
     return [reconcile({s: w for s, w in f.items() if w > 0}) for f in found]
 
 
