@@ -41,6 +41,18 @@ def lenient_float(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
+def numeric_only(value: Column) -> Column:
+    """The number of a VARIANT that holds a number; texts are never cast. A boolean is a number, 0 or 1."""
+    kind = F.schema_of_variant(value)
+    number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+    return number.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast("double"))
+
+
+def numeric_not_boolean(value: Column) -> Column:
+    """The number of a VARIANT that holds a number or a text that is one; a boolean is none."""
+    return F.when(F.schema_of_variant(value) != "BOOLEAN", finite(F.trim(F.try_variant_get(value, "$", "string")).try_cast("double")))
+
+
 def null_sentinel(value: Column, sentinel) -> Column:
     """The value, with the sentinel that stands for a missing one as NULL."""
     return F.nullif(value, F.lit(sentinel))

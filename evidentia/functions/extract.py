@@ -18,10 +18,16 @@ GRADES = {
     "format": ([r"(?i)DR\s*Grade\s*([0-4])", r'"dr_grade"\s*:\s*([0-4])', r"(?i)\bGrade\s*([0-4])\b"], [], []),
     "training": ([r"(?i)GRADE\s*[:：]?\s*([0-4])\b", r"\b([0-4])\b"], [], []),
 }
+# Forbidden grade texts, option letters, markers, headings and the patterns around JSON payloads and log lines.
 FORBIDDEN = r"(?i)\b(?:DR\s*)?grade\s*[0-4]\b"
 FORBIDDEN_WIDE = r"(?i)\b(DR\s*grade|dr_grade|final\s+grade|grade\s*[0-4])\b"
 LETTERS = (r"(?i)\b([A-E])\b", r"(?i)(?:answer|option|答案|选项)\s*[:：]?\s*([A-E])")
 
+STRUCTURED, OUTPUT = "[Structured Output]", "## Output"
+FENCED, MARKED = r"(?s)```json\s*(\{.*?\})\s*```", r"(?s)【JSON】\s*(\{.*?\})\s*(?:$|\n\n)"
+STEP, STEPS, STEPS_STATED = r"(\d+)/\d+ \[", r"\d+/(\d+) \[", r"Total optimization steps = ([\d,]+)"
+LOSS, ELAPSED, REMAINING = r"'loss': '?([0-9.eE+-]+)", r"\[(\d+(?::\d{2})+)<", r"<(\d+(?::\d{2})+)[,\]]"
+
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -65,49 +71,52 @@ def lazy_object(text: Column) -> Column:
     return _group(text, r"(?s)\{.*?\}", 0)
 
 
+def _parsing(text: Column) -> Column:
+    return F.when(F.try_parse_json(text).isNotNull(), text)
+
+
 def fenced_object(text: Column, key: str = "dr_grade") -> Column:
-    """An object in a JSON fence, else one after the JSON marker, else a flat one that names the key."""
-    return F.coalesce(
-        _group(text, r"(?s)```json\s*(\{.*?\})\s*```"),
-        _group(text, r"(?s)【JSON】\s*(\{.*?\})\s*(?:$|\n\n)"),
-        _group(text, r'(\{[^{}]*"' + key + r'"[^{}]*\})'),
-    )
+    """The first that parses of: the object in a JSON fence, the one after the JSON marker, and all flat ones that name
+    the key."""
+    flat = F.regexp_extract_all(text, F.lit(r'\{[^{}]*"' + key + r'"[^{}]*\}'), F.lit(0))
+    good = F.filter(flat, lambda x: F.try_parse_json(x).isNotNull())
+    return F.coalesce(_parsing(_group(text, FENCED)), _parsing(_group(text, MARKED)), F.try_element_at(good, F.lit(1)))
 
 
 def output_object(text: Column) -> Column:
     """The object after an output heading, code fences taken off."""
-    return _group(F.regexp_replace(after_marker(text, "## Output"), r"```(?:json)?", ""), r"(?s)\{.*\}", 0)
-
-
-def _balanced(text: str) -> str | None:
-    """The first brace-balanced object; braces inside strings do not count."""
-    start = text.find("{")
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text)) if start >= 0 else ():
-        ch = text[i]
-        if quoted:
-            escaped, quoted = (ch == "\\" and not escaped), (ch != '"' or escaped)
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if not depth:
-                return text[start : i + 1]
-    return None
+    return _group(F.regexp_replace(after_marker(text, OUTPUT), r"```(?:json)?", ""), r"(?s)\{.*\}", 0)
 
 
 @F.pandas_udf(T.StringType())
-def balanced_object(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The first brace-balanced object of each text; no regular expression can find it."""
+def _decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The first JSON value of each text, written anew; of repeated keys the last counts."""
     for batch in batches:
-        yield pd.Series([None if t is None else _balanced(t) for t in batch.astype(object).where(batch.notna(), None)], dtype=object)
+        out = []
+        for text in batch:
+            try:
+                out.append(None if text is None else json.dumps(json.JSONDecoder().raw_decode(text)[0], ensure_ascii=False))
+            except ValueError:
+                out.append(None)
+        yield pd.Series(out, dtype=object)
+
+
+def first_object(text: Column, marker: str = STRUCTURED) -> Column:
+    """The JSON object that begins at the first opening brace after the marker, or anywhere if none follows it, as a
+    VARIANT; what comes after the object does not count. NULL if it can't be read or holds a NaN.
+
+    Only texts that VARIANT does not take, such as objects that repeat a key, go to Python."""
+    tail = after_marker(text, marker)
+    tail = F.when(F.contains(tail, F.lit("{")), tail).otherwise(text)
+    at = F.instr(tail, "{")
+    found = F.when(at > 0, F.substring(tail, at, F.length(tail)))
+    parsed = F.try_parse_json(found)
+    return F.coalesce(parsed, F.try_parse_json(_decoded(F.when(parsed.isNull(), found))))
 
 
 @F.pandas_udf(T.BooleanType())
 def is_strict_object(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Whether the text is one JSON object by the strict grammar, with nothing after it."""
+    """Whether the text is one JSON object with nothing after it, as Python's own reader judges it."""
 
     def parses(text) -> bool:
         try:
@@ -132,6 +141,36 @@ def key_values(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def tail_text(text: Column, n: int) -> Column:
+    """The last n characters."""
+    return F.right(text, F.lit(n))
+
+
+def head_text(text: Column, n: int, more: str = "") -> Column:
+    """The first n characters, and a mark where there are more."""
+    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit(more))).otherwise(text)
+
+
+def fixed_point(value: Column, digits: int = 2) -> Column:
+    """A number with so many decimals, rounded as the exact binary value, ties to even (as C's and Python's %.2f); for
+    numbers below 2^52 / 10^digits, others are NULL."""
+    scale = 10.0**digits
+    x = F.abs(value.cast("double"))
+    up = x * scale
+    # what the product leaves out, exactly: the upper half of the number times the scale fits a double
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    left_out = (high * scale - up) + (x - high) * scale
+    whole = F.floor(up)
+    part = up - whole
+    above = (part > 0.5) | ((part == 0.5) & ((left_out > 0) | ((left_out == 0) & (whole % 2 == 1))))
+    n = (whole + F.when(above, 1).otherwise(0)).cast("bigint")
+    one = 10**digits
+    shown = ((n - n % one) / one).cast("bigint").cast("string")
+    if digits:
+        shown = F.concat(shown, F.lit("."), F.lpad((n % one).cast("string"), digits, "0"))
+    return F.when(up < 2.0**52, F.concat(F.when(value < 0, "-").otherwise(""), shown))
+
+
 def name_list(text: Column, none: str = "NONE") -> Column:
     """A comma list as a sorted set, without the word for an empty one."""
     parts = F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: (s != "") & (s != none))
@@ -176,11 +215,11 @@ def progress(line: Column) -> Column:
     """step, total, loss, elapsed and remaining seconds of a training log's line, each NULL if it is not there."""
     number = lambda pattern, kind: _group(line, pattern).try_cast(kind)
     return F.struct(
-        number(r"(\d+)/\d+ \[", "bigint").alias("step"),
-        F.coalesce(number(r"\d+/(\d+) \[", "bigint"), number(r"Total optimization steps = ([\d,]+)", "bigint")).alias("total"),
-        number(r"'loss': '?([0-9.eE+-]+)", "double").alias("loss"),
-        duration_seconds(_group(line, r"\[(\d+(?::\d{2})+)<")).alias("elapsed"),
-        duration_seconds(_group(line, r"<(\d+(?::\d{2})+)[,\]]")).alias("remaining"),
+        number(STEP, "bigint").alias("step"),
+        F.coalesce(number(STEPS, "bigint"), number(STEPS_STATED, "bigint")).alias("total"),
+        number(LOSS, "double").alias("loss"),
+        duration_seconds(_group(line, ELAPSED)).alias("elapsed"),
+        duration_seconds(_group(line, REMAINING)).alias("remaining"),
     )
 
 
@@ -195,13 +234,14 @@ def trimmed_tokens(ids: Column, pad: int) -> Column:
     return F.when(at > 0, F.slice(ids, F.lit(1), (at - 1).cast("int"))).otherwise(ids)
 
 
-def _first_key(node, wanted: frozenset):
-    """Pre-order: a node's own keys in order, then its children. A key with null ends the search below its node only."""
+def _first_key(node, wanted: tuple, objects: bool):
+    """Pre-order: a node's own keys in order, then its children. A key with null ends the search below its node only; with
+    `objects` the keys are tried in the order given, and one whose value is no object doesn't count."""
     stack = [node]
     while stack:
         at = stack.pop()
         if isinstance(at, dict):
-            hit = next((k for k in at if k in wanted), None)
+            hit = next((k for k in wanted if isinstance(at.get(k), dict)), None) if objects else next((k for k in at if k in wanted), None)
             if hit is None:
                 stack.extend(reversed(list(at.values())))
             elif at[hit] is not None:
@@ -211,18 +251,16 @@ def _first_key(node, wanted: frozenset):
     return None
 
 
-def first_key(*names: str):
+def first_key(*names: str, objects: bool = False):
     """A function of JSON texts: the value, as JSON, at the first of several keys anywhere in the document. Only for
     documents whose layout is not known; known paths are cheaper by `any_path`."""
-    wanted = frozenset(names)
-
     @F.pandas_udf(T.StringType())
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
             for text in batch:
                 try:
-                    value = _first_key(json.loads(text), wanted)
+                    value = _first_key(json.loads(text), names, objects)
                 except (TypeError, ValueError):
                     value = None
                 out.append(None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":")))

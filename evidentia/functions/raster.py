@@ -48,7 +48,9 @@ def components(mask: np.ndarray) -> list[np.ndarray]:
                 j += 1
     roots = np.array([root(i) for i in range(len(rows))], np.int64)
     runs = np.stack([rows, first, end], axis=1)
-    return [runs[roots == r] for r in np.unique(roots)]
+    order = np.argsort(roots, kind="stable")
+    starts = np.flatnonzero(np.diff(roots[order], prepend=-1))
+    return np.split(runs[order], starts[1:]) if len(order) else []
 
 
 def _centre(runs: np.ndarray) -> tuple[int, float, float]:

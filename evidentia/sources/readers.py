@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.functions.extract import path_stem
+from evidentia.functions.columns import tri_state
+from evidentia.functions.extract import key_values, path_stem
 
 
 def _present(read, spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -65,6 +66,28 @@ def entity_documents(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def with_documents(rows: DataFrame, key: str, documents: DataFrame) -> DataFrame:
+    """Rows with the document of their entity; doc is NULL where there is none or it can't be read."""
+    return rows.join(documents.select(F.col("entity").alias(key), "doc"), key, "left")
+
+
+def annotated_answers(conversations: DataFrame, key: Column, answer: Column, order: Column) -> DataFrame:
+    """The annotation in the answer of each conversation by a key taken from its image path: the map of the answer's
+    `key: value` lines, the last conversation of a key counting."""
+    parsed = conversations.select(key.alias("key"), key_values(answer).alias("annotation"), order.alias("__o"))
+    return parsed.where("key is not null").groupBy("key").agg(F.max_by("annotation", "__o").alias("annotation"))
+
+
+def target_of(doc: Column) -> Column:
+    """What a prediction is about, under any of its names."""
+    return any_path(doc, ["$.target", "$.target_lesion", "$.lesion", "$.task.target"], "string")
+
+
+def presence_of(doc: Column) -> Column:
+    """present, absent or unknown from a flag, a word or a number under any of its names."""
+    return tri_state(any_path(doc, ["$.present", "$.state", "$.is_present", "$.result.present"], "string"))
+
+
 def any_path(doc: Column, paths: Sequence[str], kind: str) -> Column:
     """The value at the first of several paths of a VARIANT that holds one of the kind."""
     return F.coalesce(*[F.try_variant_get(doc, p, kind) for p in paths])

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,20 +30,32 @@ def as_document(df: DataFrame, order: list[str], most: int = 10_000) -> str:
     return "[" + ",".join(r[0] for r in rows) + "]"
 
 
+def _hadoop(path: str):
+    """Spark's session, file system classes and the path, in whatever store the path names."""
+    spark = SparkSession.active()
+    fs = spark._jvm.org.apache.hadoop.fs
+    return spark, fs, fs.Path(path)
+
+
 def write_document(path: str, content) -> None:
     """Writes one JSON document so that readers see the old or the new one, never a part."""
-    handle, name = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".part")
-    with os.fdopen(handle, "w", encoding="utf-8") as out:
-        json.dump(content, out, ensure_ascii=False, indent=2)
-    os.replace(name, path)
+    spark, fs, target = _hadoop(path)
+    conf = spark._jsc.hadoopConfiguration()
+    part = fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = target.getFileSystem(conf).create(part, True)
+    out.write(bytearray(json.dumps(content, ensure_ascii=False, indent=2), "utf-8"))
+    out.close()
+    replace = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf).rename(part, target, replace)
 
 
 def register(path: str, name: str, entry: dict) -> dict:
     """Adds or replaces a data set in a registry file and returns the registry."""
+    spark, _, target = _hadoop(path)
     known = {}
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as held:
-            known = json.load(held)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        known = json.loads(spark.read.text(path, wholetext=True).first()[0])
     known[name] = entry
     write_document(path, known)
     return known

@@ -84,16 +84,35 @@ def test_multiset_and_tags(spark):
 def test_markers_and_objects(spark):
     nested = 'pre {"a": {"b": 1}, "s": "}"} post {x}'
     rows = [(nested,), ("no object",), ('{"a": 1}',), (None,), ('{"open": ',)]
-    got = one(spark, rows, "t string", b=X.balanced_object("t"), g=X.greedy_object(F.col("t")), z=X.lazy_object(F.col("t")), s=X.is_strict_object("t"))
-    assert got[0] == ('{"a": {"b": 1}, "s": "}"}', '{"a": {"b": 1}, "s": "}"} post {x}', '{"a": {"b": 1}', False)
+    got = one(spark, rows, "t string", b=X.first_object(F.col("t")).cast("string"), g=X.greedy_object(F.col("t")), z=X.lazy_object(F.col("t")), s=X.is_strict_object(F.col("t")))
+    assert got[0] == ('{"a":{"b":1},"s":"}"}', '{"a": {"b": 1}, "s": "}"} post {x}', '{"a": {"b": 1}', False)
     assert got[1] == (None, None, None, False) and got[3][0] is None and got[4][0] is None
-    assert got[2] == ('{"a": 1}',) * 3 + (True,)
+    assert got[2] == ('{"a":1}', '{"a": 1}', '{"a": 1}', True)
     assert json.loads(got[0][0])["s"] == "}"
 
 
+def test_fenced_objects_fall_through(spark):
+    """A fence that does not parse hides no later object, and all flat objects are tried."""
+    rows = [('```json {"a": } ``` 【JSON】 {"dr_grade": 2}\n\nx',), ('{"dr_grade": } then {"dr_grade": 3}',), ('```json\n{"dr_grade": 1}\n``` {"dr_grade": 4}',), ('{"other": 1}',)]
+    assert one(spark, rows, "t string", f=X.fenced_object(F.col("t"))) == [('{"dr_grade": 2}',), ('{"dr_grade": 3}',), ('{"dr_grade": 1}',), (None,)]
+
+
+def test_objects_after_the_marker(spark):
+    rows = [('{"a": 1} [Structured Output] {"b": 2} tail',), ('{"a": 1} [Structured Output] none',), ('{"a": 1, "a": 2} {x}',)]
+    assert one(spark, rows, "t string", o=X.first_object(F.col("t")).cast("string")) == [('{"b":2}',), ('{"a":1}',), ('{"a":2}',)]
+
+
+def test_fixed_point_is_pythons(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [0.125, 0.375, 2.675, 0.435, 0.445, 1.005, -0.015, 0.0, 1e9 + 0.005, 123456.785, *(rng.randrange(10**6) / 1000 for _ in range(2000)), *(rng.random() * 10 ** rng.randrange(8) for _ in range(500))]
+    got = one(spark, [(v,) for v in values], "v double", a=X.fixed_point(F.col("v")), b=X.fixed_point(F.col("v"), 0), c=X.fixed_point(F.col("v"), 1))
+    assert got == [(f"{v:.2f}", f"{v:.0f}", f"{v:.1f}") for v in values]
+
 @pytest.mark.parametrize(("text", "strict"), [('{"a":1}', True), ('{"a":1} x', False), ("{'a':1}", False), ('{"a":NaN}', True), ('{"a":1,"a":2}', True), ("[1]", False)])
 def test_strict_json_is_pythons(spark, text, strict):
-    assert one(spark, [(text,)], "t string", s=X.is_strict_object("t")) == [(strict,)]
+    assert one(spark, [(text,)], "t string", s=X.is_strict_object(F.col("t"))) == [(strict,)]
 
 
 def test_grades_and_letters(spark):
