@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.ordered import running_sums
+from evidentia.operators.ordered import join_same, running_sums
 
 
 def counter(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,19 +50,27 @@ def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, min, p50, p90, p99, max and mean of each group."""
     basic = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
     ranks = nearest_rank(df, keys, value, (50, 90, 99))
-    return ranks.join(basic, list(keys)) if keys else ranks.join(F.broadcast(basic), how="inner", on=F.lit(True))
+    return join_same(ranks, basic, keys) if keys else ranks.join(F.broadcast(basic), how="inner", on=F.lit(True))
 
 
 def linear_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Exact quantiles with linear interpolation."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(x) for x in at])).alias("__q"))
-    return q.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    """Exact quantiles with linear interpolation, from running sums as nearest_rank."""
+    spread = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    run = running_sums(spread, keys, value, ["c"])
+
+    def at_place(place: Column) -> Column:
+        return F.max(F.when((place >= F.col("c_before")) & (place < F.col("c_before") + F.col("c")), F.col(value).cast("double")))
+
+    places = [F.lit(float(q)) * (F.col("c_all") - 1) for q in at]
+    ends = [x for i, p in enumerate(places) for x in (at_place(F.floor(p)).alias(f"__l{i}"), at_place(F.ceil(p)).alias(f"__h{i}"), F.max(p - F.floor(p)).alias(f"__p{i}"))]
+    found = run.groupBy(*keys).agg(*ends)
+    return found.select(*keys, *[(F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * F.col(f"__p{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def above_group_percentile(df: DataFrame, keys: Sequence[str], value: str, percent: float, floor_n: int = 25) -> DataFrame:
     """Rows at or above their group's nearest-rank percentile; groups that are too small have the threshold 0."""
     limits = nearest_rank(df, keys, value, (percent,), floor_n).withColumnRenamed(f"p{percent:g}", "threshold").drop("n")
-    return df.join(limits, list(keys)).where(F.col(value) >= F.col("threshold"))
+    return join_same(df, limits, keys).where(F.col(value) >= F.col("threshold"))
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, keys: Sequence[str] = (), log: bool = False) -> DataFrame:

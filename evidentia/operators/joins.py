@@ -56,15 +56,12 @@ def including(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def zip_by_place(a: DataFrame, b: DataFrame, place: str, strict: bool = False) -> DataFrame:
-    """Rows of two tables with the same place column; `strict` fails if one table is longer."""
-    joined = a.join(b, place, "full" if strict else "inner")
+    """Rows of two tables with the same place column; `strict` fails the job where only one table has a place."""
     if not strict:
-        return joined
-    mine = a.select(place).withColumn("__a", F.lit(1)).join(b.select(place).withColumn("__b", F.lit(1)), place, "full")
-    odd = mine.where(F.col("__a").isNull() | F.col("__b").isNull()).limit(1).collect()
-    if odd:
-        raise ValueError(f"only one side has {place} {odd[0][0]}")
-    return joined
+        return a.join(b, place)
+    joined = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), place, "full")
+    odd = F.raise_error(F.concat(F.lit(f"only one side has {place} "), F.col(place).cast("string"))).cast("boolean")
+    return joined.where(F.coalesce(F.col("__a") & F.col("__b"), odd)).drop("__a", "__b")
 
 
 def hard_negatives(rows: DataFrame, entity: str, kind: str, state: str, confounders: Mapping[str, Sequence[str]], name: str = "is_hard") -> DataFrame:

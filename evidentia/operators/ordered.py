@@ -18,6 +18,12 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: st
     return right, reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[prefix + k]) for k in keys])
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be NULL, a NULL being equal to a NULL; the right side brings its other columns."""
+    right, same = same_keys(left, right, keys)
+    return left.join(right, same).drop(*[f"__k_{k}" for k in keys])
+
+
 def running_sums(spread: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str]) -> DataFrame:
     """For rows (keys, value, counts) with one row per value of a group: <count>_before, the sum over lower values of
     the group, and <count>_all, the group's sum.

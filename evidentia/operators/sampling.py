@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.columns import sha1_bucket
+from evidentia.operators.ordered import join_same
 
 
 def _rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -23,19 +24,22 @@ def hash_split(df: DataFrame, key: Column, percent: int, *, digits: int = 8, nam
 def propagate_split(df: DataFrame, entity: str, is_eval: Column, name: str = "split", names=("val", "train")) -> DataFrame:
     """All rows of an entity go to evaluation if any of them does."""
     held = df.groupBy(entity).agg(F.max(is_eval.cast("int")).alias("__any"))
-    return df.join(held, entity).withColumn(name, F.when(F.col("__any") == 1, names[0]).otherwise(names[1])).drop("__any")
+    return join_same(df, held, [entity]).withColumn(name, F.when(F.col("__any") == 1, names[0]).otherwise(names[1])).drop("__any")
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each group; a group is reduced in parts before its rows meet."""
-    return _rank(df, keys, order, "__rn").where(F.col("__rn") <= n).drop("__rn")
+    return _rank(df, keys, order, "__top").where(F.col("__top") <= n).drop("__top")
 
 
-def cyclic_take(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Column) -> DataFrame:
-    """n rows of each group in order, going round again where the group has fewer; adds `cycle`."""
+def cyclic_take(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Column, most: int | None = None) -> DataFrame:
+    """n rows of each group in order, going round again where the group has fewer; adds `cycle`.
+
+    A group is first cut to its n rows (`most`, where n is a column), in parts before its rows meet, and counted then."""
+    first = top_n(df, keys, order, most if most is not None else n) if most is not None or isinstance(n, int) else df
     n = F.lit(n) if isinstance(n, int) else n
     w = Window.partitionBy(*keys)
-    ranked = _rank(df, keys, order, "__rn").withColumn("__m", F.count("*").over(w)).where(F.col("__rn") <= n)
+    ranked = _rank(first, keys, order, "__rn").where(F.col("__rn") <= n).withColumn("__m", F.count("*").over(w))
     last = F.floor((n - F.col("__rn")) / F.col("__m")).cast("int")
     return ranked.withColumn("cycle", F.explode(F.sequence(F.lit(0), last))).drop("__rn", "__m")
 
@@ -55,7 +59,7 @@ def balanced(df: DataFrame, keys: Sequence[str], positive: Column, order: Sequen
     """Positives and negatives of each group at most 1 to `ratio`; with ratio 1 as many of either as the scarcer has."""
     marked = df.withColumn("__pos", positive.cast("int"))
     counts = marked.groupBy(*keys).agg(F.sum("__pos").alias("__p"), F.sum(1 - F.col("__pos")).alias("__n"))
-    ranked = _rank(marked, [*keys, "__pos"], order, "__rn").join(counts, list(keys))
+    ranked = join_same(_rank(marked, [*keys, "__pos"], order, "__rn"), counts, keys)
     take_pos = F.least("__p", F.floor(F.col("__n") / ratio)) if ratio == 1 else F.col("__p")
     take_neg = F.least(F.col("__n"), F.floor(take_pos * ratio))
     return ranked.where(F.col("__rn") <= F.when(F.col("__pos") == 1, take_pos).otherwise(take_neg)).drop("__pos", "__p", "__n", "__rn")
@@ -70,7 +74,7 @@ def tier_mix(df: DataFrame, keys: Sequence[str], tier: str, shares: Sequence[tup
     for i, (name, share) in enumerate(shares):
         quota = F.when(F.col(tier) == name, int(round(target * share))).otherwise(quota)
         place = F.when(F.col(tier) == name, i).otherwise(place)
-    ranked = _rank(df, [*keys, tier], order, "__rn").withColumn("__place", place)
+    ranked = _rank(df, [*keys, tier], order, "__rn").where(F.col("__rn") <= target).withColumn("__place", place)
     ranked = ranked.withColumn("phase", F.when(F.col("__rn") <= quota, 0).otherwise(1))
     return cyclic_take(ranked, keys, [F.col("phase"), F.col("__place"), F.col("__rn"), *order], target).drop("__rn", "__place")
 
@@ -93,9 +97,10 @@ def take_budgets(df: DataFrame, key: str, budgets: Sequence[tuple[str, int]], or
     for name, size in budgets:
         n = F.when(F.col(key) == name, size).otherwise(n)
     chosen = df.where(F.col(key).isin(*[b[0] for b in budgets]))
+    most = max((b[1] for b in budgets), default=0)
     if cyclic:
-        return cyclic_take(chosen, [key], order, n)
-    return _rank(chosen, [key], order, "__rn").where(F.col("__rn") <= n).drop("__rn")
+        return cyclic_take(chosen, [key], order, n, most)
+    return _rank(chosen, [key], order, "__rn").where(F.col("__rn") <= most).where(F.col("__rn") <= n).drop("__rn")
 
 
 def require_quota(df: DataFrame, key: str, quotas: Sequence[tuple[str, int]]) -> DataFrame:
@@ -116,9 +121,9 @@ def round_robin_views(df: DataFrame, entity: str, order: Sequence[Column], max_v
     """Passes over a priority list, each entity at most `max_views` times, until the quota is met; adds pass, view_index
     (the view's place for its entity) and entity_views (how often the entity was used)."""
     w = Window.partitionBy(entity)
-    rows = _rank(df, [entity], order, "__j").withColumn("__k", F.count("*").over(w))
+    rows = _rank(df, [entity], order, "__j").where(F.col("__j") <= max_views).withColumn("__k", F.count("*").over(w))
     last = F.floor((max_views - F.col("__j")) / F.col("__k")).cast("int")
-    views = rows.where(F.col("__j") <= max_views).withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
+    views = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), last)))
     views = views.withColumn("view_index", (F.col("pass") * F.col("__k") + F.col("__j")).cast("bigint"))
     taken = views.orderBy("pass", *order).limit(quota)
     return taken.withColumn("entity_views", F.max("view_index").over(w)).drop("__j", "__k")
@@ -148,12 +153,11 @@ def hard_negative_mix(df: DataFrame, positive: Column, hard: Column, order: Sequ
 
 def reshuffled_cycles(df: DataFrame, keys: Sequence[str], identity: Column, order: Sequence[Column], n: int, salt: str) -> DataFrame:
     """n rows of each group where every round over the group has a hash order of its own; adds `cycle`."""
-    w = Window.partitionBy(*keys)
-    counted = df.withColumn("__m", F.count("*").over(w))
+    counted = join_same(df, df.groupBy(*keys).agg(F.count("*").alias("__m")), keys)
     rounds = F.ceil(F.lit(n) / F.col("__m")).cast("int")
     views = counted.withColumn("cycle", F.explode(F.sequence(F.lit(0), rounds - 1)))
     draw = F.sha1(F.concat_ws("::", F.lit(salt), F.col("cycle"), identity.cast("string")).cast("binary"))
-    return _rank(views, [*keys, "cycle"], [draw, *order], "__rn").where(F.col("cycle") * F.col("__m") + F.col("__rn") <= n).drop("__rn", "__m")
+    return _rank(views, [*keys, "cycle"], [draw, *order], "__rn").where(F.col("__rn") <= n).where(F.col("cycle") * F.col("__m") + F.col("__rn") <= n).drop("__rn", "__m")
 
 
 def priority_sample(df: DataFrame, keys: Sequence[str], ranks: Sequence[tuple[str, Column]], order: Sequence[Column], n: int) -> DataFrame:
@@ -199,7 +203,7 @@ def quotas_with_roles(df: DataFrame, key: str, identity: Sequence[str], quotas:
         start = done.get(name, 0)
         role = F.when((F.col(key) == name) & (F.col("__rn") > start) & (F.col("__rn") <= start + n), label).otherwise(role)
         done[name] = start + n
-    return ranked.withColumn("role", role).where("role is not null").drop("__rn")
+    return ranked.where(F.col("__rn") <= max(done.values(), default=0)).withColumn("role", role).where("role is not null").drop("__rn")
 
 
 def extremes(df: DataFrame, value: str, tie: str, k: int) -> DataFrame:

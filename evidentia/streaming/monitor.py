@@ -49,23 +49,40 @@ def sessions(events: DataFrame, at: str, gap: str, late: str, key: str) -> DataF
 
 
 def upsert_status(updates: DataFrame, table: str, key: str, at: str, status: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keeps the latest status of each key in a table, batch by batch; replaying a batch changes nothing."""
+    """Appends each batch's latest status of its keys to a table (or a folder of Parquet files), of which `current_status` reads the latest of all.
+
+    Nothing is overwritten, so a stop at any moment loses no row, and replaying a batch changes no result."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = [key, at, status]
-        held = spark.read.table(table).select(*columns) if spark.catalog.tableExists(table) else batch.select(*columns).limit(0)
-        new = latest_status(held.unionByName(batch.select(*columns)), key, at, status)
-        new.write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.read.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
+        new = latest_status(batch.select(key, at, status), key, at, status).write.mode("append")
+        new.parquet(table) if "/" in table else new.saveAsTable(table)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def drained(df: DataFrame, name: str, checkpoint: str, mode: str = "complete", act: Callable[[StreamingQuery], None] | None = None) -> DataFrame:
-    """Runs a stream over all that is there now and returns the result as an in-memory table."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def current_status(spark: SparkSession, table: str, key: str, at: str, status: str) -> DataFrame:
+    """The latest status of each key."""
+    held = spark.read.parquet(table) if "/" in table else spark.read.table(table)
+    return latest_status(held.select(key, at, status), key, at, status)
+
+
+def drained(df: DataFrame, name: str, checkpoint: str, mode: str = "complete", act: Callable[[StreamingQuery], None] | None = None, cool_down: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and reads the result from files beside its checkpoint.
+
+    In complete mode the last batch's files are the result, else those of all batches; a batch that is written again
+    replaces its own. With `cool_down` (such as 2 seconds) the stream goes on, a batch at most so often, until `act`
+    stops it."""
+    folder = f"{checkpoint}-result"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    started = df.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
+    query = started.trigger(**({"processingTime": cool_down} if cool_down else {"availableNow": True})).start()
     if act:
         act(query)
-    return df.sparkSession.table(name)
+    query.awaitTermination()
+    result = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(folder)
+    if mode == "complete":
+        result = result.join(F.broadcast(result.agg(F.max("batch").alias("__last"))), F.col("batch") == F.col("__last")).drop("__last")
+    return result.drop("batch")
