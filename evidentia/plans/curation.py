@@ -85,6 +85,17 @@ def parse_plan(items: Sequence[str], default: tuple[int, int] = (0, 0)) -> dict[
     return out
 
 
+def parse_shares(items: Sequence[str]) -> dict[str, float]:
+    """CLASS:NUMBER arguments, such as shares or thresholds."""
+    out = {}
+    for item in items:
+        name, sep, number = item.partition(":")
+        if not name or not sep:
+            raise ValueError(f"not CLASS:NUMBER: {item}")
+        out[name] = float(number)
+    return out
+
+
 def selected(df: DataFrame, column: str, choice: str, order: Sequence[Column] = (), limit: int | None = None) -> DataFrame:
     """Rows by a list argument, `all` or integers with commas, and at most `limit` of them in the order given."""
     out = df if choice == "all" else df.where(F.col(column).isin(*[int(x) for x in choice.split(",") if x.strip()]))

@@ -8,13 +8,14 @@ fixed values below.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import columns as C
+from evidentia.functions.extract import first_key
 from evidentia.operators.reshape import complete
 from evidentia.operators.rules import Rule, apply_rules, decision_list
 from evidentia.sources.readers import point
@@ -60,7 +61,10 @@ def _number(doc: Column, paths: Sequence[str]) -> Column:
 
 def document_lesions(docs: DataFrame) -> DataFrame:
     """A row per record and measured lesion with count, area and counts by quadrant, from documents (record_id, grade, doc)."""
-    blocks = F.array(*[F.struct(F.lit(k).alias("lesion"), F.coalesce(*[F.try_variant_get("doc", p, "variant") for p in paths]).alias("block")) for k, paths in BLOCKS.items()])
+    known = {k: F.coalesce(*[F.when(F.schema_of_variant(b).startswith("OBJECT"), b) for p in paths for b in (F.try_variant_get("doc", p, "variant"),)]) for k, paths in BLOCKS.items()}
+    # only where no known path holds the block, the whole document is searched for a key of the lesion's name
+    searched = {k: F.try_parse_json(first_key(k, k.lower(), objects=True)(F.when(known[k].isNull(), F.to_json("doc")))) for k in BLOCKS}
+    blocks = F.array(*[F.struct(F.lit(k).alias("lesion"), F.coalesce(known[k], searched[k]).alias("block")) for k in BLOCKS])
     long = docs.select("record_id", "grade", F.explode(blocks).alias("b")).select("record_id", "grade", "b.lesion", "b.block")
     block = F.col("block")
     quadrant = {q: F.coalesce(_number(block, [f"$.quadrant_distribution.{name}", f"$.quadrants.{name}"]), F.lit(0.0)).cast("int") for q, name in PLACES.items()}
@@ -127,6 +131,44 @@ def grade_rules(df: DataFrame) -> DataFrame:
     return flagged.withColumns(out)
 
 
+# Fixed values of the second rule set: names of sources and flags as its records carry them.
+FORCED = {0: "grade0_all_negative_forced", 1: "grade1_ma_only_forced"}
+
+
+def consistency_rules(df: DataFrame, *, least_area: Mapping[str, float], se_threshold: Mapping[int, float], he_area_max: float, prefix: str = "measured") -> DataFrame:
+    """The second grade-rule set, from rows (record_id, grade, lesion of MEASURED, count, area, valid).
+
+    Adds MA and NV by grade and laser_spot as missing; adds present, confidence, band, source and flags. Grade 0 and 1
+    override as FORCED says; from grade 2 on a weak SE (below its grade's threshold) and at grade 2 an HE larger than
+    `he_area_max` are withdrawn."""
+    full = complete(df, ["record_id", "grade"], "lesion", [*MEASURED, "MA", "NV", "laser_spot"], {})
+    grade, lesion = F.col("grade"), F.col("lesion")
+    count, area, valid = F.coalesce("count", F.lit(0)), F.coalesce("area", F.lit(0.0)), F.coalesce("valid", F.lit(False))
+    measured = lesion.isin(*MEASURED)
+    floor = F.element_at(F.create_map(*[F.lit(x) for k, v in least_area.items() for x in (k, float(v))]), lesion)
+    confidence = F.when(measured, C.log_confidence(count, area, floor))
+    seen = F.when(measured, valid & (count > 0) & (area > 0)).when(lesion == "MA", grade >= 1).when(lesion == "NV", grade == 4).otherwise(False)
+    source = F.when(measured, F.concat(F.lit(prefix), F.when(valid, "_valid").otherwise("_filtered"))).when(lesion == "laser_spot", f"missing_in_{prefix}").otherwise("grade_template")
+    weak = F.lit(False)
+    for g, threshold in se_threshold.items():
+        weak = weak | ((grade == g) & (F.coalesce(confidence, F.lit(0.0)) < threshold))
+    weak = seen & (lesion == "SE") & weak
+    large = seen & (lesion == "HE") & (grade == 2) & (area > he_area_max)
+    off = (grade == 0) | (grade == 1) & lesion.isin(*MEASURED, "NV")
+    out = {
+        "confidence": confidence,
+        "band": F.when(measured, C.burden_band(area, count)),
+        "present": seen & ~F.coalesce(off, F.lit(False)) & ~weak & ~large,
+        "source": F.when(off, "grade_rule_override").when(weak, "low_confidence_filtered").when(large, "grade2_he_area_anomaly_suppressed").otherwise(source),
+        "flags": C.flag_set({
+            FORCED[0]: (grade == 0) & (lesion == "MA"), FORCED[1]: (grade == 1) & (lesion == "MA"),
+            **{f"{x.lower()}_suppressed_grade1": (grade == 1) & (lesion == x) & seen for x in MEASURED},
+            "se_low_confidence_suppressed": weak, "he_area_anomaly_suppressed": large,
+        }),
+    }
+    return full.withColumns(out)
+
+
 def _first(cases: list[tuple[Column, Column]], rest: Column) -> Column:
     out = rest
     for when, value in reversed(cases):

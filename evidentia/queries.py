@@ -634,8 +634,8 @@ FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'out: ' || props || ' end' ELSE
 def json_extraction(spark, sf_dir):
     t = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("out: "), F.col("props"), F.lit(" end"))).otherwise(F.col("props"))
     rows = _t(spark, sf_dir, "events").select("event_id", "props", t.alias("t"))
-    doc = F.try_parse_json(X.balanced_object(F.col("t")))
-    return rows.select("event_id", X.is_strict_object("t").alias("strict"), (X.greedy_object(F.col("t")) == F.col("props")).alias("greedy_same"), F.try_variant_get(doc, "$.k", "bigint").alias("k"))
+    doc = X.first_object(F.col("t"))
+    return rows.select("event_id", X.is_strict_object(F.col("t")).alias("strict"), (X.greedy_object(F.col("t")) == F.col("props")).alias("greedy_same"), F.try_variant_get(doc, "$.k", "bigint").alias("k"))
 
 
 @_query("""
