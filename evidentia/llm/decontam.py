@@ -39,8 +39,8 @@ HASHES = 32
 SMALLEST = 8
 #: Items with fewer distinct shingles are looked up by the shingles themselves.
 FEW = SMALLEST // 2
-#: Most bits of a bitmap of keys (32 MB), and bits for each key where these are enough.
-BITMAP_BITS, BITS_PER_KEY = 1 << 28, 16
+#: Most bits of a bitmap of keys (32 MB), and bits for each key where these are enough; a document asks for thousands.
+BITMAP_BITS, BITS_PER_KEY = 1 << 28, 256
 #: Rows of 24 bytes or so that are broadcast at most.
 BROADCAST_ROWS = 500_000
 SALTS = 16
@@ -66,7 +66,8 @@ def _offsets(upper: int) -> np.ndarray:
 
 
 def item_keys(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_hash, n, gram, upper, kind, key) of each item: its distinct shingles, and its minima."""
+    """(item_id, item_hash, n, gram, upper, kind, key, check) of each item: its distinct shingles, and its minima; check
+    is the key's scramble, for more places in a bitmap."""
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -80,28 +81,29 @@ def item_keys(benchmark: DataFrame) -> DataFrame:
                     length = int(words[i + 1] - words[i])
                     direct = length < WORDS or len(own) < FEW
                     upper = 0 if direct else size_class(len(own))
-                    minima = [] if direct else (own[None, :] * _FACTORS[:, None]).min(axis=1) + _offsets(upper)
+                    minima = own[:0] if direct else (own[None, :] * _FACTORS[:, None]).min(axis=1) + _offsets(upper)
                     for kind, keys in ((DIRECT if direct else SHINGLE, own), (MINIMUM, minima)):
                         if len(keys):
-                            rows.append((frame["item_id"].iloc[a + i], frame["item_hash"].iloc[a + i], len(own), min(length, WORDS), upper, kind, np.asarray(keys).astype(np.int64)))
+                            rows.append((frame["item_id"].iloc[a + i], frame["item_hash"].iloc[a + i], len(own), min(length, WORDS), upper, kind, keys.astype(np.int64), mix(keys).astype(np.int64)))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["item_id", "item_hash", "n", "gram", "upper", "kind", "keys"])
+                    yield pd.DataFrame(rows, columns=["item_id", "item_hash", "n", "gram", "upper", "kind", "key", "check"])
 
     items = in_small_batches(benchmark).select("item_id", text_or_empty().alias("text")).distinct()
     kind = benchmark.schema["item_id"].dataType.simpleString()
     # ids go through Python as text, so that those that are null and those of any type come back as they were
     items = items.select(F.col("item_id").cast("string"), F.xxhash64("text").alias("item_hash"), "text")
-    found = items.mapInPandas(measure, "item_id string, item_hash long, n int, gram int, upper int, kind int, keys array<long>")
-    return found.select(F.col("item_id").cast(kind), "item_hash", "n", "gram", "upper", "kind", F.explode("keys").alias("key"))
+    found = items.mapInPandas(measure, "item_id string, item_hash long, n int, gram int, upper int, kind int, key array<long>, check array<long>")
+    return found.select(F.col("item_id").cast(kind), "item_hash", "n", "gram", "upper", "kind", F.inline(F.arrays_zip("key", "check")))
 
 
 def bitmap(keys: DataFrame, count: int) -> np.ndarray:
-    """Bits of the rows' keys, put together in chunks of 4 KB; its size is bounded whatever their number."""
+    """A Bloom filter of the rows' keys, three bits each, put together in chunks of 4 KB; its size is bounded whatever
+    their number."""
     bits = _CHUNK
     while bits < min(BITS_PER_KEY * count, BITMAP_BITS):
         bits *= 2
-    place = F.col("key").bitwiseAND(F.lit(bits - 1))
-    chunks = keys.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("c")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(_CHUNK - 1))).alias("b"))
+    places = F.explode(F.array(*[x.bitwiseAND(F.lit(bits - 1)) for x in (F.col("key"), F.col("check"), F.shiftright("check", 32))]))
+    chunks = keys.select(places.alias("p")).groupBy(F.shiftright("p", 15).alias("c")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(_CHUNK - 1))).alias("b"))
     out = np.zeros(bits // 8, np.uint8)
     for c, b in chunks.toLocalIterator():
         out[c * _CHUNK // 8 : (c + 1) * _CHUNK // 8] = np.frombuffer(b, np.uint8)
@@ -109,9 +111,13 @@ def bitmap(keys: DataFrame, count: int) -> np.ndarray:
 
 
 def may_hold(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key is among a bitmap's, or falls on a bit of one."""
-    place = keys & np.uint64(8 * len(held) - 1)
-    return (held[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+    """The places of the keys that are among a filter's, or seem to be."""
+    bit = lambda x: (held[(x & mask) >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+    mask = np.uint64(8 * len(held) - 1)
+    at = np.flatnonzero(bit(keys))
+    for shift in (0, 32):
+        at = at[bit(mix(keys[at]) >> np.uint64(shift))]
+    return at
 
 
 @dataclass
@@ -136,10 +142,10 @@ class Filter:
             minima.setdefault(int(text), []).append(key)
         wanted = set(minima)
         for grams, at in found:
-            wanted.update(texts_of(np.flatnonzero(may_hold(self.direct, grams)), at).tolist())
+            wanted.update(texts_of(may_hold(self.direct, grams), at).tolist())
         own: dict[int, list] = {}
         for grams, at in found if wanted else ():
-            places = np.flatnonzero(may_hold(self.shingles, grams) | may_hold(self.direct, grams))
+            places = np.union1d(may_hold(self.shingles, grams), may_hold(self.direct, grams))
             for place, text in zip(places, texts_of(places, at), strict=True):
                 if text in wanted:
                     own.setdefault(int(text), []).append(grams[place])
@@ -167,7 +173,7 @@ class Filter:
                     window = np.minimum.reduceat(least, first)
                     window[pairs] = np.minimum(window[pairs], window[pairs + 1])
                     window += offsets[k]
-                    hit = np.flatnonzero(may_hold(self.minima, window))
+                    hit = may_hold(self.minima, window)
                     keys.append(window[hit])
                     owners.append(text[hit])
         return np.concatenate(keys), np.concatenate(owners)
