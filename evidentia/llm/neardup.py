@@ -161,12 +161,9 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
     buckets = buckets.select("bucket", "n", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"))
     members = cut(members.join(buckets, "bucket").where("node <> centre"))
 
-    # a centre's set goes to as many tasks as its largest bucket with the pair asks for
-    parts = F.ceil(F.col("n") / PART).cast("int")
     alike = F.least("size", "centre_size") >= similarity * F.greatest("size", "centre_size")
-    pairs = members.where(alike).groupBy("centre", "node").agg(F.max("n").alias("n")).select("centre", "node", parts.alias("parts"))
-    pairs = cut(pairs.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")))
-    centres = pairs.select("centre", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = members.where(alike).groupBy("centre", "node").agg(F.max("n").alias("n"))
+    pairs = cut(pairs.select("centre", "node", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
     wanted = members.select("node").union(members.select("centre")).distinct()
     source = nodes.join(wanted, "node").select("node", "of.doc_id", "of.text_hash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text"))
@@ -174,8 +171,13 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
     sets = cut(shingle_sets(texts, words).dropDuplicates(["node"]))
 
     common = F.size(F.array_intersect("x.shingles", "y.shingles"))
-    centres = centres.join(sets.withColumnRenamed("node", "centre"), "centre").alias("x")
-    tested = pairs.join(centres, ["centre", "parts", "part"]).join(sets.alias("y"), "node")
+    of_centres = sets.withColumnRenamed("node", "centre")
+    few = pairs.where("parts = 1").join(of_centres, "centre").select("centre", "node", "shingles")
+    # the set of a centre with very many pairs goes to as many tasks as they ask for
+    many = pairs.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    spread = many.select("centre", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.join(spread.join(of_centres, "centre"), ["centre", "parts", "part"]).select("centre", "node", "shingles")
+    tested = few.union(many).alias("x").join(sets.alias("y"), "node")
     links = tested.where(common >= similarity * (F.size("x.shingles") + F.size("y.shingles") - common) - 1e-6).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = cut(links)
     classes = components(links)
