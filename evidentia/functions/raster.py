@@ -7,7 +7,8 @@ worked on by itself in an Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,10 @@ MASK = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("wi
 ISOLATED, MULTIFOCAL, DIFFUSE = 1, 5, 12
 
 
-def components(mask: np.ndarray) -> list[np.ndarray]:
-    """Runs (row, first, end) of each 8-connected component, joined run by run."""
+def components(mask: np.ndarray, corners: bool = True) -> list[np.ndarray]:
+    """Runs (row, first, end) of each component, joined run by run; pixels that meet at a corner are joined too (8
+    neighbours) or not (4)."""
+    reach = 1 if corners else 0
     padded = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
     padded[:, 1:-1] = mask > 0
     change = np.diff(padded, axis=1)
@@ -39,7 +42,7 @@ def components(mask: np.ndarray) -> list[np.ndarray]:
     for r in range(1, mask.shape[0]):
         i, j = at[r - 1], at[r]
         while i < at[r] and j < at[r + 1]:
-            if first[i] <= end[j] and first[j] <= end[i]:
+            if first[i] < end[j] + reach and first[j] < end[i] + reach:
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
             if end[i] < end[j]:
@@ -101,6 +104,48 @@ def component_props(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         yield pd.Series(out, dtype=object)
 
 
+def _ellipse(k: int) -> list[int]:
+    """Half the width of each row of the ellipse of k rows."""
+    r = k // 2
+    return [round(math.sqrt(r * r - y * y)) for y in range(-r, r + 1)]
+
+
+def _spread(mask: np.ndarray, k: int) -> np.ndarray:
+    """The mask and all that the ellipse covers around its pixels, within the image."""
+    h, w = mask.shape
+    out, before = np.zeros((h, w), bool), np.zeros((h, w + 1), np.int32)
+    np.cumsum(mask, axis=1, out=before[:, 1:])
+    across = np.arange(w)
+    for dy, half in zip(range(-(k // 2), k // 2 + 1), _ellipse(k), strict=True):
+        rows = (before[:, np.minimum(across + half + 1, w)] - before[:, np.maximum(across - half, 0)]) > 0
+        a, b = max(dy, 0), h + min(dy, 0)
+        if a < b:
+            out[a:b] |= rows[a - dy : b - dy]
+    return out
+
+
+def closed(mask: np.ndarray, k: int) -> np.ndarray:
+    """Closing by an ellipse of k rows (odd): gaps that it can't enter are filled. What lies outside the image neither
+    adds to the mask nor takes from it."""
+    return ~_spread(~_spread(mask > 0, k), k) if k > 1 else mask > 0
+
+
+def enclosed(mask: np.ndarray) -> int:
+    """Pixels beside the mask that no path over sides joins to the first pixel of the image."""
+    return sum(int((c[:, 2] - c[:, 1]).sum()) for c in components(~(mask > 0), corners=False) if tuple(c[0, :2]) != (0, 0))
+
+
+def hollow_area(kernels: Sequence[int]):
+    """A function of a mask: the largest area that it encloses after closing by any of the kernels."""
+
+    @F.pandas_udf("bigint")
+    def hollow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if m is None else max((enclosed(closed(m, k)) for k in kernels), default=0) if m.any() else 0 for m in _arrays(batch)], dtype="Int64")
+
+    return hollow
+
+
 def aligned_mask(size: int):
     """A function of (mask, crop box of four numbers) that crops and scales to `size` by the nearest pixel."""
 

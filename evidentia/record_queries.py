@@ -19,7 +19,7 @@ from evidentia.operators import reshape as R
 from evidentia.operators import rules as L
 from evidentia.operators import sampling as S
 from evidentia.operators import sets as U
-from evidentia.plans import curation, mixes
+from evidentia.plans import curation, masks, mixes
 from evidentia.plans import validated as V
 from evidentia.queries import _query, _t
 from evidentia.sources import readers, sinks
@@ -601,3 +601,54 @@ def mask_components(spark, sf_dir):
     scaled = raster.aligned_mask(4)(F.col("m"), F.array(*[F.lit(x) for x in (0, 0, 8, 8)]))
     out = rows.select("p_partkey", raster.mask_facts("m").alias("f"), F.size(raster.component_props("m")).alias("props"), raster.mask_facts(scaled)["mask_area"].alias("scaled_area"))
     return out.select("p_partkey", "f.*", "props", "scaled_area")
+
+
+def _blocks(name: str, factor: int) -> str:
+    """A mask of nine places, 40 apart, for a binary digit each: a square of 10, or its border where place and key are even together."""
+    return f"list_transform(list_filter(range(9), lambda b: (s_suppkey * {factor} % 512 >> b) & 1 = 1), lambda b: {{'area': CASE WHEN (b + s_suppkey) % 2 = 0 THEN 36 ELSE 100 END, 'x': 40 * (b % 3) + 20, 'y': 40 * (b // 3) + 20}}) AS {name}"
+
+
+_FACTORS = {"MA": 37, "HE": 211, "EX": 83, "SE": 149, "NV": 307}
+_DISTANCE = "list_min(list_transform({0}, lambda p: round(sqrt((p.x - fx) ** 2 + (p.y - fy) ** 2) / 90, 1)))"
+_COUNTS = {q: f"len(list_filter({{0}}, lambda p: (CASE WHEN fx > dx THEN p.x > (dx + fx) / 2 ELSE p.x < (dx + fx) / 2 END) = {q[0] == 'T'} AND (p.y < (dy + fy) / 2) = {q[1] == 'S'}))" for q in masks.QUADRANTS}
+_SIZE = "'约' || printf('%.2f', a / (pi() * 2025)) || 'DD²' || CASE WHEN a / (pi() * 2025) >= 0.083 THEN '（较大）' ELSE '' END"
+
+
+@_query(f"""WITH b AS (SELECT s_suppkey, {", ".join(_blocks(n, f) for n, f in _FACTORS.items())}, s_suppkey % 120 AS fx, 40 + s_suppkey % 7 AS fy, s_suppkey * 7 % 120 AS dx, 30 AS dy, s_suppkey % 4 <> 0 AS seen FROM supplier),
+n AS (SELECT *, {", ".join(f"{sql.format('MA')} AS ma_{q}, {sql.format('HE')} AS he_{q}" for q, sql in _COUNTS.items())}, {", ".join(f"{_DISTANCE.format(x)} AS {x}_near" for x in ("MA", "EX", "SE"))},
+  64 * len(list_filter(EX, lambda p: p.area = 36)) AS hollow, list_sum(list_transform(EX, lambda p: p.area)) AS ex_area, len(list_filter(NV, lambda p: sqrt((p.x - dx) ** 2 + (p.y - dy) ** 2) <= 40)) AS near, len(NV) AS vessels,
+  list_transform(list_reverse_sort(list_transform(SE, lambda p: p.area))[1:3], lambda a: {_SIZE}) AS sizes, list_transform(MA, lambda p: floor(2 * sqrt(p.area / pi()))::INTEGER) AS across FROM b),
+m AS (SELECT *, CASE greatest(ma_TS, ma_TI, ma_NS, ma_NI) WHEN ma_TS THEN 'TS' WHEN ma_TI THEN 'TI' WHEN ma_NS THEN 'NS' ELSE 'NI' END AS main, CASE WHEN hollow > floor(ex_area * 0.2) THEN '环形（circinate）分布' WHEN len(EX) >= 10 THEN '多灶散在分布' ELSE '散在簇状' END AS pattern,
+  CASE WHEN MA_near <= 1 THEN '黄斑区（≤1DD）' ELSE '后极部（1-3DD）' END AS band FROM n)
+SELECT s_suppkey, len(MA) AS dots, CASE WHEN len(MA) > 0 THEN main END AS main_quadrant, MA_near AS dot_distance, CASE WHEN len(HE) > 0 THEN 10 END AS width, CASE WHEN len(EX) > 0 THEN pattern END AS pattern, CASE WHEN len(EX) > 0 THEN hollow::BIGINT END AS hollow,
+  CASE WHEN len(EX) > 0 THEN round(hollow / (ex_area + 1e-6), 3) END AS ratio, EX_near * 90 < 35 AS risk, CASE WHEN seen AND vessels > 0 THEN near::INTEGER END AS near_disc,
+  '【MA】' || CASE WHEN len(MA) = 0 THEN '{masks.NO_DOTS}' ELSE '后极部可见约' || len(MA) || '处红色至暗红色规则圆点，边界清晰锐利，直径约' || list_min(across) || '-' || list_max(across) || 'px。主要分布于' || main || '象限，最近病灶距黄斑中心约' || MA_near || 'DD（' || band || '）。边界规则，区别于点状出血的不规则边缘。' END
+  || chr(10) || '【HE】' || CASE WHEN len(HE) = 0 THEN '{masks.NO_BLEEDING}' ELSE '可见' || len(HE) || '处暗红色至黑红色类圆点状出血，最大病灶横径约10px，分布于' || concat_ws('、', {", ".join(f"CASE WHEN he_{q} > 0 THEN '{q}' END" for q in masks.QUADRANTS)}) || '象限。面积明显大于微动脉瘤。' END
+  || chr(10) || '【EX】' || CASE WHEN len(EX) = 0 THEN '{masks.NO_EXUDATE}' ELSE '可见黄白色蜡样沉积物，边界清晰锐利，呈' || pattern || '，总掩码面积约' || ex_area || 'px²。最近病灶距黄斑中心约' || EX_near || 'DD。' || CASE WHEN EX_near * 90 < 35 THEN '【注意：最近病灶距黄斑中心仅' || EX_near || 'DD（<500μm），达CSME诊断阈值，中心视力受累风险高。】' ELSE '' END || '边界明确，区别于棉绒斑的边缘模糊；不遮挡其下血管。' END
+  || chr(10) || '【SE】' || CASE WHEN len(SE) = 0 THEN '{masks.NO_SPOTS}' ELSE '可见' || len(SE) || '处灰白色棉絮状斑块，边界模糊不清，大小' || CASE WHEN len(SE) > 1 THEN '分别为' ELSE '' END || array_to_string(sizes, '、') || '，位于后极部，距黄斑中心约' || printf('%.1f', SE_near) || 'DD。边界欠清，区别于硬性渗出的清晰边界；可能遮挡局部血管走行。' END
+  || chr(10) || '【NV】' || CASE WHEN NOT seen THEN '{masks.NOT_LOOKED_FOR}' WHEN vessels = 0 THEN '{masks.NO_VESSELS}' ELSE '视网膜' || CASE WHEN near > 0 THEN '及视盘' ELSE '' END || '表面可见细小新生血管网，走行迂曲紊乱，形态不规则，共' || vessels || '处（' || concat_ws('、', CASE WHEN near > 0 THEN 'NVD（视盘旁' || near || '处）' END, CASE WHEN vessels > near THEN 'NVE（视网膜表面' || (vessels - near) || '处）' END) || '）。【提示增殖期DR，建议紧急干预。】' END AS analysis
+FROM m""")
+def mask_rules(spark, sf_dir):
+    """All five lesions' masks of each supplier, drawn from its key."""
+    k = F.col("s_suppkey")
+
+    def mask(factor: int):
+        cell = lambda b, full, border: F.when(F.shiftright(k * factor % 512, b).bitwiseAND(F.lit(1)) == 1, F.when((k + b) % 2 == 0, border).otherwise(full)).otherwise("00" * 40)
+        side = lambda middle: "00" * 15 + middle + "00" * 15
+        edge, inside = side("ff" * 10), side("ff" + "00" * 8 + "ff")
+        lines = []
+        for row in range(3):
+            places = range(3 * row, 3 * row + 3)
+            outer, inner = F.concat(*[cell(b, edge, edge) for b in places]), F.concat(*[cell(b, edge, inside) for b in places])
+            lines += [F.lit("00" * 120 * 15), outer, F.repeat(inner, 8), outer, F.lit("00" * 120 * 15)]
+        return F.struct(F.lit(120).alias("height"), F.lit(120).alias("width"), F.unhex(F.concat(*lines)).alias("data"))
+
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    eyes = _t(spark, sf_dir, "supplier").select(
+        "s_suppkey", point(k % 120, 40 + k % 7).alias("fovea"), point(k * 7 % 120, F.lit(30)).alias("disc"), F.lit(20).alias("radius"), (k % 4 != 0).alias("has_nv"), *[mask(f).alias(f"mask_{n}") for n, f in _FACTORS.items()]
+    )
+    found = masks.mask_findings(eyes, {n: f"mask_{n}" for n in _FACTORS})
+    return found.select(
+        "s_suppkey", F.coalesce("MA.count_estimate", F.lit(0)).cast("bigint").alias("dots"), "MA.main_quadrant", F.col("MA.min_dist_to_fovea_dd").alias("dot_distance"), F.col("HE.max_width_px").alias("width"), "EX.pattern",
+        F.col("EX.hollow_area_px2").alias("hollow"), F.col("EX.hollow_ratio").alias("ratio"), F.col("EX.csme_risk").alias("risk"), F.col("NV.nvd_count").alias("near_disc"), "analysis",
+    )
