@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontam, fingerprint, licences, neardup, packing, pages, pii, quality, sharding, sst
+from evidentia.llm import clustering, decontam, fingerprint, licences, linededup, neardup, packing, pages, pii, prefixes, quality, sharding, sst
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,24 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op11_heavy_path_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node of the trie of the rebuilt conversations' prefixes: its members, children and subtree sums."""
+    rebuilt = prefixes.rebuilt(prefixes.ranked(_table(spark, sf_dir, "conversations")))
+    return prefixes.digest(prefixes.trie(rebuilt))
+
+
+def op12_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines, how many were dropped, and the digest of the text that stays."""
+    kept = linededup.without_repeated_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per kept vector: its cluster, distance, both inertias and its centroid's digest."""
+    found = clustering.clustered(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the corpus pipeline."""
     import corpus_pipeline
@@ -78,8 +96,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lstm_crf_pii, op2_probminhash_dedup, op3_licence_sentences, op4_ffd_packing, op5_minhash_containment, op6_factorisation_machine, op7_sst_shards, op8_label_propagation, op9_locally_consistent, op10_page_differencing, pipeline)}
+    found = (
+        op1_lstm_crf_pii, op2_probminhash_dedup, op3_licence_sentences, op4_ffd_packing, op5_minhash_containment,
+        op6_factorisation_machine, op7_sst_shards, op8_label_propagation, op9_locally_consistent, op10_page_differencing,
+        op11_heavy_path_trie, op12_levelled_line_runs, op13_weighted_lloyd, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licence_sentences": licences.oracle_sql(), "op5_minhash_containment": decontam.ORACLE_SQL}
+    return {"op3_licence_sentences": licences.oracle_sql(), "op5_minhash_containment": decontam.ORACLE_SQL, "op11_heavy_path_trie": prefixes.ORACLE_SQL, "op12_levelled_line_runs": linededup.ORACLE_SQL, "op13_weighted_lloyd": clustering.oracle_sql()}
