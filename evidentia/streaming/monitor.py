@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from evidentia.operators.progress import latest_status, parsed_log
+from evidentia.sources.tail import tailed_lines
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -25,10 +26,9 @@ def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, files_p
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
-def stream_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Parsed progress of log files as they arrive; the engine keeps what it has read in its checkpoint."""
-    lines = spark.readStream.text(folder).select(F.explode(F.split("value", "\r")).alias("value"))
-    return parsed_log(lines).where("step is not null or total is not null or loss is not null")
+def stream_log(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+    """Parsed progress of growing log files: each line once, as soon as it has ended; see `tailed_lines`."""
+    return parsed_log(tailed_lines(spark, folder, suffix).select("value")).where("step is not null or total is not null or loss is not null")
 
 
 def counts_by_key(events: DataFrame, key: str) -> DataFrame:
