@@ -36,16 +36,23 @@ def counts_by_key(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def _watermarked(events: DataFrame, at: str, late: str) -> tuple[DataFrame, str]:
+    """Events with a watermark, which needs times with a zone (the session's), and the kind of time that they have."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late), dict(events.dtypes)[at]
+
+
 def tumbling(events: DataFrame, at: str, width: str, late: str, keys: list[str]) -> DataFrame:
     """Counts by event-time windows with a watermark for late rows."""
-    windowed = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), *keys).agg(F.count("*").alias("n"))
-    return windowed.select(F.col("w.start").alias("window_start"), *keys, "n")
+    marked, kind = _watermarked(events, at, late)
+    windowed = marked.groupBy(F.window(at, width).alias("w"), *keys).agg(F.count("*").alias("n"))
+    return windowed.select(F.col("w.start").cast(kind).alias("window_start"), *keys, "n")
 
 
 def sessions(events: DataFrame, at: str, gap: str, late: str, key: str) -> DataFrame:
     """Sessions of a key that a gap ends."""
-    found = events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n"))
-    return found.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+    marked, kind = _watermarked(events, at, late)
+    found = marked.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n"))
+    return found.select(key, F.col("w.start").cast(kind).alias("session_start"), F.col("w.end").cast(kind).alias("session_end"), "n")
 
 
 def upsert_status(updates: DataFrame, table: str, key: str, at: str, status: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -29,7 +29,7 @@ def status_changes(updates: DataFrame, key: str, at: str, status: str, *, silenc
     """
     kind = dict(updates.dtypes)[key]
     rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.coalesce(status, F.lit("")))
-    rows = updates.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late)
+    rows = updates.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     rows = rows.select(key, at, F.unix_micros(F.col(at).cast("timestamp")).alias("micros"), F.coalesce(status, F.lit("")).alias("status"), rank.alias("rank"), (F.col(error) if error else F.lit(None).cast("string")).alias("error"))
     quiet, gone = silence * 1_000_000, forget * 1_000_000
 
