@@ -93,22 +93,23 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 
 def _paths(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, path, level) of all nodes: a path is named by its top, and level counts the light edges above it."""
+    """(node, path, level, above, parent_conv_id) of all nodes: a path is named by its top, level counts the light edges
+    above it, and above is the parent's path. The parent is the row before in any conversation through the node."""
     marks = nodes.select("node", F.col("conv_id").alias("owner"), "light")
     marked = rows.select("conv_id", "depth", "node").join(marks, "node")
     walked = running(
-        marked, "conv_id", ["depth"], ["node", "light"], zero=(None, 0), step=lambda v, r: (r[0], v[1] + 1) if r[1] else v,
-        join=lambda a, b: (b[0] or a[0], a[1] + b[1]), emit=lambda _, v: v, out={"path": "binary", "level": "int"},
+        marked, "conv_id", ["depth"], ["node", "light", "owner"], zero=(None, 0, None),
+        step=lambda v, r: (r[0], v[1] + 1, r[2]) if r[1] else (v[0], v[1], r[2]),
+        join=lambda a, b: (b[0] or a[0], a[1] + b[1], a[2] if b[2] is None else b[2]),
+        emit=lambda a, b: (b[0], b[1], a[0], a[2]), out={"path": "binary", "level": "int", "above": "binary", "parent_conv_id": "long"},
     )
-    return walked.where("conv_id = owner").select("node", "path", "level")
+    return walked.where("conv_id = owner").select("node", "path", "level", "above", "parent_conv_id")
 
 
 def _totals(nodes: DataFrame) -> DataFrame:
     """(path, parent, saved, leaves): what each path and all that hangs on it have, and the node that it hangs on."""
     sums = nodes.groupBy("path", "level").agg(F.sum("saved").alias("saved"), F.sum("leaves").alias("leaves"))
-    tops = nodes.where("node = path").select("path", "parent")
-    above = nodes.select(F.col("node").alias("parent"), F.col("path").alias("above"))
-    paths = cut(sums.join(tops.join(above, "parent", "left"), "path"))
+    paths = cut(sums.join(nodes.where("node = path").select("path", "parent", "above"), "path"))
     deepest = paths.agg(F.max("level")).first()[0] or 0
     done = below = None
     for level in range(deepest, 0, -1):
@@ -124,7 +125,8 @@ def _totals(nodes: DataFrame) -> DataFrame:
 
 
 def trie(turns: DataFrame) -> DataFrame:
-    """A row per node: node, conv_id, depth, parent, n_convs, words, n_children, n_leaves and saved_tokens."""
+    """A row per node: node, conv_id, depth, parent, parent_conv_id, n_convs, words, n_children, n_leaves, saved_tokens
+    and ends_sha256."""
     rows = cut(prefixes(turns))
     nodes = rows.groupBy("node").agg(F.min("conv_id").alias("conv_id"), F.max("depth").alias("depth"), F.max("parent").alias("parent"), F.count("*").alias("n_convs"), F.max("words").alias("words"))
     nodes = cut(nodes)
@@ -143,7 +145,7 @@ def trie(turns: DataFrame) -> DataFrame:
         whole.select("node", "path", "depth", "saved", "leaves"), "path", [F.col("depth").desc()], ["saved", "leaves"], zero=(0, 0), step=lambda v, r: (v[0] + r[0], v[1] + r[1]),
         join=lambda a, b: (a[0] + b[0], a[1] + b[1]), emit=lambda _, v: v, out={"saved_tokens": "long", "n_leaves": "long"},
     )
-    whole = nodes.select("node", "conv_id", "depth", "parent", "n_convs", "words", "n_children").join(whole.select("node", "saved_tokens", "n_leaves"), "node")
+    whole = nodes.select("node", "conv_id", "depth", "parent", "parent_conv_id", "n_convs", "words", "n_children").join(whole.select("node", "saved_tokens", "n_leaves"), "node")
     ends = rows.groupBy("conv_id").agg(F.max_by("node", "depth").alias("node"))
     return whole.join(_end_digests(ends), "node", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(_EMPTY)))
 
@@ -186,9 +188,8 @@ def _end_digests(ends: DataFrame) -> DataFrame:
 
 
 def digest(nodes: DataFrame) -> DataFrame:
-    """The nodes without names and words, with parent_conv_id."""
-    parents = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    return nodes.join(parents, "parent", "left").select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    """The nodes without names and words."""
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
 #: The same in SQL: prefixes are lists of whole turns, and subtree sums join each node to all of its prefixes.
