@@ -7,11 +7,16 @@ a longest common subsequence, and a line that both share is taken for a part of
 Differencing alone deletes an article that a neighbour copies, and leaves menus that differ from page to page. The
 page's marks therefore come first where there are any:
 - lines in menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles (by element, role,
-  class or id) are deleted whether they are shared or not; inside an article, ids and classes are read on containers
-  alone, so that no heading or paragraph goes by its name, but for classes that name an advert;
+  or a class or id that names nothing else) are deleted whether they are shared or not; inside an article, ids and
+  classes are read on containers alone, so that no heading or paragraph goes by its name, but for classes that name an
+  advert;
+- a class or id that also has other words (login-flow, menu-prices), or an id of words that are topics as well (search,
+  notice), is in doubt: its lines are deleted if the neighbour shares them while the rest of the article is the page's
+  own, or if at least half of the text is in links and buttons, and are kept otherwise;
 - if an article or main element has text, its other lines are kept, shared or not, and lines outside are deleted;
 - if all articles stand in containers whose class or id names a part of the frame, other than comments and related
-  pages, these names are not believed and the articles are kept;
+  pages, these names are not believed and the articles are kept; an article that names would leave empty keeps the
+  lines that only names delete;
 - if there is no article at all, shared lines are deleted and the rest is kept.
 
 Cases: a null or empty page has the text ""; a null URL is a host and path of its own (empty), as is one that has no
@@ -27,7 +32,7 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +55,18 @@ FRAME_WORDS = frozenset(
     "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup breadcrumb breadcrumbs share sharing social "
     "related recommended recommendations comment comments disqus reply replies respond widget pagination pager toolbar copyright disclaimer search login".split()
 )
+#: Of these, words that an article may be about.
+TOPICS = frozenset(
+    "menu alert notice notices banner promo subscription share sharing social search login copyright disclaimer overlay related recommended "
+    "recommendations comment comments reply replies respond sponsor sponsored consent gdpr cookie cookies navigation".split()
+)
+#: Words that say nothing about what a part holds, beside one that names a part of the frame.
+NEUTRAL = frozenset(
+    "bar box link links button buttons btn list section container wrapper wrap area block group row col post posts article articles item items form title "
+    "top bottom left right main site page global primary secondary content inner outer icons icon slot unit js thread feed panel text big small".split()
+)
+#: Share of the text in links and buttons from which a part in doubt is taken for a part of the frame.
+LINK_SHARE = 0.5
 #: Beginnings, ends or middles of longer words that mean the same.
 FRAME_STEMS = ("comment", "sidebar", "footer", "cookie", "newsletter", "advert", "navbar", "breadcrumb", "subscri", "sponsor", "pagination", "banner")
 FRAME_ENDS = ("nav", "menu")
@@ -81,57 +98,86 @@ class Line:
     text: str
     frame: bool  # in a marked part of the frame
     content: bool  # in an article or main element
+    named: bool = False  # in the frame by names alone
     doubtful: bool = False  # in an article, and in the frame only by the name of a container around the article
+    doubt: int = 0  # the container in doubt that it stands in, from 1
+    linked: int = 0  # characters in links and buttons
 
 
 @dataclass(frozen=True)
 class Marks:
     """What an element and those around it say: part of the frame for certain, by names around the article, by names
-    inside it; and whether it is in an article."""
+    inside it; whether it is in an article, in a link, and in which container in doubt."""
 
     certain: bool = False
     around: bool = False
     inside: bool = False
     content: bool = False
+    link: bool = False
+    doubt: int = 0
 
 
-def _frame_names(value: str, name: str, in_content: bool) -> set[str]:
-    """The words of a class or id that name a part of the frame. Of an outermost article's or main element's, the first word counts."""
-    words = _WORD.findall(value)
-    if name in CONTENT and not in_content:
-        words = words[:1]
-    found = set()
+def _frame_words(words: list[str], in_content: bool) -> list[str]:
+    """Those of a name's words that name a part of the frame and are not only spoken of."""
+    found = []
     for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
         if before in SPOKEN_OF or after in SPOKEN_OF_BEFORE:
             continue
-        if word in FRAME_WORDS or any(x in word for x in FRAME_STEMS) or word.endswith(FRAME_ENDS):
-            found.add(word)
-        elif not in_content and (word in HEADER_WORDS or word.endswith("header")):
-            found.add(word)
+        if word in FRAME_WORDS or any(x in word for x in FRAME_STEMS) or word.endswith(FRAME_ENDS) or not in_content and (word in HEADER_WORDS or word.endswith("header")):
+            found.append(word)
     return found
 
 
-def _marks(name: str, attributes: str, outer: Marks) -> Marks:
-    """The marks of an element inside one with the marks `outer`."""
+def _frame_names(value: str, name: str, in_content: bool, is_class: bool) -> tuple[set[str], bool]:
+    """The words of a class or id that name a part of the frame for sure, and whether others leave it in doubt.
+
+    Each class is read by itself and is sure if it has no other words but neutral ones; an id of topics alone is in
+    doubt. Of an outermost article or main element only the first class counts, and only if it is sure and no topic but
+    comments and the like."""
+    outermost = name in CONTENT and not in_content
+    sure, doubt = set(), False
+    for one in value.split()[: 1 if outermost else None]:
+        words = _WORD.findall(one)
+        found = _frame_words(words, in_content)
+        if not found:
+            continue
+        whole = all(w in found or w in NEUTRAL or w.isdigit() for w in words)
+        topics = all(w in TOPICS for w in found)
+        if outermost:
+            sure |= set(found) if whole and (not topics or any(w in OTHERS_WORDS for w in found)) else set()
+        elif whole and (is_class or not topics or any(w in OTHERS_WORDS for w in found)):
+            sure |= set(found)
+        else:
+            doubt = True
+    return sure, doubt
+
+
+def _marks(name: str, attributes: str, outer: Marks, number: int) -> Marks:
+    """The marks of an element inside one with the marks `outer`; `number` names it if it is in doubt."""
     certain = name in FRAME or name in SKIPPED or (name == "header" and not outer.content)
-    content, names = name in CONTENT, set()
+    content, names, doubt = name in CONTENT, set(), False
     for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes and not certain else ():
         key, value = key.lower(), a or b or c
         if key == "role":
             content |= value.lower() in ("main", "article")
             certain |= value.lower() in FRAME_ROLES
         elif key == "hidden":
-            certain = True
+            certain |= value.lower() != "until-found"
         elif key in ("class", "id"):
             if not outer.content or name in CONTAINERS:
-                names |= _frame_names(value.lower(), name, outer.content)
+                sure, unsure = _frame_names(value.lower(), name, outer.content, key == "class")
+                names, doubt = names | sure, doubt or unsure
             elif key == "class" and name not in HEADINGS:
                 names |= ADVERT_WORDS.intersection(value.lower().split())
     if name in ("html", "body"):
-        certain, names = False, set()
+        certain, names, doubt = False, set(), False
     certain |= any(w in OTHERS_WORDS or "comment" in w for w in names)
     inner = bool(names) and (content or outer.content)
-    return Marks(outer.certain or certain, outer.around or bool(names) and not inner, outer.inside or inner, outer.content or content)
+    certain |= inner and bool(names & ADVERT_WORDS)
+    return Marks(
+        outer.certain or certain, outer.around or bool(names) and not inner, outer.inside or inner, outer.content or content,
+        outer.link or name in ("a", "button"), outer.doubt or (number if doubt and not content else 0),
+    )
 
 
 def lines_of(page: str) -> list[Line]:
@@ -139,13 +185,16 @@ def lines_of(page: str) -> list[Line]:
     out, held = [], []
     stack: list[tuple[str, Marks]] = []
     at, outermost = Marks(), Marks()
-    position, raw = 0, None
+    position, raw, linked, opened = 0, None, 0, 0
 
     def close() -> None:
+        nonlocal linked
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append(Line(text, at.certain or at.inside or at.around, at.content, at.content and at.around and not (at.certain or at.inside)))
+            named = (at.inside or at.around) and not at.certain
+            out.append(Line(text, at.certain or at.inside or at.around, at.content, named, at.content and at.around and not (at.certain or at.inside), at.doubt, linked))
+        linked = 0
 
     while position < len(page):
         found = _TOKEN.match(page, position)
@@ -154,6 +203,7 @@ def lines_of(page: str) -> list[Line]:
             if whole[:2] == "<!" or whole[:2] == "<?":
                 continue
             held.append(entities.unescape(whole))
+            linked += len(whole) if at.link else 0
             continue
         name = found[2].lower()
         if found[1]:
@@ -181,7 +231,8 @@ def lines_of(page: str) -> list[Line]:
                         break
                     if stack[i][0] in BLOCKS:
                         break
-            stack.append((name, _marks(name, found[3], stack[-1][1] if stack else outermost)))
+            opened += 1
+            stack.append((name, _marks(name, found[3], stack[-1][1] if stack else outermost, opened)))
             if name in RAW:
                 raw = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, position)
                 position = raw.start() if raw else len(page)
@@ -214,10 +265,29 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+def settled(lines: list[Line], shared: set[int]) -> list[Line]:
+    """The lines after the containers in doubt are judged by what the neighbour shares and by their links."""
+    if not any(x.doubt for x in lines):
+        return lines
+    plain = [i for i, x in enumerate(lines) if x.content and not x.frame and not x.doubt]
+    # a neighbour that has most of the article too is a copy, and what it shares is no sign
+    copied = 2 * sum(i in shared for i in plain) > len(plain)
+    size, linked = defaultdict(int), defaultdict(int)
+    for x in lines:
+        size[x.doubt] += len(x.text)
+        linked[x.doubt] += x.linked
+    out = []
+    for i, x in enumerate(lines):
+        goes = bool(x.doubt) and (linked[x.doubt] >= LINK_SHARE * size[x.doubt] or i in shared and not copied)
+        out.append(replace(x, frame=True, named=True) if goes and not x.frame else x)
+    return out
+
+
 def main_text(lines: list[Line], other: list[Line] | None) -> str:
     """The page's main text, given its lines and those of the page that it is paired with."""
     shared = shared_lines([x.text for x in lines], [x.text for x in other]) if other else set()
-    kept = [x.text for x in lines if x.content and not x.frame] or [x.text for x in lines if x.doubtful]
+    lines = settled(lines, shared)
+    kept = [x.text for x in lines if x.content and not x.frame] or [x.text for x in lines if x.doubtful] or [x.text for x in lines if x.content and x.named]
     return " ".join(kept or [x.text for i, x in enumerate(lines) if not x.frame and i not in shared])
 
 

@@ -1,6 +1,7 @@
 import random
 
 from evidentia.llm import pages
+from evidentia.llm.queries import op10_page_differencing
 
 from .conftest import prose
 
@@ -87,3 +88,99 @@ def test_no_article_is_lost_by_names_or_broken_markup():
     ]
     for page_, want in cases:
         assert pages.main_text(pages.lines_of(page_), None) == want, page_
+
+
+def test_longer_names_and_topics_take_no_text_away():
+    """Names with other words, ids that are topics, and articles that names alone would leave empty."""
+    cases = [
+        ('<article><section id="login-flow"><p>How login works.</p></section></article>', "How login works."),
+        ('<article><p>One</p><section id="copyright-law">Two</section></article>', "One Two"),
+        ('<article><p>One</p><div class="share-price-table">Two</div></article>', "One Two"),
+        ('<article><p>One</p><table class="menu-prices"><tr><td>Two</td></tr></table></article>', "One Two"),
+        ('<main id="search-results"><p>A b</p></main>', "A b"),
+        ('<article hidden="until-found"><p>A b</p></article>', "A b"),
+        ("<article hidden><p>A b</p></article><p>out</p>", "out"),
+        ('<article><div class="notice">All there is</div></article>', "All there is"),
+        ('<article><div class="ad">Buy</div></article>', ""),
+        ('<article><p>One</p><div class="cookie-notice">no</div><div class="related-posts">no</div><div id="comments">no</div><div class="share-bar">no</div></article>', "One"),
+        ('<article><p>One</p><div class="td-share-x"><a href="/a">Share on one</a> <a href="/b">Share on two</a></div></article>', "One"),
+        ('<article><p>One</p><div class="login-steps">Open <a href="/a">the page</a> and then write your name there.</div></article>', "One Open the page and then write your name there."),
+        ('<div id="login-flow"><p>No article, but text.</p></div><div class="menu">x</div>', "No article, but text."),
+    ]
+    for page_, want in cases:
+        assert pages.main_text(pages.lines_of(page_), None) == want, page_
+
+
+def test_what_the_neighbour_shares_decides_on_names_in_doubt():
+    first, second = ('<article><p>{0}</p><section id="copyright-box"><p>Words of the site</p></section><div class="menu-prices"><p>Soup {0}</p></div></article>'.format(x) for x in ("one", "two"))
+    assert pages.main_text(pages.lines_of(first), pages.lines_of(second)) == "one Soup one"
+    assert pages.main_text(pages.lines_of(first), pages.lines_of(first)) == "one Words of the site Soup one"
+    assert pages.main_text(pages.lines_of(first), None) == "one Words of the site Soup one"
+
+
+def brute(rows):
+    """The text of each page from (page_id, url, parts): neighbours by sorting, common lines by a table over all pairs.
+
+    parts: (kind, line), of which only the kind's rule is known here: kept, gone, doubt (one container a line) or plain
+    (outside of any article, of a page without one)."""
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2], "/" + r[1].split("/", 3)[3].split("?")[0], r[0]))
+    out = {}
+    for i, (page_id, url, parts) in enumerate(order):
+        host, path = url.split("/")[2], "/" + url.split("/", 3)[3].split("?")[0]
+        best, length = None, -1
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(order) and order[j][1].split("/")[2] == host:
+                other = "/" + order[j][1].split("/", 3)[3].split("?")[0]
+                n = next((k for k in range(min(len(path), len(other))) if path[k] != other[k]), min(len(path), len(other)))
+                if n > length:
+                    best, length = order[j], n
+        a, b = [x for _, x in parts], [x for _, x in best[2]] if best else []
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a) - 1, -1, -1):
+            for y in range(len(b) - 1, -1, -1):
+                table[x][y] = 1 + table[x + 1][y + 1] if a[x] == b[y] else max(table[x + 1][y], table[x][y + 1])
+        shared, x, y = set(), 0, 0
+        while x < len(a) and y < len(b):
+            if a[x] == b[y]:
+                shared.add(x)
+                x, y = x + 1, y + 1
+            elif table[x + 1][y] >= table[x][y + 1]:
+                x += 1
+            else:
+                y += 1
+        kept = [k for k, (kind, _) in enumerate(parts) if kind == "kept"]
+        copied = 2 * sum(k in shared for k in kept) > len(kept)
+        text = [line for k, (kind, line) in enumerate(parts) if kind == "kept" or kind == "doubt" and (copied or k not in shared) or kind == "plain" and k not in shared]
+        out[page_id] = " ".join(text)
+    return out
+
+
+def test_whole_query_equals_brute_force(spark, tmp_path):
+    """Random pages of several hosts, with and without articles, of which frames repeat and some articles are copies."""
+    rng = random.Random(9)
+    forms = {
+        "kept": ["<p>{}</p>", "<div><p>{}</p></div>", '<section id="intro">{}</section>', "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>"],
+        "gone": ["<nav>{}</nav>", '<div class="ad">{}</div>', "<aside>{}</aside>", '<div class="share-buttons">{}</div>', '<div class="cookie-notice">{}</div>', "<form>{}</form>"],
+        "doubt": ['<section id="notice">{}</section>', '<div class="copyright-text-of-all">{}</div>', '<table class="menu-prices"><tr><td>{}</td></tr></table>'],
+        "plain": ["<p>{}</p>", "<div>{}</div>", "<td>{}</td>"],
+    }
+    common = [f"Line {i} of the site" for i in range(8)]
+    rows, html, articles = [], [], []
+    for i in range(120):
+        inside = rng.random() < 0.6
+        if inside and articles and rng.random() < 0.2:
+            parts = rng.choice(articles)
+        else:
+            own = [(rng.choice(["kept", "kept", "gone", "doubt"]) if inside else rng.choice(["plain", "plain", "gone"]), f"own {i} {k} {prose(rng, 3)}") for k in range(rng.randint(1, 6))]
+            own += [("gone" if inside and rng.random() < 0.3 else "doubt" if inside else "plain", x) for x in sorted(rng.sample(common, rng.randint(0, 4)))]
+            parts = [("kept", f"head {i}"), *own] if inside else own
+        if inside:
+            articles.append(parts)
+        body = "".join(rng.choice(forms[kind]).format(line) for kind, line in parts)
+        url = f"https://{rng.choice('xyz')}.example/{rng.choice(['a', 'ab', 'b/c'])}/{rng.randrange(40)}?q={i}"
+        rows.append((i, url, parts))
+        html.append((i, url, page(f"<article>{body}</article>" if inside else body), 1, "x"))
+    spark.createDataFrame(html, "page_id long, url string, html string, host int, key string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    got = op10_page_differencing(spark, str(tmp_path)).collect()
+    assert {r.page_id: r.text for r in got} == brute(rows) and len(got) == 120
+    assert all(r.n_chars == len(r.text) for r in got)
