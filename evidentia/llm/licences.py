@@ -1,12 +1,14 @@
 """Licences by sentence rules, in DataFrame functions alone.
 
-A text is cut into lines, and after . ; : ! ? with white space; each piece is normalised to its lower-case letters and
-digits with single spaces, which also takes comment marks away. A known sentence is a piece, or a run of pieces that
-only single line ends part, so that wrapped sentences are found too; pieces without letters or digits (blank lines)
-and sentence marks end a run. An SPDX tag and the name after it are one sentence. Of known sentences that begin in one place the longest counts, and each piece counts
-once. Known sentences are mapped to identifiers. The row of a text's
-identifiers is then matched against the rules in order: a rule names a licence by a sequence of identifiers that stand
-next to each other, and uses up what it matches, so that longer sequences come before their parts.
+A text is cut into lines, and after . ; : ! ? with white space (but not after the v. of a version); each piece is
+normalised to its lower-case letters and digits with single spaces, which also takes comment marks away. A known
+sentence is a piece, or a run of pieces that only single line ends part, so that wrapped sentences are found too;
+pieces without letters or digits (blank lines) and sentence marks end a run. A notice (licensed under the .. licence)
+may stand anywhere in a piece, with words before and after it, unless "not" stands before it. A line that begins with an
+SPDX tag gives a sentence for each licence of its expression. Of known sentences that begin in one place the longest
+counts, and each piece counts once. Known sentences are mapped to identifiers. The row of a text's identifiers is then
+matched against the rules in order: a rule names a licence by a sequence of identifiers that stand next to each other,
+and uses up what it matches, so that longer sequences come before their parts.
 
 Cases: null and empty texts have no sentences and no licences; texts are read whole; null and repeated doc_ids stay as
 rows; no rows give no rows; other columns are ignored; a sentence that repeats is listed each time, a licence once.
@@ -23,74 +25,153 @@ from evidentia.llm.common import text_or_empty
 
 #: Well-known sentences of licences and licence notices, normalised, by identifier.
 SENTENCES = {
-    "apache-notice": ["licensed under the apache license version 2 0", "this work is licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"],
     "apache-comply": ["you may not use this file except in compliance with the license"],
     "apache-copy": ["you may obtain a copy of the license at"],
     "apache-as-is": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "mit-notice": ["released under the mit license", "licensed under the mit license", "this work is licensed under the mit license", "this project is licensed under the mit license"],
     "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
     "mit-keep": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "gpl3-notice": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
-    "gpl2-notice": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
-    "gpl-free": ["this program is free software", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl-free": ["this program is free software", "this library is free software", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
     "gpl3-or-later": ["either version 3 of the license or at your option any later version"],
     "gpl2-or-later": ["either version 2 of the license or at your option any later version"],
-    "lgpl3-notice": ["licensed under the gnu lesser general public license version 3", "this work is licensed under the gnu lesser general public license version 3"],
-    "agpl3-notice": ["licensed under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3"],
+    "gpl2.1-or-later": ["either version 2 1 of the license or at your option any later version"],
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "bsd-name": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "bsd3-notice": ["licensed under the bsd 3 clause license", "released under the bsd 3 clause license"],
-    "bsd2-notice": ["licensed under the bsd 2 clause license", "released under the bsd 2 clause license"],
-    "mpl2-notice": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
+    "mpl2-subject": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "mpl2-obtain": ["if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"],
     "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "cc-by-notice": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc-by-sa-notice": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "cc-by-nc-notice": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
-    "cc0-notice": ["licensed under cc0 1 0", "this work is dedicated to the public domain under cc0 1 0"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "all-rights": ["all rights reserved"],
+    "mit-as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "mit-no-event": ["in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
+    "bsd-as-is": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "bsd-no-event": ["in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"],
+    "isc-as-is": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "apache-title": ["apache license version 2 0 january 2004"],
+    "apache-terms": ["terms and conditions for use reproduction and distribution"],
+    "gpl-hope": ["this program is distributed in the hope that it will be useful but without any warranty", "this library is distributed in the hope that it will be useful but without any warranty"],
+    "gpl-received": ["you should have received a copy of the gnu general public license along with this program"],
+    "zlib-as-is": ["this software is provided as is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "bsl-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
 }
+#: Names by which a notice may call a licence, normalised, by identifier.
+NAMES = {
+    "apache-notice": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0"],
+    "mit-notice": ["mit license"],
+    "bsd3-notice": ["bsd 3 clause license", "3 clause bsd license", "bsd 3 clause"],
+    "bsd2-notice": ["bsd 2 clause license", "2 clause bsd license", "bsd 2 clause"],
+    "mpl2-notice": ["mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0", "mpl 2 0"],
+    "isc-notice": ["isc license"],
+    "zlib-notice": ["zlib license"],
+    "bsl-notice": ["boost software license version 1 0", "boost software license 1 0"],
+    "epl2-notice": ["eclipse public license version 2 0", "eclipse public license v 2 0", "eclipse public license 2 0"],
+    "cc-by-notice": ["cc by 4 0", "creative commons attribution 4 0 international license"],
+    "cc-by-sa-notice": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
+    "cc-by-nc-notice": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
+    "cc0-notice": ["cc0 1 0"],
+    "unlicense-notice": ["unlicense"],
+}
+#: Names of the licences of one family in sentences and notices, and their versions.
+FAMILIES = {"gpl": ("gnu general public license", ("2.0", "3.0")), "lgpl": ("gnu lesser general public license", ("2.1", "3.0")), "agpl": ("gnu affero general public license", ("3.0",))}
+LATER = ("or later", "or any later version", "or at your option any later version")
+_TERMS = "you can redistribute it and or modify it under the terms of the {} as published by the free software foundation"
 #: Licences in the order in which they are tried, by sequences of identifiers.
 RULES = [
     ("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy", "apache-as-is"]),
     ("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy"]),
+    ("Apache-2.0", ["apache-title", "apache-terms"]),
     ("MIT", ["mit-notice", "mit-grant", "mit-keep"]),
+    ("MIT", ["mit-grant", "mit-keep", "mit-as-is", "mit-no-event"]),
     ("MIT", ["mit-grant", "mit-keep"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-free", "gpl3-or-later"]),
-    ("GPL-2.0-or-later", ["gpl-free", "gpl-free", "gpl2-or-later"]),
+    ("MPL-2.0", ["mpl2-subject", "mpl2-obtain"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+]
+_LATEST = {"2.0": "2", "2.1": "2.1", "3.0": "3"}
+for _short, (_long, _versions) in FAMILIES.items():
+    _own = "gpl-free" if _short == "gpl" else f"{_short}-free"
+    SENTENCES.setdefault(_own, [_TERMS.format(_long)])
+    for _v in _versions:
+        _n, _name = _LATEST[_v], f"{_short.upper()}-{_v}"
+        _words = _n.replace(".", " ")
+        SENTENCES[f"{_short}{_n}-terms"] = [f"{_TERMS.format(_long)} either version {_words} of the license or at your option any later version"]
+        _called = [f"{_long} {w}" for w in (f"version {_words}", f"v{_words}", *([f"version {_words} 0", f"v{_words} 0"] if "." not in _n else []))]
+        _called += [f"{_short} {_words}", f"{_short} v{_words}", f"{_short}v{_words}", f"{_short} version {_words}", *([f"{_short} {_words} 0"] if "." not in _n else [])]
+        NAMES[f"{_short}{_n}-notice"] = _called
+        NAMES[f"{_short}{_n}-later-notice"] = [f"{c} {later}" for c in _called for later in LATER]
+        RULES += [
+            (f"{_name}-or-later", ["gpl-free", _own, f"gpl{_n}-or-later"]),
+            (f"{_name}-or-later", ["gpl-free", f"{_short}{_n}-terms"]),
+            (f"{_name}-or-later", [f"{_short}{_n}-terms"]),
+            (f"{_name}-or-later", [f"{_short}{_n}-later-notice"]),
+            (f"{_name}-only", [f"{_short}{_n}-notice"]),
+        ]
+RULES += [
     ("Apache-2.0", ["apache-notice"]),
     ("MIT", ["mit-notice"]),
-    ("GPL-3.0-only", ["gpl3-notice"]),
-    ("GPL-2.0-only", ["gpl2-notice"]),
-    ("LGPL-3.0-only", ["lgpl3-notice"]),
-    ("AGPL-3.0-only", ["agpl3-notice"]),
     ("BSD-3-Clause", ["bsd3-notice"]),
     ("BSD-2-Clause", ["bsd2-notice"]),
+    ("MPL-2.0", ["mpl2-subject"]),
     ("MPL-2.0", ["mpl2-notice"]),
     ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-notice"]),
+    ("Zlib", ["zlib-notice"]),
+    ("BSL-1.0", ["bsl-grant"]),
+    ("BSL-1.0", ["bsl-notice"]),
+    ("EPL-2.0", ["epl2-notice"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("CC-BY-4.0", ["cc-by-notice"]),
     ("CC0-1.0", ["cc0-notice"]),
     ("Unlicense", ["unlicense"]),
+    ("Unlicense", ["unlicense-notice"]),
     ("proprietary", ["all-rights"]),
 ]
-#: Short names of licences after a line's SPDX tag that mean another one above; full names mean themselves.
-SHORT_NAMES = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
+#: Names after an SPDX tag that mean another one above: a family's version alone, and with a plus; full names mean themselves.
+SHORT_NAMES = {f"{s.upper()}-{v}": f"{s.upper()}-{v}-only" for s, (_, versions) in FAMILIES.items() for v in versions}
+SHORT_NAMES |= {f"{k}+": f"{k}-or-later" for k in SHORT_NAMES}
 _TAGGED = {n: n for n, _ in RULES if n != "proprietary"} | SHORT_NAMES
+
+
+def _plain(name: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", name.lower().replace("+", " plus")).strip()
+
+
 for _short, _name in _TAGGED.items():
-    SENTENCES.setdefault(f"spdx-{_name.lower()}", []).append("spdx license identifier " + re.sub("[^a-z0-9]+", " ", _short.lower()))
+    SENTENCES.setdefault(f"spdx-{_name.lower()}", []).append(f"spdx license identifier {_plain(_short)}")
 RULES += [(n, [f"spdx-{n.lower()}"]) for n in dict.fromkeys(_TAGGED.values())]
-#: The tag is followed by a colon, which would end a sentence.
-_TAG = r"(?i)spdx-license-identifier:[ \t]*"
-#: Every known sentence holds one of these, so other texts have none.
-_HINT = r"(?i)licen|copyright|permi|redistribut|software|public[^a-z0-9]+domain|reserved"
-#: Known sentences, longest first, between line ends; a single line end may stand for any of their spaces.
-_KNOWN = r"(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in sorted((s for forms in SENTENCES.values() for s in forms), key=len, reverse=True)) + r")(?=\n)"
+_WHOLE = [s for forms in SENTENCES.values() for s in forms]
+#: What stands before a licence's name in a notice.
+_UNDER = "(?:licensed|released|distributed|published|available|provided|dedicated to the public domain) under (?:the )?(?:terms of )?(?:the |an? )?(?:terms of the )?"
+SENTENCES |= {i: [f"licensed under the {n}" for n in names] for i, names in NAMES.items()}
+#: The tag's name may stand on the next line; its colon would end a sentence.
+_TAG = r"(?i)spdx-license-identifier:(?:[^a-z0-9(\n]*\n)?[^a-z0-9(\n]*"
+_MARK = "spdxlicenseidentifieris "
+#: A line of a tag: its expression of licences with AND, OR and WITH.
+_TAGGED_LINE = rf"^[^A-Za-z0-9]*{_MARK}[ \t(]*([A-Za-z0-9.+-]+(?:[ \t()]+(?:AND|OR|WITH|and|or|with)[ \t(]+[A-Za-z0-9.+-]+)*)"
+#: Every known sentence or notice holds one of these, so other texts have none.
+_HINT = r"(?i)licen|copyright|permi|redistribut|software|public[^a-z0-9]+domain|reserved|mpl|terms and conditions|warrant|(?:released|distributed|published|available|provided)[^a-z0-9]+under"
+
+
+def _longest(forms: list[str], gap: str) -> str:
+    return "|".join(s.replace(" ", gap) for s in sorted(forms, key=len, reverse=True))
+
+
+def _spread(pattern: str, gap: str) -> str:
+    return pattern.replace(" ", gap)
+
+
+def _known(before: str, after: str, gap: str) -> str:
+    """Known sentences between line ends, and notices between words, each longest first; `gap` stands for a space or a single line end."""
+    names = _longest([n for ns in NAMES.values() for n in ns], gap)
+    return rf"{before}(?:{_longest(_WHOLE, gap)}){after}|\b(?:not{gap})?{_spread(_UNDER, gap)}(?:{names})\b"
+
+
+_KNOWN = _known(r"(?<=\n)", r"(?=\n)", "[ \n]")
+_IDS = {s: i for i, forms in SENTENCES.items() if i not in NAMES for s in forms} | {n: i for i, names in NAMES.items() for n in names}
 
 
 def _tag(identifiers: list[str]) -> str:
@@ -99,12 +180,21 @@ def _tag(identifiers: list[str]) -> str:
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's known sentences in order."""
-    known = F.create_map(*[F.lit(x) for i, forms in SENTENCES.items() for s in forms for x in (s, i)])
-    tagged = F.regexp_replace(text, _TAG, "spdx license identifier ")
+    known = F.create_map(*[F.lit(x) for pair in _IDS.items() for x in pair])
+    tagged = F.regexp_replace(F.regexp_replace(text, _TAG, _MARK), r"(?i)\bv\.[ \t\r\n]+([0-9])", "v $1")
     parts = F.split(F.regexp_replace(tagged, r"([.;:!?])[ \t\r\n]+", "$1\n\n"), "\n")
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    lines = F.concat(F.lit("\n"), F.array_join(plain, "\n"), F.lit("\n"))
-    found = F.transform(F.regexp_extract_all(lines, F.lit(_KNOWN), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
+
+    def plain(s: Column) -> Column:
+        return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+
+    def piece(s: Column) -> Column:
+        names = F.regexp_extract_all(F.regexp_extract(s, _TAGGED_LINE, 1), F.lit("[A-Za-z0-9.+-]+"), F.lit(0))
+        each = F.transform(names, lambda n: F.concat(F.lit("spdx license identifier "), plain(F.replace(n, F.lit("+"), F.lit(" plus")))))
+        return F.when(F.contains(s, F.lit(_MARK)), F.array_join(each, "\n")).otherwise(plain(s))
+
+    lines = F.concat(F.lit("\n"), F.array_join(F.transform(parts, piece), "\n"), F.lit("\n"))
+    names = F.transform(F.regexp_extract_all(lines, F.lit(_KNOWN), F.lit(0)), lambda s: F.regexp_replace(F.translate(s, "\n", " "), f"^{_UNDER}", ""))
+    found = F.array_compact(F.transform(names, lambda n: F.try_element_at(known, n)))
     return F.when(text.rlike(_HINT), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -123,23 +213,27 @@ def licensed(docs: DataFrame) -> DataFrame:
 
 def oracle_sql() -> str:
     """The same result in DuckDB's SQL."""
-    known = ", ".join(f"('{s}', '{i}')" for i, forms in SENTENCES.items() for s in forms)
+    known = ", ".join(f"('{n}', '{i}')" for n, i in _IDS.items())
     steps, last = [], "j"
     for k, (name, ids) in enumerate(RULES):
         tag = _tag(ids)
         steps.append(f"r{k} AS (SELECT * REPLACE (replace(rest, '{tag}', '|') AS rest, CASE WHEN contains(rest, '{tag}') THEN list_append(names, '{name}') ELSE names END AS names) FROM {last})")
         last = f"r{k}"
     # every line stands between line ends of its own here, for want of look-around: two of them part the lines of a run
-    run = "|".join(s.replace(" ", "(?: |\\n\\n)") for s in sorted((s for forms in SENTENCES.values() for s in forms), key=len, reverse=True))
+    run = _known("\\n", "\\n", "(?: |\\n\\n)")
+    plain = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    tagged = f"""list_transform(regexp_extract_all(regexp_extract(x, '{_TAGGED_LINE}', 1), '[A-Za-z0-9.+-]+'),
+    lambda n: chr(10) || 'spdx license identifier ' || {plain.format("replace(n, '+', ' plus')")} || chr(10))"""
     return f"""
 WITH s AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{_TAG}', 'spdx license identifier ', 'g'), '([.;:!?])[ \\t\\r\\n]+', '\\1' || chr(10) || chr(10), 'g'), chr(10)) AS a FROM documents
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{_TAG}', '{_MARK}', 'g'), '(?i)\\bv\\.[ \\t\\r\\n]+([0-9])', 'v \\1', 'g'),
+    '([.;:!?])[ \\t\\r\\n]+', '\\1' || chr(10) || chr(10), 'g'), chr(10)) AS a FROM documents
 ), p AS (
-  SELECT doc_id, array_to_string(list_transform(a, lambda x: chr(10) || trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) || chr(10)), '') AS t FROM s
+  SELECT doc_id, array_to_string(list_transform(a, lambda x: CASE WHEN contains(x, '{_MARK}') THEN coalesce(array_to_string({tagged}, ''), '') ELSE chr(10) || {plain.format("x")} || chr(10) END), '') AS t FROM s
 ), m AS (
-  SELECT doc_id, regexp_extract_all(t, '\\n(?:{run})\\n') AS f FROM p
+  SELECT doc_id, regexp_extract_all(t, '{run}') AS f FROM p
 ), e AS (
-  SELECT doc_id, i, trim(replace(replace(f[i], chr(10) || chr(10), ' '), chr(10), '')) AS n FROM m, unnest(range(1, len(f) + 1)) AS t(i)
+  SELECT doc_id, i, regexp_replace(trim(replace(replace(f[i], chr(10) || chr(10), ' '), chr(10), '')), '^{_UNDER}', '') AS n FROM m, unnest(range(1, len(f) + 1)) AS t(i)
 ), k(n, id) AS (VALUES {known}
 ), j AS (
   SELECT doc_id, count(*) AS c, string_agg(id, ',' ORDER BY i) AS ids, string_agg('<' || id || '>', '' ORDER BY i) AS rest, CAST([] AS VARCHAR[]) AS names

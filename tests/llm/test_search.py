@@ -212,3 +212,108 @@ def test_factorisation_machine_pairs():
         for b in range(a):
             want += float(m.factors[numbers[a]] @ m.factors[numbers[b]]) * values[a] * values[b]
     assert abs(got - want) < 1e-3
+
+
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+LGPL21 = """// This library is free software; you can redistribute it and/or
+// modify it under the terms of the GNU Lesser General Public
+// License as published by the Free Software Foundation; either
+// version 2.1 of the License, or (at your option) any later version.
+"""
+MIT_REST = """
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_REST = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION).
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+#: Texts as they are usually found, with their licences as a reader would name them.
+BY_HAND = [
+    (MIT + MIT_REST, "MIT"),
+    (BSD + BSD_REST, "BSD-3-Clause,proprietary"),
+    (ISC, "ISC"),
+    (APACHE, "Apache-2.0"),
+    ("\n".join("# " + x for x in APACHE.splitlines()), "Apache-2.0"),
+    (GPL3, "GPL-3.0-or-later"),
+    (GPL3.replace("General", "Affero General"), "AGPL-3.0-or-later"),
+    (GPL3.replace("General", "Lesser General").replace("program", "library"), "LGPL-3.0-or-later"),
+    (GPL, "GPL-2.0-or-later"),
+    (LGPL21, "LGPL-2.1-or-later"),
+    (MPL, "MPL-2.0"),
+    (MPL.replace("v. 2.0", "v.\n2.0"), "MPL-2.0"),
+    ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"),
+    ("SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", "Apache-2.0,MIT"),
+    ("/* SPDX-License-Identifier: GPL-3.0-or-later WITH Classpath-exception-2.0 AND (MIT OR BSD-3-Clause) */", "BSD-3-Clause,GPL-3.0-or-later,MIT"),
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+    ("Our code is released under the terms of the GNU General Public License v3.0 or later, as all know.", "GPL-3.0-or-later"),
+    ("It is distributed under GPLv2.", "GPL-2.0-only"),
+    ("This file is not licensed under the MIT License.", ""),
+    ("Some words on licences: the MIT License is short. License to sing!", ""),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("Available under the Boost Software License, Version 1.0", "BSL-1.0"),
+    ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", "Apache-2.0"),
+]
+
+
+def test_usual_texts_of_licences(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(BY_HAND)]
+    got = {r.doc_id: tuple(r) for r in licences.licensed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(i, got[i][3]) for i in range(len(rows))] == [(i, want) for i, (_, want) in enumerate(BY_HAND)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: r for r in con.execute(licences.oracle_sql()).fetchall()} == got
