@@ -301,6 +301,9 @@ BY_HAND = [
     ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
     ("Our code is released under the terms of the GNU General Public License v3.0 or later, as all know.", "GPL-3.0-or-later"),
     ("It is distributed under GPLv2.", "GPL-2.0-only"),
+    ("Released under CC-BY-4.0.", "CC-BY-4.0"),
+    ("Available under\n# the MPL 2.0", "MPL-2.0"),
+    ("Provided under the 3-clause BSD license", "BSD-3-Clause"),
     ("This file is not licensed under the MIT License.", ""),
     ("Some words on licences: the MIT License is short. License to sing!", ""),
     ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
