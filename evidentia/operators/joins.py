@@ -8,9 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def enrich(left: DataFrame, right: DataFrame, on: Sequence[str], found: str = "found", keep: Column | None = None) -> DataFrame:
-    """Left outer join with a column that tells whether the right side has the key; `keep` limits the rows that look it up."""
-    marked = right.withColumn("__hit", F.lit(True))
+def last_of_key(df: DataFrame, on: Sequence[str], order: Column | None = None) -> DataFrame:
+    """One row per key, as a dictionary that is filled row by row holds it: the last in the order given, or else the
+    greatest row. Keys are reduced in parts before their rows meet."""
+    rest = [c for c in df.columns if c not in on]
+    whole = F.struct(*rest) if rest else F.struct(F.lit(0).alias("__none"))
+    place = F.struct(order, F.to_json(whole)) if order is not None else F.to_json(whole)
+    return df.groupBy(*on).agg(F.max_by(whole, place).alias("__row")).select(*on, *[F.col("__row")[c].alias(c) for c in rest])
+
+
+def enrich(left: DataFrame, right: DataFrame, on: Sequence[str], found: str = "found", keep: Column | None = None, *, order: Column | None = None, unique: bool = False) -> DataFrame:
+    """Left outer join with a column that tells whether the right side has the key; `keep` limits the rows that look it up.
+
+    A key that the right side repeats counts once (see `last_of_key`); `unique` says that none does."""
+    marked = (right if unique else last_of_key(right, on, order)).withColumn("__hit", F.lit(True))
     if keep is None:
         out = left.join(marked, list(on), "left")
     else:
@@ -22,20 +33,21 @@ def enrich(left: DataFrame, right: DataFrame, on: Sequence[str], found: str = "f
     return out.withColumn(found, F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
-def first_of(left: DataFrame, sources: Sequence[tuple[str, DataFrame]], on: Sequence[str], value: str, default=None, origin: str = "origin") -> DataFrame:
-    """The value of the first source that has the key, and that source's name."""
+def first_of(left: DataFrame, sources: Sequence[tuple[str, DataFrame]], on: Sequence[str], value: str, default=None, origin: str = "origin", *, order: Column | None = None, unique: bool = False) -> DataFrame:
+    """The value of the first source that has the key, and that source's name; repeated keys as in `enrich`."""
     out, values, names = left, [], []
     for i, (name, source) in enumerate(sources):
         column = f"__v{i}"
+        source = source if unique else last_of_key(source, on, order)
         out = out.join(source.select(*on, F.col(value).alias(column)), list(on), "left")
         values.append(F.col(column))
         names.append(F.when(F.col(column).isNotNull(), name))
     return out.withColumn(value, F.coalesce(*values, F.lit(default))).withColumn(origin, F.coalesce(*names, F.lit("missing"))).drop(*[f"__v{i}" for i in range(len(sources))])
 
 
-def fill_missing(left: DataFrame, right: DataFrame, on: Sequence[str], value: str) -> DataFrame:
-    """Looks a value up only where the row has none."""
-    side = right.select(*on, F.col(value).alias("__fill"))
+def fill_missing(left: DataFrame, right: DataFrame, on: Sequence[str], value: str, *, order: Column | None = None, unique: bool = False) -> DataFrame:
+    """Looks a value up only where the row has none; repeated keys as in `enrich`."""
+    side = (right if unique else last_of_key(right, on, order)).select(*on, F.col(value).alias("__fill"))
     return left.join(side, list(on), "left").withColumn(value, F.coalesce(value, "__fill")).drop("__fill")
 
 

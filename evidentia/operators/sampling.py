@@ -56,8 +56,10 @@ def capped(df: DataFrame, budgets: DataFrame, key: str, order: Sequence[Column],
 
 
 def balanced(df: DataFrame, keys: Sequence[str], positive: Column, order: Sequence[Column], ratio: float = 1.0) -> DataFrame:
-    """Positives and negatives of each group at most 1 to `ratio`; with ratio 1 as many of either as the scarcer has."""
-    marked = df.withColumn("__pos", positive.cast("int"))
+    """Positives and negatives of each group at most 1 to `ratio`; with ratio 1 as many of either as the scarcer has.
+
+    A row whose condition is NULL is neither and is left out."""
+    marked = df.withColumn("__pos", positive.cast("int")).where("__pos IS NOT NULL")
     counts = marked.groupBy(*keys).agg(F.sum("__pos").alias("__p"), F.sum(1 - F.col("__pos")).alias("__n"))
     ranked = join_same(_rank(marked, [*keys, "__pos"], order, "__rn"), counts, keys)
     take_pos = F.least("__p", F.floor(F.col("__n") / ratio)) if ratio == 1 else F.col("__p")
