@@ -96,6 +96,16 @@ def parse_shares(items: Sequence[str]) -> dict[str, float]:
     return out
 
 
+def plan_rows(items: DataFrame, column: str, default: tuple[int, int] = (0, 0)) -> DataFrame:
+    """name, positives and negatives of a table's CLASS:POSITIVE:NEGATIVE items, as `parse_plan` reads arguments; an item
+    that is none fails the job."""
+    parts = F.split(column, ":")
+    whole = F.col(column).rlike(r"^[^:]+(:-?\d+){0,2}$")
+    name = F.when(F.coalesce(whole, F.lit(False)), parts[0]).otherwise(F.raise_error(F.concat(F.lit("not CLASS:POSITIVE:NEGATIVE: "), F.coalesce(F.col(column), F.lit("NULL")))))
+    number = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i + 2)).try_cast("bigint"), F.lit(default[i]).cast("bigint"))
+    return items.select(name.alias("name"), number(0).alias("positives"), number(1).alias("negatives"))
+
+
 def selected(df: DataFrame, column: str, choice: str, order: Sequence[Column] = (), limit: int | None = None) -> DataFrame:
     """Rows by a list argument, `all` or integers with commas, and at most `limit` of them in the order given."""
     out = df if choice == "all" else df.where(F.col(column).isin(*[int(x) for x in choice.split(",") if x.strip()]))

@@ -332,9 +332,19 @@ def steps(df: DataFrame) -> DataFrame:
     return per.withColumn("d", chosen).select("record_id", "grade", "burden", "proliferation", "boundary", "d.*")
 
 
+#: Strengths from the one that counts most where a record has several rows of a lesion.
+STRENGTHS = ("strong_present", "weak_present", "absent", "template", "unknown")
+
+
 def evidence_groups(df: DataFrame) -> DataFrame:
-    """Per record the lesions of each strength in their fixed order; lesions without a row are unknown."""
-    order = F.array(*map(F.lit, LESIONS))
-    held = df.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("lesion", "strength"))).alias("m"))
-    of = lambda *names: F.filter(order, lambda x: F.coalesce(F.try_element_at("m", x), F.lit("unknown")).isin(*names))
+    """Per record the lesions of each strength in their fixed order; lesions without a row, or with another strength,
+    are unknown, and of several rows the one with the greater strength counts."""
+    place = F.array_position(F.array(*map(F.lit, STRENGTHS)), F.col("strength"))
+    place = F.when(place > 0, place).otherwise(len(STRENGTHS))
+    held = df.groupBy("record_id").agg(*[F.min(F.when(F.col("lesion") == x, place)).alias(f"__{x}") for x in LESIONS])
+
+    def of(*names: str) -> Column:
+        wanted = [STRENGTHS.index(n) + 1 for n in names]
+        return F.array_compact(F.array(*[F.when(F.coalesce(f"__{x}", F.lit(len(STRENGTHS))).isin(*wanted), F.lit(x)) for x in LESIONS]))
+
     return held.select("record_id", of("strong_present").alias("strong_present"), of("weak_present").alias("weak_present"), of("unknown", "template").alias("unknown_or_template"), of("absent").alias("absent"))

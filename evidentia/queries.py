@@ -80,8 +80,8 @@ def confusion_by_lang(spark, sf_dir):
     rows = _kinds(spark, sf_dir).where("kind = 'quality' and state <> 'unknown'")
     cell = M.outcome(F.col("state") == "present", F.col("n_chars") >= 700, policy="strict")
     counts = M.confusion_counts(rows, cell, ["lang"])
-    every = counts.unionByName(counts.agg(*[F.sum(c).alias(c) for c in M.CELLS]).withColumn("lang", F.lit("all")))
-    return M.binary_metrics(every).select("lang", *M.CELLS, "precision", "recall", "specificity", "f1")
+    every = M.binary_metrics(counts).unionByName(M.micro(counts).withColumn("lang", F.lit("all")))
+    return every.select("lang", *M.CELLS, "precision", "recall", "specificity", "f1")
 
 
 _POLICY_BUCKET = _sha("CAST(doc_id AS VARCHAR) || '::' || kind")

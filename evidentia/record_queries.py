@@ -33,7 +33,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _write_text(df: DataFrame, path: str) -> str:
-    df.coalesce(1).write.text(path)
+    df.write.text(path)
     return path
 
 

@@ -162,6 +162,13 @@ def checked(df: DataFrame, required: Sequence[str], lengths: Mapping[str, int] |
     return out
 
 
+def violations(df: DataFrame, required: Sequence[str], lengths: Mapping[str, int] | None = None) -> DataFrame:
+    """The rows that `checked` would fail at, with the names of what is wrong in `problems`."""
+    found = [F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in required]
+    found += [F.when(F.col(c).isNotNull() & (F.size(c) != n), F.lit(f"{c} has another length than {n}")) for c, n in (lengths or {}).items()]
+    return df.withColumn("problems", F.array_compact(F.array(*found))).where(F.size("problems") > 0)
+
+
 def settings(spark: SparkSession, path: str) -> dict[str, str]:
     """Top-level `key: value` lines of a settings file; a driver-side dictionary, not data."""
     lines = spark.read.text(path, wholetext=True).first()[0].splitlines()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,21 @@ def write_document(path: str, content) -> None:
     fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf).rename(part, target, replace)
 
 
+def write_counts(path: str, counts: Mapping[str, DataFrame], most: int = 10_000) -> dict:
+    """Writes counters beside a data set as one document: by name, the counts by key (its columns but `n`, joined by ::).
+
+    Counters are small; one with more keys than `most` fails."""
+    content = {}
+    for name, df in counts.items():
+        keys = [c for c in df.columns if c != "n"]
+        rows = df.select(F.concat_ws("::", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("k"), "n").orderBy("k").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} keys do not belong into one document")
+        content[name] = {r.k: r.n for r in rows}
+    write_document(path, content)
+    return content
+
+
 def register(path: str, name: str, entry: dict) -> dict:
     """Adds or replaces a data set in a registry file and returns the registry."""
     spark, _, target = _hadoop(path)
