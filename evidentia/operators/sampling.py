@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.columns import sha1_bucket
-from evidentia.operators.ordered import join_same
+from evidentia.operators.ordered import join_same, row_numbers
 
 
 def _rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -51,7 +51,7 @@ def capped(df: DataFrame, budgets: DataFrame, key: str, order: Sequence[Column],
     """
     listed = df.join(budgets, key, "left")
     free = listed.where(F.col(budget).isNull())
-    bound = _rank(listed.where(F.col(budget) > 0), [key], order, "__rn").where(F.col("__rn") <= F.col(budget)).drop("__rn")
+    bound = row_numbers(listed.where(F.col(budget) > 0), [key], order, "__rn").where(F.col("__rn") <= F.col(budget)).drop("__rn")
     return free.unionByName(bound).drop(budget)
 
 
@@ -61,7 +61,7 @@ def balanced(df: DataFrame, keys: Sequence[str], positive: Column, order: Sequen
     A row whose condition is NULL is neither and is left out."""
     marked = df.withColumn("__pos", positive.cast("int")).where("__pos IS NOT NULL")
     counts = marked.groupBy(*keys).agg(F.sum("__pos").alias("__p"), F.sum(1 - F.col("__pos")).alias("__n"))
-    ranked = join_same(_rank(marked, [*keys, "__pos"], order, "__rn"), counts, keys)
+    ranked = join_same(row_numbers(marked, [*keys, "__pos"], order, "__rn"), counts, keys)
     take_pos = F.least("__p", F.floor(F.col("__n") / ratio)) if ratio == 1 else F.col("__p")
     take_neg = F.least(F.col("__n"), F.floor(take_pos * ratio))
     return ranked.where(F.col("__rn") <= F.when(F.col("__pos") == 1, take_pos).otherwise(take_neg)).drop("__pos", "__p", "__n", "__rn")
@@ -178,7 +178,7 @@ def ratio_capped(df: DataFrame, key: str, base: str, ratios: Sequence[tuple[str,
     for name, ratio in ratios:
         cap = cap.when(F.col(key) == name, F.floor(F.col("__base") * ratio))
     listed = df.where(F.col(key).isin(base, *[r[0] for r in ratios]))
-    ranked = _rank(listed, [key], order, "__rn").join(F.broadcast(n), how="inner", on=F.lit(True))
+    ranked = row_numbers(listed, [key], order, "__rn").join(F.broadcast(n), how="inner", on=F.lit(True))
     return ranked.where(F.col("__rn") <= cap).drop("__rn", "__base")
 
 

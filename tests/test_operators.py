@@ -306,3 +306,26 @@ def test_metrics_document(spark):
     doc = M.metrics_document(M.binary_metrics(counts), "k", {"main": ["MA", "HE"], "rare": ["NV"]}).first()
     assert doc.n == 454 and sorted(doc.by_class) == ["HE", "MA", "NV"] and doc.by_class["NV"].tp == 1
     assert doc.rare_macro.f1 == 0.5 and abs(doc.main_macro.recall - (79 / 124 + 168 / 194) / 2) < 1e-12
+
+
+def test_row_numbers_and_running_sums_over_ranges(spark):
+    """A group with most rows, groups of one, NULL keys, both directions, and as many ranges as partitions."""
+    from evidentia.operators import ordered
+
+    rng = random.Random(11)
+    rows = [(g, rng.randrange(10_000), i) for g, n in (("big", 700), ("small", 3), ("one", 1), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(3)
+    for order, sign in ((F.desc("v"), -1), (F.col("v"), 1)):
+        got = {(r.g, r.v, r.i): r.rn for r in ordered.row_numbers(df, ["g"], [order, F.col("i")], "rn").collect()}
+        for g in ("big", "small", "one", None):
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (sign * r[1], r[2]))
+            assert [got[r] for r in own] == list(range(1, len(own) + 1))
+    spread = df.groupBy("g", "v").agg(F.count("*").alias("c"))
+    run = ordered.running_sums(spread, ["g"], "v", ["c"])
+    for r in run.collect():
+        own = [x[1] for x in rows if x[0] == r.g]
+        assert (r.c_before, r.c_all) == (sum(v < r.v for v in own), len(own))
+    assert run.count() == spread.count()
+    scans = ordered.running_sums(spread, [], "v", ["c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in scans  # the input is read once, before
+    assert ordered.row_numbers(df.limit(0), ["g"], [F.col("v")], "rn").count() == 0
