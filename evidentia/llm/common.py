@@ -80,9 +80,11 @@ def numbered(df: DataFrame, order: list, index: str) -> DataFrame:
     return out.drop("__ev_pid", "__ev_at", "__ev_from")
 
 
-#: Bytes of a block of rows that stand together in an order; keys that are drawn at most to part the blocks.
+#: Bytes of a block of rows that stand together in an order; keys that are drawn at first to part the blocks, a quarter
+#: as many blocks as keys; and keys that are drawn at most, where bytes ask for more blocks than that.
 BLOCK_BYTES = 64 << 20
 DRAWN_KEYS = 1 << 14
+MOST_KEYS = 1 << 18
 
 
 def with_neighbours(
@@ -97,16 +99,25 @@ def with_neighbours(
     block's first or last row all travel with it, so the row after is the first, and the row before the last, of its
     role. Blocks hold about `block_bytes` by `size`, but are at least as many as shuffle partitions. They begin at
     keys that one pass draws, at most DRAWN_KEYS of them, so that the rows after blocks are known without another
-    pass; any draw gives the same result.
+    pass; any draw gives the same result. Where that is too few for the bytes, a second pass draws four keys a block,
+    at most MOST_KEYS (with 100 TB, a block has 1.5 GB, which its task streams).
     """
     spark = df.sparkSession
     shared_dir(spark)
     keys = df.select(F.col(key).alias("k"), size.cast("long").alias("size"))
-    drawn = keys.groupBy(F.pmod(F.xxhash64("k"), F.lit(DRAWN_KEYS)).alias("b"))
-    drawn = sorted(tuple(r) for r in drawn.agg(F.max_by("k", F.xxhash64("k", F.lit(1))).alias("k"), F.sum("size").alias("size"), F.min("k").alias("low")).select("k", "size", "low").collect())
+
+    def draw(n: int) -> list[tuple]:
+        parts = keys.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias("b"))
+        found = parts.agg(F.max_by("k", F.xxhash64("k", F.lit(1))).alias("k"), F.sum("size").alias("size"), F.min("k").alias("low"))
+        return sorted(tuple(r) for r in found.select("k", "size", "low").collect())
+
+    drawn = draw(DRAWN_KEYS)
     first = min((r[2] for r in drawn), default=None)
     total = sum(r[1] for r in drawn)
-    wanted = min(max(parallelism(spark), -(-total // block_bytes)), DRAWN_KEYS // 4)
+    wanted = max(parallelism(spark), -(-total // block_bytes))
+    if wanted > DRAWN_KEYS // 4:
+        wanted = min(wanted, MOST_KEYS // 4)
+        drawn = draw(4 * wanted)
     splits, held = [], 0
     for k, bytes_, _ in drawn:
         if held * wanted >= total * (len(splits) + 1) and k > first:

@@ -109,3 +109,37 @@ def test_odd_rows(spark, odd, none):
     assert fp.fingerprinted(none).count() == 0
     one = fp.fingerprinted(spark.createDataFrame([(7, "a single text stands before itself")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1
+
+
+def test_blocks_follow_the_bytes(spark, monkeypatch):
+    """Where few keys are drawn and bytes ask for more blocks, more keys are drawn; neighbours stay the same."""
+    from collections import Counter
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from evidentia.llm import common
+
+    rows = [(i * 7 % 1000, "x" * 50) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, t string")
+
+    def pairs(frames):
+        block, before, out = None, None, []
+        for frame in frames:
+            for k, b, role in zip(frame["k"], frame["__ev_block"], frame["__ev_role"], strict=True):
+                if b != block:
+                    block, before = b, None
+                if before is not None:
+                    out.append((before, k, b))
+                before = k if role <= 0 else None
+        yield pd.DataFrame(out, columns=["a", "b", "block"])
+
+    def found(**patched):
+        for name, value in patched.items():
+            monkeypatch.setattr(common, name, value)
+        got = common.with_neighbours(df, "k", F.length("t"), pairs, "a long, b long, block int", before=False, block_bytes=500).collect()
+        assert sorted((r.a, r.b) for r in got) == [(i, i + 1) for i in range(999)]
+        return Counter(r.block for r in got)
+
+    few, many = found(DRAWN_KEYS=16, MOST_KEYS=16), found(DRAWN_KEYS=16, MOST_KEYS=1 << 18)
+    assert len(few) <= 5 and len(many) > 60 and max(many.values()) < 60
