@@ -30,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that this library has written in the shared folder."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

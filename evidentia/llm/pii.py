@@ -21,16 +21,19 @@ no rows; other columns are left alone. Places are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import re
+import sys
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import in_small_batches
+from evidentia.llm.common import exists, in_small_batches, shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -359,6 +362,27 @@ def trained(windows: int = 4000, rounds: int = 8, batch: int = 64, rate: float =
     return model
 
 
+@cache
+def _digest() -> str:
+    """Names this module's code, which decides the weights."""
+    return hashlib.sha256(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:32]
+
+
+def stored(spark: SparkSession) -> Tagger:
+    """The trained tagger from the cluster's shared folder; trained and written there where this code's is not there yet."""
+    path = f"{shared_dir(spark)}/tagger-{_digest()}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        rows = [(k, list(p.shape), bytearray(p.tobytes())) for k, p in trained().p.items()]
+        try:
+            spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.parquet(path)
+        except AnalysisException:
+            return trained()  # another session is writing the same weights
+    model = Tagger()
+    for r in spark.read.parquet(path).collect():  # a row per parameter
+        model.p[r.name] = np.frombuffer(bytes(r.data), np.float32).reshape(r["shape"]).copy()
+    return model
+
+
 def reconcile(found: dict[Span, float]) -> list[Span]:
     """The set of spans without overlap that has the greatest sum of margins, by start."""
     spans = sorted(found, key=lambda s: (s[2], s[1], s[0]))
@@ -517,7 +541,7 @@ FOUND = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:stri
 
 def found_in(text: str = "text", model: Tagger | None = None) -> Column:
     """Counts and digest of the base spans, all spans, and the masked text of each text."""
-    model = model or trained()
+    model = model or stored(SparkSession.active())
 
     @F.pandas_udf(FOUND)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
