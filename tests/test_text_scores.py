@@ -82,3 +82,12 @@ def test_likelihood(spark):
         assert got[i][1] is None if not logs else got[i][1] == pytest.approx(sum(logs) / len(logs))
     empty = likelihood.ngram_model(spark.createDataFrame([], "text string"), "text")
     assert likelihood.candidate_likelihood(spark.createDataFrame(rows, "id int, q string, a string"), ["id"], "q", "a", empty).count() == 82
+
+
+def test_model_of_asked_ngrams(spark):
+    texts = spark.createDataFrame([("a b a b c",), ("b",), (None,)], "text string")
+    asked = spark.createDataFrame([(g,) for g in ("a", "a b", "a b c", "b c x", "b c", "b", "z")], "gram string")
+    got = sorted(map(tuple, likelihood.ngram_model(texts, "text", only=asked).collect()))
+    assert got == [(0, "", 6), (1, "a", 2), (1, "b", 3), (2, "a b", 2), (2, "b c", 1), (3, "a b c", 1)]
+    asked = likelihood.asked_grams(spark.createDataFrame([("p a b", "c a")], "q string, a string"), "q", "a")
+    assert sorted(r.gram for r in asked.collect()) == ["a", "a b", "a b c", "b", "b c", "b c a", "c", "c a"]
