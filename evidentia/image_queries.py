@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import images
 from evidentia.plans import folders
-from evidentia.queries import _query, _t
+from evidentia.queries import _query, _spread, _t
 from evidentia.record_queries import _folder
 from evidentia.sources import image_files
 
 
+#: Images of a part of a batch.
+DRAWN_AT_ONCE = 64
+
+
 def _drawn(size: int):
     """A function of lists of (x, y, radius, grey): an image with these discs, one over the other, on black."""
 
@@ -23,13 +27,15 @@ def _drawn(size: int):
     def draw(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         y, x = np.mgrid[:size, :size]
         for batch in batches:
-            rows = []
-            for discs in batch:
-                out = np.zeros((size, size, 3), np.uint8)
-                for d in discs:
-                    out[(x - d["x"]) ** 2 + (y - d["y"]) ** 2 <= d["r"] ** 2] = d["grey"]
-                rows.append((size, size, out.tobytes()))
-            yield pd.DataFrame(rows, columns=["height", "width", "data"])
+            # a batch has many rows of few numbers, so their images go out by parts
+            for at in range(0, len(batch), DRAWN_AT_ONCE):
+                rows = []
+                for discs in batch[at : at + DRAWN_AT_ONCE]:
+                    out = np.zeros((size, size, 3), np.uint8)
+                    for d in discs:
+                        out[(x - d["x"]) ** 2 + (y - d["y"]) ** 2 <= d["r"] ** 2] = d["grey"]
+                    rows.append((size, size, out.tobytes()))
+                yield pd.DataFrame(rows, columns=["height", "width", "data"])
 
     return draw
 
@@ -43,7 +49,7 @@ def _views(spark, sf_dir: str) -> DataFrame:
     """An image for each supplier with a field of view of its own, and none for some."""
     k = F.col("s_suppkey")
     view = F.when(k % 9 == 0, _discs((0, 0, -1, 0))).otherwise(_discs((50 + k % 7, 44 + k % 11, 30 + k % 5, 90), (46 + k % 7, 40, 6, 200)))
-    return _t(spark, sf_dir, "supplier").select("s_suppkey", _drawn(96)(view).alias("image"))
+    return images.in_image_batches(_spread(_t(spark, sf_dir, "supplier"), "s_suppkey")).select("s_suppkey", _drawn(96)(view).alias("image"))
 
 
 @_query("""SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE (50 + s_suppkey % 7) - (30 + s_suppkey % 5) END::INTEGER AS x1, CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE (44 + s_suppkey % 11) - (30 + s_suppkey % 5) END::INTEGER AS y1,
