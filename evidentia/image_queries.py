@@ -31,10 +31,10 @@ def _drawn(size: int):
             for at in range(0, len(batch), DRAWN_AT_ONCE):
                 rows = []
                 for discs in batch[at : at + DRAWN_AT_ONCE]:
-                    out = np.zeros((size, size, 3), np.uint8)
+                    out = np.zeros((size, size), np.uint8)
                     for d in discs:
                         out[(x - d["x"]) ** 2 + (y - d["y"]) ** 2 <= d["r"] ** 2] = d["grey"]
-                    rows.append((size, size, out.tobytes()))
+                    rows.append((size, size, out.repeat(3).tobytes()))
                 yield pd.DataFrame(rows, columns=["height", "width", "data"])
 
     return draw
@@ -68,7 +68,7 @@ def discs_or_prior(spark, sf_dir):
     k = F.col("s_suppkey")
     x, y, r = 150 + k % 50, 80 + k % 90, 13 + k % 8
     image = F.when(k % 4 > 0, _discs((128, 128, 400, 128), (x, y, r, 210))).otherwise(_discs((128, 128, 400, 90)))
-    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", x.alias("x"), y.alias("y"), r.alias("r"), _drawn(256)(image).alias("image"))
+    rows = images.in_image_batches(_spread(_t(spark, sf_dir, "supplier"), "s_suppkey")).select("s_suppkey", x.alias("x"), y.alias("y"), r.alias("r"), _drawn(256)(image).alias("image"))
     found = rows.withColumn("d", images.discs()("image"))
     near = (F.hypot(F.col("d.x") - F.col("x"), F.col("d.y") - F.col("y")) <= 3) & (F.abs(F.col("d.radius") - F.col("r")) <= 3)
     return found.select("s_suppkey", F.col("d.found").alias("found"), F.when(F.col("d.found"), near).alias("near"), F.when(~F.col("d.found"), F.col("d.x")).alias("prior_x"))

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,21 @@ def test_images_are_written_checked_and_read(spark, tmp_path):
     assert bytes(read["i1"].data) == named[1][1].tobytes() and read["i0"].height == 5  # mended, and kept
     again = image_files.write_images(frame(spark, [("i0", named[1][1])]), "name", "image", folder, overwrite=True).first()
     assert again.crc32 == zlib.crc32((tmp_path / "png" / "i0.png").read_bytes())
+
+
+def test_image_work_is_dealt_over_tasks(spark, tmp_path):
+    """A table of small rows is one file and one task; what is done for each row is not."""
+    from evidentia import image_queries
+
+    spark.range(200).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert image_queries._views(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    found = image_queries.discs_or_prior(spark, str(tmp_path))
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+
+
+def test_drawn_images_leave_by_parts():
+    from evidentia import image_queries
+
+    disc = [{"x": 2, "y": 2, "r": 1, "grey": 9}]
+    sizes = [len(f) for f in image_queries._drawn(4).func(iter([pd.Series([disc] * 150)]))]
+    assert sum(sizes) == 150 and max(sizes) <= image_queries.DRAWN_AT_ONCE
