@@ -118,9 +118,9 @@ def progress_of_a_folder(spark, sf_dir):
     macula = F.struct(F.struct(F.lit(9.0).alias("x"), F.when(k % 10 == 0, 50.0).otherwise(8.0).alias("y")).alias("center"))
     measured = F.struct(cup.alias("optic_disc_cup"), F.struct((k % 2 == 0).alias("qc_flag")).alias("vessels"), macula.alias("macula"))
     doc = F.to_json(F.struct(F.struct(block(k % 4).alias("HE"), block(k % 3).alias("EX")).alias("lesions"), measured.alias("measurements")))
-    entities = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("e"), k).alias("entity"), doc.alias("value"), k.alias("k"))
+    entities = _spread(_t(spark, sf_dir, "supplier"), "s_suppkey").select(F.concat(F.lit("e"), k).alias("entity"), doc.alias("value"), k.alias("k"))
     entities.where("k % 6 > 0").select("entity", "value").write.partitionBy("entity").text(folder)
-    state = folders.folder_progress(spark, f"{folder}/*/*.txt", entities.count())
-    said = folders.summary_of_documents(folders.recent_documents(spark, f"{folder}/*/*.txt", None))
+    state = folders.folder_progress(spark, folder, entities.count())
+    said = folders.summary_of_documents(folders.recent_documents(spark, folder, None))
     both = said.join(F.broadcast(state.select("total", "done", "missing")), how="inner", on=F.lit(True))
     return both.select("scanned", "total", "done", "missing", "he_rate", "ex_rate", "se_rate", "eye_left", "eye_right", "eye_unknown", "qc_rate", "odd_rate", "cdr_n", "cdr_p50", "he_st")

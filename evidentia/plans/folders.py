@@ -10,14 +10,15 @@ from evidentia.operators.aggregates import nearest_rank
 from evidentia.operators.progress import throughput
 from evidentia.plans.validated import MEASURED, PLACES, document_biomarkers, document_lesions
 from evidentia.sources.readers import entity_documents, point
+from evidentia.streaming.monitor import checkpoint_folder
 
 #: Newest documents that give the rate, and that are summed up.
 RATE_OF, RECENT = 50, 300
 
 
 def _files(spark: SparkSession, pattern: str) -> DataFrame:
-    """path and time of the files, without their content."""
-    return spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+    """path and time of the files, without their content. A folder is listed in tasks, a pattern by the driver."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path", "modificationTime")
 
 
 def folder_progress(spark: SparkSession, pattern: str, total: int, newest: int = RATE_OF) -> DataFrame:
@@ -45,6 +46,10 @@ def summary_of_documents(docs: DataFrame) -> DataFrame:
     """One row: scanned (documents that can be read), the share with each measured lesion and its sums by quadrant, eyes,
     the shares with the vessels' flag and with disc and macula too far apart, and the middle of the biomarkers."""
     known = docs.where("doc IS NOT NULL").select(F.col("path").alias("record_id"), F.lit(None).cast("int").alias("grade"), "doc")
+    # read by each of the joins and ranks below, so the files are opened once
+    folder = checkpoint_folder(docs.sparkSession)
+    known.write.parquet(folder)
+    known = docs.sparkSession.read.schema(known.schema).parquet(folder)
     per = known.join(_lesions(known), "record_id", "left").join(document_biomarkers(known).drop("grade"), "record_id", "left")
     doc = F.col("doc")
     disc, macula = point(doc, "$.measurements.optic_disc_cup.disc.center"), point(doc, "$.measurements.macula.center")

@@ -57,7 +57,7 @@ def entity_documents(spark: SparkSession, pattern: str) -> DataFrame:
     """entity (name of the parent folder), path, doc (VARIANT, NULL if it can't be read) and error.
 
     Spark skips files without a byte, so an entity with an empty file has no row: see `unfinished` for these."""
-    text = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    text = spark.read.text(pattern, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
     doc = F.try_parse_json("value")
     good = F.schema_of_variant(doc).startswith("OBJECT")
     return text.select(

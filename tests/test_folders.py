@@ -34,3 +34,14 @@ def test_a_folder_without_documents(spark, tmp_path):
     assert folders.folder_progress(spark, pattern, 3).first().done == 1
     said = folders.summary_of_documents(folders.recent_documents(spark, pattern, 5)).first()
     assert said.scanned == 0 and said.he_rate == 0 and said.cdr_n == 0 and said.cdr_p50 is None
+
+
+def test_a_folder_is_read_to_any_depth(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / "set" / f"entity=e{i}").mkdir(parents=True)
+        (tmp_path / "set" / f"entity=e{i}" / "a.txt").write_text('{"lesions": {"HE": {"count": %d}}}' % (i % 2))
+    (tmp_path / "set" / "_SUCCESS").write_text("")
+    row = folders.folder_progress(spark, str(tmp_path / "set"), 50).first()
+    assert (row.total, row.done, row.missing) == (50, 40, 10)
+    said = folders.summary_of_documents(folders.recent_documents(spark, str(tmp_path / "set"), None)).first()
+    assert (said.scanned, said.he_rate) == (40, 0.5)
