@@ -19,12 +19,13 @@ import numpy as np
 NARROW = 1 << 16
 #: Words that a worker remembers in each of two generations: when the younger is full it becomes the older one, and only
 #: words that are met again move on. Bounds memory, not results.
-REMEMBERED_WORDS = 200_000
-#: Texts outside these characters are encoded whole.
-_PLAIN = re.compile(r"[\t\n\r -~¡-įı-ɏ]*")
-#: How the two kinds of tokenizer files split a text into words.
+REMEMBERED_WORDS = 400_000
+#: Texts outside these characters, which all are below the number beside, are encoded whole.
+_PLAIN, _PLAIN_END = re.compile(r"[\t\n\r -~¡-įı-ɏ]*"), 0x250
+#: How the two kinds of tokenizer files split a text into words. The first alternative of ByteLevel is the
+#: commonest case of its third, which is found sooner this way.
 _SPLITS = {
-    "ByteLevel": r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "ByteLevel": r" \p{L}+|'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "Sequence": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
 
@@ -51,11 +52,13 @@ def ids_dtype(name: str) -> np.dtype:
 
 
 @cache
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if it is visible, else the next one from 256."""
+def _letters() -> dict[int, str]:
+    """What byte-level vocabularies write for each plain character: a letter for each of its bytes, the byte itself if it
+    is visible, else the next one from 256."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in seen]
-    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+    of = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {i: "".join(of[b] for b in chr(i).encode()) for i in range(_PLAIN_END)}
 
 
 def _plain_form(pattern: str) -> str:
@@ -63,7 +66,7 @@ def _plain_form(pattern: str) -> str:
     import regex
 
     for kind in "LN":
-        held = [c for c in map(chr, range(0x250)) if regex.match(rf"\p{{{kind}}}", c)]
+        held = [c for c in map(chr, range(_PLAIN_END)) if regex.match(rf"\p{{{kind}}}", c)]
         pattern = pattern.replace(f"[\\p{{{kind}}}]", f"\\p{{{kind}}}")
         pattern = re.sub(r"(\[[^]]*)\\p{%s}" % kind, lambda m, held=held: m[1] + "".join(held), pattern)
         pattern = pattern.replace(f"\\p{{{kind}}}", f"[{''.join(held)}]")
@@ -91,13 +94,13 @@ class _Words(dict):
 
     def __init__(self, name: str, older: dict):
         super().__init__()
-        self.older, self.merge, self.letters = older, tokenizer(name).model.tokenize, _byte_letters()
+        self.older, self.merge, self.letters = older, tokenizer(name).model.tokenize, _letters()
         self.code = "H" if ids_dtype(name).itemsize == 2 else "I"
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = array(self.code, [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            ids = array(self.code, [t.id for t in self.merge(word.translate(self.letters))]).tobytes()
         self[word] = ids
         return ids
 

@@ -1,6 +1,8 @@
 import random
 import zlib
 from functools import cache
+from itertools import product
+from string import ascii_lowercase
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidentia.llm import packing, sst
+from evidentia.llm import packing, sst, tokens
 from evidentia.llm.tokens import encoded, ids_dtype
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -35,6 +37,22 @@ def test_ids_are_the_tokenizers_own(name, corpus):
         assert np.frombuffer(got, ids_dtype(name)).tolist() == ids_of(text, name), text
 
 
+def test_words_of_a_large_vocabulary_are_encoded_once(monkeypatch):
+    merged, begin = [], tokens._Words.__init__
+
+    def counting(self, name, older):
+        begin(self, name, older)
+        merge = self.merge
+        self.merge = lambda word: merged.append(1) or merge(word)
+
+    monkeypatch.setattr(tokens, "_known", {})
+    monkeypatch.setattr(tokens._Words, "__init__", counting)
+    texts = [" " + " ".join(map("".join, product([a], [b], ascii_lowercase, ascii_lowercase))) for a, b in product(ascii_lowercase[:17], ascii_lowercase)]
+    once = list(encoded(texts, FILES[0]))
+    assert list(encoded(texts, FILES[0])) == once
+    assert len(merged) == 17 * 26**3
+
+
 def test_first_fit_decreasing_equals_plain_search():
     rng = random.Random(1)
     for _ in range(30):
