@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,7 +31,8 @@ def status_changes(updates: DataFrame, key: str, at: str, status: str, *, silenc
     kind = dict(updates.dtypes)[key]
     rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.coalesce(status, F.lit("")))
     rows = updates.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
-    rows = rows.select(key, at, F.unix_micros(F.col(at).cast("timestamp")).alias("micros"), F.coalesce(status, F.lit("")).alias("status"), rank.alias("rank"), (F.col(error) if error else F.lit(None).cast("string")).alias("error"))
+    # each column costs every call of a key a conversion, so a status travels as its rank alone, and errors if there are any
+    rows = rows.select(key, at, F.unix_micros(F.col(at).cast("timestamp")).alias("micros"), rank.cast("long").alias("rank"), *([F.col(error).alias("error")] if error else []))
     quiet, gone = silence * 1_000_000, forget * 1_000_000
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,7 +42,7 @@ def status_changes(updates: DataFrame, key: str, at: str, status: str, *, silenc
         def say(to: str, when: int, why: str | None) -> None:
             nonlocal now, started, ended
             now, started, ended = to, when if to == "running" else started, None if to == "running" else when
-            out.append((group[0], to, when, started, ended, why))
+            out.append((to, when, started, ended, why))
 
         if state.hasTimedOut:
             if now == "running":
@@ -49,21 +51,26 @@ def status_changes(updates: DataFrame, key: str, at: str, status: str, *, silenc
                 now = None
                 state.remove()
         else:
-            for micros, _, to, why in sorted((r for f in frames for r in zip(f["micros"], f["rank"], f["status"], f["error"], strict=True)), key=lambda r: r[:2]):
+            told = (r for f in frames for r in zip(f["micros"].tolist(), f["rank"].tolist(), f["error"] if error else repeat(None, len(f)), strict=True))
+            for micros, place, why in sorted(told, key=lambda r: r[:2]):
                 if seen is not None and micros < seen:
                     continue
                 if now == "running" and seen + quiet < micros:
                     say("error", seen + quiet, SILENT)
                 if ended is not None and ended + gone < micros:
                     now = started = ended = None  # forgotten by then, whether or not its timer has come
-                seen = int(micros)
-                if to in STATUSES:
+                seen, to = micros, STATUSES[place - 1] if place else None
+                if to:
                     say(to, seen, why if to == "error" and isinstance(why, str) else None)
         if seen is not None and (now is not None or not state.hasTimedOut):
             state.update((now, started, seen, ended))
             timer = seen + quiet if now == "running" else (seen if ended is None else ended) + gone
             state.setTimeoutTimestamp(max(timer // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "status", "micros", "started", "ended", "error"]).astype({"started": "Int64", "ended": "Int64"})
+        if out:
+            # one block of objects, which Spark puts together with other keys' and gives its types
+            made = pd.DataFrame(out, columns=["status", "micros", "started", "ended", "error"], dtype=object)
+            made.insert(0, "key", group[0])
+            yield made
 
     schema = f"key {kind}, status string, micros long, started long, ended long, error string"
     found = rows.groupBy(key).applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -160,3 +160,14 @@ def test_status_of_null_keys_and_late_updates(spark, tmp_path):
     stream = monitor.stream_parquet(spark, f"file://{tmp_path}/u", df.schema)
     found = monitor.drained(status.status_changes(stream, "key", "ts", "status", silence=60, forget=60), "odd", f"file://{tmp_path}/cp", mode="append").collect()
     assert [r.status for r in found] == ["running", "done", "error"] and {r.key for r in found} == {"a"}
+
+
+def test_statuses_take_no_columns_that_they_can_do_without(spark, tmp_path):
+    spark.createDataFrame([("a", "2024-01-01 00:00:00", "running")], "key string, ts string, status string").write.parquet(f"{tmp_path}/in")
+    stream = monitor.stream_parquet(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema).withColumn("ts", F.to_timestamp("ts"))
+    found = status.status_changes(stream, "key", "ts", "status", silence=60, forget=60)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    given = plan[plan.index("FlatMapGroupsInPandasWithState") :].splitlines()[1]
+    assert "AS rank" in given and "AS status" not in given and "AS error" not in given, given
+    rows = monitor.drained(found, "few", f"file://{tmp_path}/cp", mode="append").collect()
+    assert [(r.key, r.status, r.ended_at, r.error) for r in rows] == [("a", "running", None, None)]
