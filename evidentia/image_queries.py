@@ -16,7 +16,7 @@ from evidentia.record_queries import _folder
 from evidentia.sources import image_files
 
 
-#: Images of a part of a batch.
+#: Images of a part of a batch, at most.
 DRAWN_AT_ONCE = 64
 
 
@@ -26,16 +26,17 @@ def _drawn(size: int):
     @F.pandas_udf(images.IMAGE)
     def draw(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         y, x = np.mgrid[:size, :size]
+
+        def image(discs: list) -> np.ndarray:
+            out = np.zeros((size, size), np.uint8)
+            for d in discs:
+                out[(x - d["x"]) ** 2 + (y - d["y"]) ** 2 <= d["r"] ** 2] = d["grey"]
+            return out.repeat(3).reshape(size, size, 3)
+
         for batch in batches:
             # a batch has many rows of few numbers, so their images go out by parts
             for at in range(0, len(batch), DRAWN_AT_ONCE):
-                rows = []
-                for discs in batch[at : at + DRAWN_AT_ONCE]:
-                    out = np.zeros((size, size), np.uint8)
-                    for d in discs:
-                        out[(x - d["x"]) ** 2 + (y - d["y"]) ** 2 <= d["r"] ** 2] = d["grey"]
-                    rows.append((size, size, out.repeat(3).tobytes()))
-                yield pd.DataFrame(rows, columns=["height", "width", "data"])
+                yield from images.image_rows(map(image, batch[at : at + DRAWN_AT_ONCE]))
 
     return draw
 

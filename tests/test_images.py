@@ -223,3 +223,16 @@ def test_drawn_images_leave_by_parts():
     disc = [{"x": 2, "y": 2, "r": 1, "grey": 9}]
     sizes = [len(f) for f in image_queries._drawn(4).func(iter([pd.Series([disc] * 150)]))]
     assert sum(sizes) == 150 and max(sizes) <= image_queries.DRAWN_AT_ONCE
+
+
+def test_large_images_leave_by_bytes():
+    from evidentia import image_queries
+
+    disc = [{"x": 2, "y": 2, "r": 1, "grey": 9}]
+    drawn = list(image_queries._drawn(256).func(iter([pd.Series([disc] * 64)])))
+    assert sum(map(len, drawn)) == 64 and max(f["data"].map(len).sum() for f in drawn) <= 2 << 20
+    numbers = pd.DataFrame([(1.0, 1.0, 1.0, 0, 0, 256, 256, False)] * 64, columns=["brightness", "contrast", "colour", "x", "y", "width", "height", "flip"])
+    copies = list(images.augmented().func(iter([(pd.concat(drawn), numbers)])))
+    assert sum(map(len, copies)) == 64 and max(f["data"].map(len).sum() for f in copies) <= 2 << 20
+    again = list(images.decoded_png().func(iter([pd.Series([images.png_bytes(np.zeros((600, 600, 3), np.uint8))] * 4 + [b"no"])])))
+    assert [len(f) for f in again] == [1, 1, 1, 2] and again[-1]["data"].iloc[-1] is None
