@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.extract import path_stem
-from evidentia.functions.images import _images, decoded_png, png_bytes, png_image
+from evidentia.functions.images import _images, decoded_png, in_image_batches, png_bytes, png_image
 
 WRITTEN = "name string, length bigint, crc32 bigint, error string"
 
@@ -53,12 +53,12 @@ def write_images(df: DataFrame, name: str, image: str, folder: str, *, overwrite
             yield pd.DataFrame(rows, columns=["name", "length", "crc32", "error"]).astype({"length": "Int64", "crc32": "Int64"})
 
     pixels = F.col(image)
-    flat = df.select(F.col(name).cast("string").alias("name"), pixels["height"].alias("height"), pixels["width"].alias("width"), pixels["data"].alias("data"))
+    flat = in_image_batches(df).select(F.col(name).cast("string").alias("name"), pixels["height"].alias("height"), pixels["width"].alias("width"), pixels["data"].alias("data"))
     return flat.mapInPandas(write, WRITTEN)
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """name (of the file, without its ending) and image (NULL where it can't be read) of the PNG files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(folder)
-    read = files.select(path_stem(F.col("path")).alias("name"), decoded_png()("content").alias("image"))
+    read = in_image_batches(files).select(path_stem(F.col("path")).alias("name"), decoded_png()("content").alias("image"))
     return read.withColumn("image", F.when(F.col("image.data").isNotNull(), F.col("image")))

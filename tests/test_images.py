@@ -236,3 +236,29 @@ def test_large_images_leave_by_bytes():
     assert sum(map(len, copies)) == 64 and max(f["data"].map(len).sum() for f in copies) <= 2 << 20
     again = list(images.decoded_png().func(iter([pd.Series([images.png_bytes(np.zeros((600, 600, 3), np.uint8))] * 4 + [b"no"])])))
     assert [len(f) for f in again] == [1, 1, 1, 2] and again[-1]["data"].iloc[-1] is None
+
+
+def test_files_are_written_and_read_in_small_batches(spark, tmp_path, monkeypatch):
+    """By the sink and the reader themselves, whatever made the images; a task's rows don't decide what Python holds."""
+    key, most, real = "spark.sql.execution.arrow.maxBytesPerBatch", images.PART_BYTES, images._images
+
+    def noted(batch):
+        with open(f"{tmp_path}/sizes", "a") as out:
+            out.write(f"{batch['data'].map(len).sum()}\n")
+        return real(batch)
+
+    monkeypatch.setattr(image_files, "_images", noted)
+    folder = f"file://{tmp_path}/png"
+    df = spark.range(40).repartition(1).select(F.concat(F.lit("i"), "id").alias("name"), F.struct(F.lit(256).alias("height"), F.lit(256).alias("width"), F.unhex(F.repeat(F.lit("0a"), 256 * 256 * 3)).alias("data")).alias("image"))
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        assert image_files.write_images(df, "name", "image", folder).where("error IS NULL").count() == 40
+        sizes = [int(n) for n in (tmp_path / "sizes").read_text().split()]
+        assert sum(sizes) == 40 * 256 * 256 * 3 and max(sizes) <= most + 256 * 256 * 3  # Spark ends a batch after the row that fills it
+        spark.conf.unset(key)
+        read = image_files.read_images(spark, folder)
+        assert spark.conf.get(key) == images.BATCH_BYTES
+        assert read.where(F.length("image.data") == 256 * 256 * 3).count() == 40
+    finally:
+        spark.conf.set(key, before)
