@@ -1,11 +1,14 @@
 """Answer likeness and likelihood against plain counting."""
 
 import math
+import os
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
+import __spark_entry__
 from evidentia.operators import likelihood, similarity
 
 
@@ -91,3 +94,49 @@ def test_model_of_asked_ngrams(spark):
     assert got == [(0, "", 6), (1, "a", 2), (1, "b", 3), (2, "a b", 2), (2, "b c", 1), (3, "a b c", 1)]
     asked = likelihood.asked_grams(spark.createDataFrame([("p a b", "c a")], "q string, a string"), "q", "a")
     assert sorted(r.gram for r in asked.collect()) == ["a", "a b", "a b c", "b", "b c", "b c a", "c", "c a"]
+
+
+def test_context_that_no_answer_has(spark):
+    texts = spark.createDataFrame([("x b c",), ("b d",), ("c",)], "text string")
+    rows = spark.createDataFrame([(1, "w x b", "c b d"), (2, "", "b d q")], "id int, q string, a string")
+    models = [likelihood.ngram_model(texts, "text"), likelihood.ngram_model(texts, "text", only=likelihood.asked_grams(rows, "q", "a")), likelihood.model_for(texts, "text", rows, "q", "a")]
+    got = [sorted(map(tuple, likelihood.candidate_likelihood(rows, ["id"], "q", "a", m).collect())) for m in models]
+    want = [(1, (math.log(1 / 1) + math.log(0.16 * 2 / 6) + math.log(0.4 * 1 / 2)) / 3), (2, (math.log(2 / 6) + math.log(1 / 2) + math.log(0.16 / 7)) / 3)]
+    for scores in got:
+        assert [(r[0], r[2]) for r in scores] == [(i, pytest.approx(s)) for i, s in want]
+
+
+def test_scores_of_odd_conversations_equal_the_sql(spark, tmp_path):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("red green blue one two , .".split()) for _ in range(rng.randrange(n)))
+    texts = [(i, say(30)) for i in range(60)] + [(60, None), (61, " \t "), (62, "x b c")]
+    turns = [(c, t, "user", say(9)) for c in range(12) for t in range(4) if (c, t) != (3, 2)]
+    # a prompt and an answer without text, an answer of white space, a repeated row, a context of its own, a long answer
+    turns += [(20, 0, "user", None), (20, 1, "user", "red one"), (20, 2, "user", None), (21, 0, "user", "one"), (21, 1, "user", " \n"), (21, 2, "user", "two")]
+    turns += [(22, 0, "user", "red two"), (22, 0, "user", "red two"), (22, 1, "user", "green"), (23, 0, "user", "w x b"), (23, 1, "user", "c"), (24, 0, "user", "one"), (24, 1, "user", say(20) + " red" * 3000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("answer_likelihood", "likelihood_auc"):
+        found = con.execute(__spark_entry__.oracle_sql()[name])
+        columns = [d[0] for d in found.description]
+        got = [tuple(r[c] for c in columns) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(found.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_likelihood_takes_little_disk(spark, tmp_path_factory):
+    sf, env = "/root/testdata/sf0.01", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+
+    def held():
+        files = env.blockManager().diskBlockManager().getAllFiles()
+        local = {files.apply(i).getPath(): files.apply(i).length() for i in range(files.size())}
+        return local | {f"{d}/{x}": os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(shared) for x in names}
+
+    before = held()
+    assert __spark_entry__.queries()["likelihood_auc"](spark, sf).count() == 1
+    size = sum(n for f, n in held().items() if f not in before)
+    assert size < 3 * sum(os.path.getsize(f"{sf}/{t}.parquet") for t in ("documents", "conversations"))
